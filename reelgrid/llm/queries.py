@@ -6,20 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import substring
+from reelgrid.llm import embed_graph, ngram_join, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more between all embeddings."""
+    return embed_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removal of windows of 35 words that occur more than once."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, links and groups of documents with Jaccard similarity 0.8 or more on five words."""
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup,)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
