@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import embed_graph, ngram_join, substring
+from reelgrid.llm import embed_graph, html_extract, mixing, ngram_join, substring, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +23,45 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the token files of all documents, computed from the files."""
+    return token_output.encoded(_table(spark, sf_dir, "documents"), path=token_output.default_path("byte_bpe_50k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), path=token_counts.default_path("piece_bpe_32k.model"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, links and groups of documents with Jaccard similarity 0.8 or more on five words."""
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
+OPERATORS = (
+    op1_embedding_near_dedup,
+    op2_substring_dedup,
+    op3_source_mixing,
+    op5_token_binary_output,
+    op7_token_counts,
+    op9_html_extraction,
+    op10_ngram_jaccard_join,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_substring_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": mixing.ORACLE}
