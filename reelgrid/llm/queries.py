@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import embed_graph, html_extract, mixing, ngram_join, substring, token_counts, token_output
+from reelgrid.llm import decontaminate, embed_graph, html_extract, kneser_ney, line_chunks, mixing, ngram_join, substring, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +28,31 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of the token files of all documents, computed from the files."""
     return token_output.encoded(_table(spark, sf_dir, "documents"), path=token_output.default_path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left after removal of chunks of lines that occur before."""
+    return line_chunks.remove_repeated_chunks(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), path=token_counts.default_path("piece_bpe_32k.model"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item, with the item, the score and the place."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
@@ -52,8 +67,11 @@ OPERATORS = (
     op1_embedding_near_dedup,
     op2_substring_dedup,
     op3_source_mixing,
+    op4_quality_classifier,
     op5_token_binary_output,
+    op6_line_dedup,
     op7_token_counts,
+    op8_benchmark_decontamination,
     op9_html_extraction,
     op10_ngram_jaccard_join,
 )
