@@ -100,7 +100,7 @@ def search(catalog: DataFrame, frames: DataFrame, tags: DataFrame, people: DataF
         if q.tags:
             spans, gap = tags.where(F.col("tag").isin(*q.tags)).select(*KEY, F.col("t0").alias("t"), F.col("t1").alias("t_end"), F.lit(0.0).alias("score")), step
         elif q.with_people:
-            seen = people.where(F.col("person_id").isin(*q.with_people)).select(*KEY, F.explode("times").cast("double").alias("t"))
+            seen = people.where(F.col("person_id").isin(*q.with_people)).select(*KEY, F.explode(F.col("times").cast("array<double>")).alias("t"))
             spans, gap = seen.distinct().select(*KEY, "t", (F.col("t") + 1).alias("t_end"), F.lit(0.0).alias("score")), 3.0
         else:
             spans, gap = rows.select(*KEY, F.lit(0.0).alias("t"), F.least(F.coalesce("duration", F.lit(0.0)), F.lit(10.0)).alias("t_end"), F.lit(0.0).alias("score")), step
