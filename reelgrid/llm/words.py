@@ -13,11 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
-_STEP = 1 << 20  # bytes hashed at once, whatever the block
+BLOCK_BYTES = 1 << 20
+_STEP = 1 << 17  # bytes hashed at once, whatever the block
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+LINE_FEED = np.zeros(256, bool)
+LINE_FEED[10] = True
+#: what is no ASCII letter or digit; bytes of other characters count as letters
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _ODD = 0x9E3779B97F4A7C15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -101,8 +105,8 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), edge
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The column's texts in blocks of limit bytes, with their words."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, apart: np.ndarray = SPACE) -> Iterator[Block]:
+    """The column's texts in blocks of limit bytes, with their words: runs of bytes that aren't marked in apart."""
     if not len(column):
         return
     data, edge = string_buffers(column)
@@ -111,7 +115,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1)
         part, at = data[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]
         inside = np.zeros(len(part) + 1, bool)
-        np.logical_not(_SPACE[part], out=inside[:-1])
+        np.logical_not(apart[part], out=inside[:-1])
         starts_at = inside.copy()
         cut = at[:-1][at[:-1] < len(part)]
         starts_at[1:] &= ~inside[:-1]
