@@ -119,3 +119,29 @@ def job_state(events: DataFrame, key: str = "tape_id") -> DataFrame:
 def recover(jobs: DataFrame, owned: Sequence[str]) -> DataFrame:
     """Jobs after a crash: those in stages that this process owned are interrupted."""
     return jobs.withColumn("status", F.when(F.col("status").isin(*owned), "INTERRUPTED").otherwise(F.col("status")))
+
+
+def with_children(ids: DataFrame, media: DataFrame) -> DataFrame:
+    """(id) of rows and of the clips cut from them."""
+    clips = media.where("parent_id is not null").select(F.col("id"), F.col("parent_id").alias("__p"))
+    return ids.select("id").unionByName(clips.join(ids.select(F.col("id").alias("__p")), "__p").select("id")).distinct()
+
+
+def set_album_date(media: DataFrame, album: str, date: str) -> DataFrame:
+    """media with the operator's date on an album's undated originals and their clips."""
+    undated = (F.col("album") == album) & F.col("taken").isNull() & (F.coalesce("date_fix", F.lit("")) == "")
+    own = media.where(undated & F.col("parent_id").isNull()).select("id")
+    marked = with_children(own, media).withColumn("__fix", F.lit(date))
+    return media.join(marked, "id", "left").withColumn("date_fix", F.coalesce("__fix", "date_fix")).drop("__fix")
+
+
+def import_once(rows: DataFrame, marker: DataFrame, name: str) -> DataFrame:
+    """rows, or none if an import of that name was marked before."""
+    return rows.join(marker.where(F.col("k") == name).select(F.lit(True).alias("__done")).limit(1), F.lit(True), "left_anti")
+
+
+def workspaces(stored: DataFrame) -> DataFrame:
+    """(name): the implicit default first."""
+    default = stored.sparkSession.range(1).select(F.lit("default").alias("name"))
+    rest = stored.select("name").where("name <> 'default'").distinct()
+    return default.unionByName(rest).orderBy((F.col("name") != "default").cast("int"), "name")

@@ -414,3 +414,23 @@ def test_streams(spark, tmp_path):
         q = jobs.refresh(jobs.watch(spark, str(tmp_path / "docs"), "tape_id string"), lambda df, _: seen.append(sorted(r.tape_id for r in df.collect())), str(tmp_path / "cp"))
         q.awaitTermination(120)
     assert seen == [["A", "b"], ["c"]]
+
+
+def test_frames(spark):
+    from reelgrid.operators import frames
+
+    f = spark.createDataFrame([("s", 0, 0, 10.0), ("s", 0, 1, 50.0), ("s", 0, 2, 90.0), ("s", 1, 25, 41.0)], "scene string, second int, i int, sharpness double")
+    assert sorted((r.second, r.i) for r in frames.sharp_frames(f, ["scene"]).collect()) == [(0, 1), (1, 25)]
+    s = spark.createDataFrame([("s", [1, 1])], "scene string, times array<int>")
+    assert sorted(r.frame for r in frames.frame_numbers(s, ["scene"], F.lit(5.0), 2).collect()) == [6, 8]
+    d = spark.createDataFrame([(1, "t", "s", 5, [1.0, 0.0]), (2, "t", "s", 9, [1.0, 0.0])], "detection int, tape_id string, scene_id string, second int, embedding array<double>")
+    t = spark.createDataFrame([(7, "t", "s", [4], [0.9, 0.1]), (8, "t", "s", [5], [0.5, 0.5])], "track int, tape_id string, scene_id string, times array<int>, embedding array<double>")
+    assert [(r.detection, r.track) for r in frames.nearest_track(d, t).collect()] == [(1, 7)]
+
+
+def test_media_edits(spark):
+    m = _media(spark, [{"id": 1, "album": "a"}, {"id": 2, "album": "a", "taken": "2001-01-01"}, {"id": 3, "parent_id": 1, "album": "a"}, {"id": 4, "album": "b"}])
+    assert {r.id: r.date_fix for r in state.set_album_date(m, "a", "1999").collect()} == {1: "1999", 2: None, 3: "1999", 4: None}
+    marker = spark.createDataFrame([("old", "1")], "k string, v string")
+    assert state.import_once(m, marker, "old").count() == 0 and state.import_once(m, marker, "new").count() == 4
+    assert [r.name for r in state.workspaces(spark.createDataFrame([("zoe",), ("ann",)], "name string")).collect()] == ["default", "ann", "zoe"]
