@@ -209,7 +209,8 @@ def jaccard_join(
         "cid", "rep", "m", F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64(F.col("cid") + 1), F.col("blocks")).cast("int").alias("blk")
     )
     asked = materialise(asked, "asked")
-    texts = docs.join(asked, (F.col("key") == F.col("cid")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "m", "comp", "blocks", "blk", "text")
+    # texts are dealt out by their hash at every size; a broadcast of the classes would only do while they are few
+    texts = docs.join(asked.hint("merge"), (F.col("key") == F.col("cid")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "m", "comp", "blocks", "blk", "text")
     sets = texts.mapInArrow(_sets(n), "cid long, m long, comp long, blocks int, blk int, grams binary")
     sets = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sets = sets.select("comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "m", "blk", "grams")
