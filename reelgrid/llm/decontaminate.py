@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.words import PUNCTUATION, as_long, blocks, run_hashes
+from reelgrid.llm.words import PUNCTUATION, as_long, blocks, run_hashes, small_batches
 
 MISS, GAP = 0.5, 0.5
 
@@ -190,7 +190,7 @@ def find_leaks(
     an empty result. shard_bytes: text of items that is broadcast at once; a larger benchmark takes several passes.
     """
     spark = documents.sparkSession
-    low = documents.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    low = small_batches(documents).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
     id_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, id_col), (benchmark, item_col)))
     items = benchmark.select(F.col(item_col).alias("item"), F.lower(F.col(item_text_col)).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.llm.words import small_batches
+
 # Frequent function words of the languages in view.
 STOP_WORDS = frozenset(
     (
@@ -215,6 +217,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     trimmed and joined by one line feed. Rows pass one by one: repeated rows, null ids and urls stay as they are.
     Other columns are left aside. No shuffle.
     """
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    src = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = src.schema["page_id"].dataType.simpleString()
     return src.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

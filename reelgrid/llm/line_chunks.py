@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.words import LINE_FEED, as_long, mix, span_hashes, string_buffers
+from reelgrid.llm.words import LINE_FEED, as_long, mix, small_batches, span_hashes, string_buffers
 from reelgrid.llm.words import blocks as word_blocks
 from reelgrid.plans.scratch import materialise, release
 
@@ -138,7 +138,7 @@ def remove_repeated_chunks(
     in order of id (null first), then a hash of the text, then place, stays. Rows equal in id and text stay or go
     together. Other columns are left aside. An empty table gives an empty result.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     chunks = materialise(docs.mapInArrow(_chunks(span, divisor, least), f"h long, id {kind}, key long, at int, size int"), "chunks")
     again = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.words import Block, as_long, blocks, mix, run_hashes, span_hashes
+from reelgrid.llm.words import Block, as_long, blocks, mix, run_hashes, small_batches, span_hashes
 from reelgrid.operators.components import connected_components
 from reelgrid.plans.scratch import materialise
 
@@ -193,7 +193,7 @@ def jaccard_join(
     by the smallest id. Other columns are left aside. An empty table gives an empty result.
     """
     bands, rows = band_plan(threshold, recall)
-    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     sig = materialise(docs.mapInArrow(_signatures(n, bands, rows), f"id {kind}, key long, n long, one long, two long, bands array<long>"), "signatures")
     cls = sig.where("n > 0").groupBy("n", "one", "two").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.pieces import ByteLevelPieces, SentencePieces, default_path, loaded
-from reelgrid.llm.words import string_buffers
+from reelgrid.llm.words import small_batches, string_buffers
 
 LONG = 1 << 18
 
@@ -71,7 +71,7 @@ def count_tokens(
     Batches hold batch_bytes of text, so long texts don't share one, and a text over 256 KB is encoded in parts. Rows
     pass one by one: repeated rows and null ids stay as they are. Other columns are left aside. No shuffle.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     path = path or default_path("piece_bpe_32k.model")
     return docs.mapInArrow(_count(path, limit, batch_bytes), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.pieces import ByteLevelPieces, default_path, loaded
+from reelgrid.llm.words import small_batches
 from reelgrid.plans.scratch import scratch_dir
 
 _HEAD = struct.Struct("<4sBBHIIQ")
@@ -129,7 +130,7 @@ def write_tokens(
     Equal ids are ordered by a hash of the text; null ids come first. null text is empty: just the end id. Rows equal
     in both are documents of their own. An empty table writes no segments.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")

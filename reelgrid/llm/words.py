@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1 << 20
 _STEP = 1 << 17  # bytes hashed at once, whatever the block
@@ -26,6 +27,14 @@ _ODD = 0x9E3779B97F4A7C15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, after its session was told to send no more rows at once to Python: they are whole texts here."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def powers(n: int, base: int = _ODD) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _tables.get(base)
