@@ -22,7 +22,7 @@ class ByteLevelPieces:
     white space begins a new token. The library still sees the special strings, which hold no space.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
