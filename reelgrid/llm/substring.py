@@ -10,12 +10,10 @@ so all that can match lies in one shard:
    repeats. The rest fetch their words, one copy of each context.
 3. automaton: each seed's contexts form a generalised suffix automaton whose states count occurrences; each context is
    streamed through it and its maximal spans of at least `window` words that occur twice are kept.
-4. hot seeds, with very many different contexts, are dealt again by whole windows, which are counted: no group is
-   gathered in one task.
+4. hot seeds, with very many different contexts, are dealt out in blocks of contexts with an automaton each. What does
+   not repeat in its block is counted by whole windows across blocks: no group is gathered in one task.
 
 Cost: one pass over the text for 1, one shuffle of the text shared by 2 and the removal.
-A reference given from outside (clean_against) is broadcast when its measured size is within a bound, else it takes the
-same dealt path.
 """
 
 from __future__ import annotations
@@ -26,13 +24,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.llm.words import as_long, blocks, run_hashes, sliding_min, span_hashes
+from reelgrid.llm.words import as_long, blocks, run_hashes, sliding_min, small_batches, span_hashes
 from reelgrid.plans.scratch import materialise, release
 
-_SECOND = 0xD1342543DE82EF95
+_FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 
 class SuffixAutomaton:
@@ -152,12 +150,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: the words of each context that is asked for."""
     for batch in batches:
         texts, wanted = batch.column("text"), batch.column("wanted")
-        out: dict[str, list] = {k: [] for k in ("seed", "ctx", "size", "n", "words")}
+        out: dict[str, list] = {k: [] for k in ("seed", "blk", "ctx", "size", "n", "words")}
         held = 0
         for i in range(len(batch)):
             words = texts[i].as_py().encode().split()
             for w in wanted[i].as_py():
                 out["seed"].append(w["seed"])
+                out["blk"].append(w["blk"])
                 out["ctx"].append(w["ctx"])
                 out["size"].append(w["size"])
                 out["n"].append(w["n"])
@@ -170,57 +169,34 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"seed": pa.int64(), "ctx": pa.int64(), "size": pa.int32(), "n": pa.int64(), "words": pa.binary()}
+    kinds = {"seed": pa.int64(), "blk": pa.int32(), "ctx": pa.int64(), "size": pa.int32(), "n": pa.int64(), "words": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
 
 
-def _windows(window: int):
-    """mapInArrow: every window of the contexts asked for, by two hashes."""
+def _marked(batches: Iterator[pa.RecordBatch], window: int):
+    """(seed, {(ctx, size): (words, n)}, {(ctx, size): spans}) of each shard of rows sorted by (seed, blk)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
         for batch in batches:
-            wanted = batch.column("wanted")
-            for b in blocks(batch.column("text")):
-                x = b.hashes()
-                for r in range(b.rows):
-                    own = x[b.first[r] : b.first[r + 1]]
-                    for w in wanted[b.lo + r].as_py():
-                        part = own[w["at"] : w["at"] + w["size"]]
-                        one, two = run_hashes(part, window), run_hashes(part, window, _SECOND)
-                        n = len(one)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([w["seed"]] * n, pa.int64()),
-                                pa.array([w["ctx"]] * n, pa.int64()),
-                                pa.array([w["size"]] * n, pa.int32()),
-                                pa.array([w["n"]] * n, pa.int64()),
-                                pa.array(np.arange(n, dtype=np.int32)),
-                                pa.array(as_long(one)),
-                                pa.array(as_long(two)),
-                            ],
-                            names=["seed", "ctx", "size", "n", "off", "one", "two"],
-                        )
+            yield from zip(*(batch.column(k).to_pylist() for k in ("seed", "blk", "ctx", "size", "n", "words")), strict=True)
 
-    return run
+    for (seed, _), group in groupby(rows(), key=lambda r: r[:2]):
+        texts = {(ctx, size): (words, n) for _, _, ctx, size, n, words in group}
+        shard = SuffixAutomaton()
+        for words, n in texts.values():
+            shard.add(words.split(), n)
+        shard.close()
+        yield seed, texts, {k: shard.spans(words.split(), window, 2) for k, (words, _) in texts.items()}
 
 
-def _automata(window: int, times: int):
-    """mapInArrow over rows sorted by seed: the spans of each context that repeat in its shard."""
-
-    def rows(batches):
-        for batch in batches:
-            yield from zip(*(batch.column(k).to_pylist() for k in ("seed", "ctx", "size", "n", "words")), strict=True)
+def _automata(window: int):
+    """mapInArrow: the spans of each context that repeat in its shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("seed", "ctx", "size", "s", "e")}
-        for seed, group in groupby(rows(batches), key=lambda r: r[0]):
-            texts = {(ctx, size): (words.split(), n) for _, ctx, size, n, words in group}
-            shard = SuffixAutomaton()
-            for tokens, n in texts.values():
-                shard.add(tokens, n)
-            shard.close()
-            for (ctx, size), (tokens, _) in texts.items():
-                for s, e in shard.spans(tokens, window, times):
+        for seed, _, spans in _marked(batches, window):
+            for (ctx, size), found in spans.items():
+                for s, e in found:
                     for k, v in zip(out, (seed, ctx, size, s, e), strict=True):
                         out[k].append(v)
             if len(out["s"]) > 20_000:
@@ -231,6 +207,36 @@ def _automata(window: int, times: int):
     return run
 
 
+def _blocked(window: int):
+    """mapInArrow: for blocks of a hot seed's contexts, the spans that repeat in the block (open false, n 0), its other
+    windows (open true), and each window of the spans once (open false, n 2), so that other blocks' windows meet it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("seed", "ctx", "size", "s", "e", "one", "two", "n", "open")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        for seed, texts, spans in _marked(batches, window):
+            keys, rows, seen = list(texts), [], set()
+            for b in blocks(pa.array([texts[k][0] for k in keys], pa.binary())):
+                x = b.hashes()
+                for r in range(b.rows):
+                    ctx, size = key = keys[b.lo + r]
+                    one, two = (as_long(run_hashes(x[b.first[r] : b.first[r + 1]], window, base)).tolist() for base in (_FIRST, _SECOND))
+                    inside = np.zeros(len(one), bool)
+                    for s, e in spans[key]:
+                        inside[s : e - window + 1] = True
+                        rows.append((seed, ctx, size, s, e, ctx ^ s, seed, 0, False))
+                    for i, known in enumerate(inside.tolist()):
+                        if not known:
+                            rows.append((seed, ctx, size, i, i + window, one[i], two[i], texts[key][1], True))
+                        elif (one[i], two[i]) not in seen:
+                            seen.add((one[i], two[i]))
+                            rows.append((seed, ctx, size, i, i + window, one[i], two[i], 2, False))
+            for lo in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000], strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
 def _spans(out: dict[str, list]) -> pa.RecordBatch:
     kinds = {"seed": pa.int64(), "ctx": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int32())) for k, v in out.items()], names=list(out))
@@ -281,23 +287,25 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
     apart = apart.join(group, "seed")
     plain = apart.where("kinds = 1 and loops = 1").select("seed", "ctx", "size", F.lit(0).alias("s"), F.col("size").alias("e"))
     ask = apart.where("kinds > 1 or loops > 1").select("*", "one.*")
+    ask = ask.withColumn("blk", F.when(F.col("kinds") > hot, F.pmod(F.xxhash64("ctx", "size"), F.ceil(F.col("kinds") / F.greatest(F.lit(1), F.lit(hot))))).otherwise(0).cast("int"))
 
     def with_text(which: DataFrame) -> DataFrame:
-        lists = which.groupBy("key", "id").agg(F.collect_list(F.struct("seed", "ctx", "size", "n", "at")).alias("wanted"))
+        lists = which.groupBy("key", "id").agg(F.collect_list(F.struct("seed", "blk", "ctx", "size", "n", "at")).alias("wanted"))
         lists = lists.select(F.col("key").alias("k"), F.col("id").alias("i"), "wanted")
         return docs.join(lists, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("text", "wanted")
 
-    cold = with_text(ask.where(F.col("kinds") <= hot)).mapInArrow(_fetch, "seed long, ctx long, size int, n long, words binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = cold.repartition(n, "seed").sortWithinPartitions("seed")
-    cold = cold.mapInArrow(_automata(window, 2), "seed long, ctx long, size int, s int, e int")
-    warm = with_text(ask.where(F.col("kinds") > hot)).mapInArrow(
-        _windows(window), "seed long, ctx long, size int, n long, off int, one long, two long"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def shards(which: DataFrame) -> DataFrame:
+        words = with_text(which).mapInArrow(_fetch, "seed long, blk int, ctx long, size int, n long, words binary")
+        return words.repartition(parts, "seed", "blk").sortWithinPartitions("seed", "blk")
+
+    cold = shards(ask.where(F.col("kinds") <= hot)).mapInArrow(_automata(window), "seed long, ctx long, size int, s int, e int")
+    warm = shards(ask.where(F.col("kinds") > hot)).mapInArrow(
+        _blocked(window), "seed long, ctx long, size int, s int, e int, one long, two long, n long, open boolean"
     )
-    # a context fetched for two equal rows of docs counts once
-    warm = warm.dropDuplicates(["seed", "ctx", "size", "off"])
-    often = warm.groupBy("one", "two").agg(F.sum("n").alias("t")).where("t > 1").select("one", "two")
-    warm = warm.join(often, ["one", "two"]).select("seed", "ctx", "size", F.col("off").alias("s"), (F.col("off") + window).alias("e"))
+    # a window is open once in a block at most, so a key has no more rows than a seed has blocks
+    warm = warm.withColumn("t", F.sum("n").over(Window.partitionBy("one", "two"))).where("n = 0 or (open and t > 1)").select("seed", "ctx", "size", "s", "e")
     verdict = plain.unionByName(cold).unionByName(warm)
     found = live.join(verdict, ["seed", "ctx", "size"]).select("id", "key", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
     return found.groupBy("key", "id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
@@ -312,12 +320,11 @@ def remove_repeats(
     Words are runs of characters other than 0x20 and 0x09-0x0D, unchanged. Windows are judged on the input.
     null or empty text: no words, the digest of nothing. Texts shorter than the window keep all. Rows are documents:
     repeated rows, null or repeated ids included, each count and each return a row. Other columns are left aside.
-    hot: seeds with more different contexts than this are counted by whole windows instead of in one automaton; the
-    result is the same. gram must be below window.
+    hot: seeds with more different contexts than this are dealt out in blocks of about as many; the result is the same. gram must be below window.
     """
     if not 1 <= gram < window:
         raise ValueError("gram must be at least 1 and below window")
-    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, window, gram, hot).select(F.col("key").alias("k"), F.col("id").alias("i"), "spans")
     joined = docs.join(spans, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left").select("id", "text", "spans")
     kind = docs.schema["id"].dataType.simpleString()
