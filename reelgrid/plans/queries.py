@@ -225,11 +225,27 @@ def people_without_tracks(spark, sf_dir):
 SELECT DISTINCT l.id AS a, r.id AS b FROM t l JOIN t r ON l.user_id = r.user_id AND l.hour = r.hour AND l.id < r.id""")
 def cannot_links(spark, sf_dir):
     """Tracks of a scene that share a second: events of a user in one hour."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    return _cannot_links(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+
+
+def _cannot_links(e):
     hour = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)).cast("int")
     return people.cannot_links(e.select(F.lit("t").alias("tape_id"), F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("id"), F.array(hour, hour).alias("times")))
 
 
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def people_without_tracks_all(spark, sf_dir):
+    """people_without_tracks over all tracks."""
+    return people.without_tracks(_persons(spark, sf_dir), _tracks(spark, sf_dir)).select("id")
+
+
+@query("""WITH t AS (SELECT DISTINCT event_id AS id, user_id, strftime(ts,'%Y-%m-%d %H') AS hour FROM events)
+SELECT DISTINCT l.id AS a, r.id AS b FROM t l JOIN t r ON l.user_id = r.user_id AND l.hour = r.hour AND l.id < r.id""")
+def cannot_links_all(spark, sf_dir):
+    """cannot_links over all events."""
+    return _cannot_links(table(spark, sf_dir, "events"))
+
+
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
@@ -445,8 +461,18 @@ def interval_overlap_binned(spark, sf_dir):
 
 @query(f"""WITH {_SPANS}, p AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE) AS times FROM events WHERE event_id % 5 = 0 GROUP BY 1) SELECT i.user_id, event_type, t0, t1 FROM i JOIN p USING (user_id) WHERE len(list_filter(times, lambda x: x BETWEEN t0 AND t1)) > 0""")
 def point_in_interval(spark, sf_dir):
+    return _seen(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 5 = 0"))
+
+
+@query(f"""WITH {_SPANS}, p AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE) AS times FROM events GROUP BY 1) SELECT i.user_id, event_type, t0, t1 FROM i JOIN p USING (user_id) WHERE len(list_filter(times, lambda x: x BETWEEN t0 AND t1)) > 0""")
+def point_in_interval_all(spark, sf_dir):
+    """point_in_interval over the points of all events."""
+    return _seen(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
+def _seen(spark, sf_dir, e):
     t = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
-    p = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id").agg(F.collect_list(t).alias("times"))
+    p = e.groupBy("user_id").agg(F.collect_list(t).alias("times"))
     return _islands(spark, sf_dir).join(p, "user_id").where(intervals.seen_within(F.col("times"), F.col("t0"), F.col("t1"))).select("user_id", "event_type", "t0", "t1")
 
 
