@@ -1,9 +1,11 @@
 """Main text of web pages by two passes over their blocks.
 
-Markup is cut into blocks at block-level tags. Pass 1 decides blocks: what stands in menus, headers of the page,
-footers, sidebars, forms, adverts, notices or comments (by element, role or name) is boilerplate; the rest by length,
-stop-word density and link density. Short blocks without a clear sign stay open. Pass 2: open blocks take the label of
-the nearest decided neighbours on both sides; where these differ, the nearer one's, and within an article, its own.
+Markup is cut into blocks at block-level tags. Pass 1 decides blocks by length, stop-word density and link density.
+Place sets a prior that these can overrule: what stands in menus, headers of the page, footers, sidebars, forms,
+adverts, notices or comments (by element, role or name) is boilerplate unless it is long prose almost without links;
+what stands in an article or main element is main text unless it is links. Short blocks elsewhere stay open. Pass 2:
+open blocks take the label of the nearest decided neighbours on both sides; where these differ, the nearer one's, or
+on pages with an article, boilerplate.
 """
 
 from __future__ import annotations
@@ -46,29 +48,41 @@ AWAY_NAMES = frozenset(
     "subscription paywall signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar rail widget widgets related recommended recommendations trending popular share sharing social "
     "footer masthead comment comments commentlist disqus reply replies respond toc pagination pager tags skip alert toolbar".split()
 )
+WRAPPERS = frozenset("area bar block box container inner item items list outer section wrap wrapper".split())
+REPLIES = frozenset("comment comments reply replies".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
-_NAME = re.compile(r"[A-Za-z]+")
+_PARTS = re.compile(r"[-_0-9]+")
+_SENTENCE = re.compile(r"[.!?…。！？]")
 _SPACE = re.compile(r"\s+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+def _named(value: str, names: frozenset[str]) -> bool:
+    """True if a class or id of value is one of the names as a whole, or made of them only: cookie-notice, comment-list, not no-comments."""
+    return any(all(w in names or w in WRAPPERS for w in parts) and not WRAPPERS.issuperset(parts) for token in value.lower().split() if (parts := [w for w in _PARTS.split(token) if w]))
+
+
 class _Element:
-    __slots__ = ("away", "drop", "inside", "link", "main", "name")
+    __slots__ = ("away", "drop", "inside", "link", "main", "name", "named", "placed")
 
     def __init__(self, name: str, up: _Element | None, attributes: str) -> None:
         self.name = name
         values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = {w.lower() for k in ("class", "id") for w in _NAME.findall(values.get(k, ""))}
         role = values.get("role", "").lower()
-        self.main = bool(up and up.main) or name in ("article", "main") or role in ("main", "article")
+        opens = name in ("article", "main") or role in ("main", "article")
+        self.main = bool(up and up.main) or opens
         # a header of the article is part of it, that of the page is not
-        away = name in AWAY or role in AWAY_ROLES or (name == "header" and not self.main) or (bool(words & AWAY_NAMES) and name not in ("html", "body", "article", "main"))
+        self.placed = bool(up and up.placed) or name in AWAY or role in AWAY_ROLES or (name == "header" and not self.main)
+        # names of wrappers say nothing of an article that they contain
+        inherited = bool(up and up.named) and not (opens and not up.main)
+        names = REPLIES if opens else AWAY_NAMES
+        self.named = inherited or (name not in ("html", "body") and any(_named(values[k], names) for k in ("class", "id") if k in values))
         hidden = bool(re.search(r"\bhidden\b", attributes.split("=")[0])) if attributes and "=" not in attributes else "hidden" in values or values.get("aria-hidden") == "true"
-        self.away = bool(up and up.away) or away
+        self.away = self.placed or self.named
         self.drop = bool(up and up.drop) or name in DROPPED or hidden or "display:none" in values.get("style", "").replace(" ", "").lower()
         self.link = bool(up and up.link) or name == "a"
         self.inside = self.main
@@ -147,31 +161,31 @@ def blocks_of(page: str) -> list[Block]:
 def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float = 0.20, high: float = 0.30, linked: float = 0.33) -> None:
     """Sets each block's label: True for main text.
 
-    Pass 1: boilerplate by place; by links, if more than `linked` of the characters are links (in an article: nearly
-    all). Inside an article or main element all else is main text. Elsewhere blocks shorter than `short` characters
-    and titles stay open; others are main text if their share of stop words is `high`, or `low` for long ones, and
-    boilerplate if it is below `low` and they are no sentence.
+    Pass 1: boilerplate if more than `linked` of the characters are links; blocks shorter than `short` characters and
+    titles stay open; others are main text if their share of stop words is `high`, or `low` for long ones, and
+    boilerplate if it is below `low` and they are no sentence. In menus and the like only prose of twice `long` is main
+    text; inside an article or main element only links are boilerplate.
     """
     any_main = any(b.main and not b.away for b in blocks)
     for b in blocks:
         share = b.linked / max(1, len(b.text))
+        words = [_EDGE.sub("", w).lower() for w in b.text.split()]
+        stop = sum(w in STOP_WORDS for w in words) / len(words)
+        sentence = bool(_SENTENCE.search(b.text))
         if b.away:
-            b.label = False
-        elif any_main:
-            b.label = (share < 0.9 or len(b.text) > short) if b.main else False
+            b.label = len(b.text) >= 2 * long and stop >= high and share <= 0.1
+        elif b.main:
+            b.label = share < 0.9 and (share <= linked or stop >= low or sentence)
         elif share > linked:
             b.label = False
         elif b.title or len(b.text) < short:
             b.label = None
+        elif stop >= high or (stop >= low and len(b.text) >= long):
+            b.label = True
+        elif stop < low and not sentence:
+            b.label = False
         else:
-            words = [_EDGE.sub("", w).lower() for w in b.text.split()]
-            stop = sum(w in STOP_WORDS for w in words) / len(words)
-            if stop >= high or (stop >= low and len(b.text) >= long):
-                b.label = True
-            elif stop < low and not re.search(r"[.!?…。！？]", b.text):
-                b.label = False
-            else:
-                b.label = True if len(b.text) >= long else None
+            b.label = True if len(b.text) >= long else None
     decided = [i for i, b in enumerate(blocks) if b.label is not None]
     labels = [b.label for b in blocks]
     k = 0
@@ -183,11 +197,13 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
         before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
         if before is None or after is None:
             near = after if before is None else before
-            labels[i] = bool(near is not None and blocks[near].label)
+            labels[i] = bool(near is not None and blocks[near].label) and (not any_main or (b.title and before is None))
         elif blocks[before].label == blocks[after].label:
             labels[i] = blocks[before].label
         elif b.title:
             labels[i] = blocks[after].label  # a title belongs to what follows
+        elif any_main:
+            labels[i] = False
         else:
             labels[i] = blocks[before if i - before <= after - i else after].label
     for b, label in zip(blocks, labels, strict=True):
