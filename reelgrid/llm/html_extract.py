@@ -210,17 +210,17 @@ def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float =
         b.label = label
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page: its blocks in order, joined by one line feed; empty if there is none."""
+def main_text(page: str | None, between: str = "\n") -> str:
+    """The main text of one page: its blocks in order with `between` in between; empty if there is none."""
     blocks = blocks_of(page or "")
     classify(blocks)
-    return "\n".join(b.text for b in blocks if b.label)
+    return between.join(b.text for b in blocks if b.label)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = batch.column("html")
-        texts = [main_text(pages[i].as_py()) for i in range(len(batch))]
+        texts = [main_text(pages[i].as_py(), "\n\n") for i in range(len(batch))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
         )
@@ -230,7 +230,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text (main text, empty if none), n_chars (its code points) of every page, from the whole html.
 
     null html is empty. Character references are decoded, white space inside a block becomes one space, blocks are
-    trimmed and joined by one line feed. Rows pass one by one: repeated rows, null ids and urls stay as they are.
+    trimmed and joined by two line feeds. Rows pass one by one: repeated rows, null ids and urls stay as they are.
     Other columns are left aside. No shuffle.
     """
     src = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

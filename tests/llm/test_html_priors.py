@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelgrid.llm.html_extract import main_text
+from reelgrid.llm.html_extract import extract_pages, main_text
 
 PROSE = "This is the story of a house that was built by the river, and of all the people who had to live in it for so long."
 LINKS = "".join(f"<a href=/{i}>topic number {i}</a> " for i in range(30))
@@ -26,3 +26,9 @@ def test_density_overrules_place():
     assert "topic" not in main_text(f"<article><p>{PROSE}</p><div>{LINKS}</div></article>")
     long = " ".join([PROSE] * 4)
     assert main_text(f"<aside><p>{long}</p></aside><aside><p>{PROSE}</p></aside>") == long
+
+
+def test_blocks_of_pages_are_joined_by_two_line_feeds(spark):
+    page = f"<article><h1>A title</h1><p>{PROSE}</p><p>Yes.</p></article>"
+    (got,) = extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert got.text == f"A title\n\n{PROSE}\n\nYes." and got.n_chars == len(got.text)
