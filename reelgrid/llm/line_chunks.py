@@ -2,8 +2,9 @@
 
 1. a rolling hash over the hashes of the last `span` lines ends a chunk where it is 0 modulo `divisor`: boundaries
    depend on the lines around them only, so they move with the text when lines are put in before. A document's start
-   and end are boundaries too;
-2. chunks of `least` lines or more with anything but blank lines in them are counted by hash, combined on the map side;
+   and end are boundaries too, and none comes sooner than `least` lines after the last or before the end: every line
+   of a text of that many lines lies in a chunk that is compared;
+2. chunks with anything but blank lines in them are counted by hash, combined on the map side;
 3. the bytes of those that occur more than once are fetched and compared: they are grouped by the bytes themselves;
 4. the first of each group stays, in order of id, then place; the others are removed.
 
@@ -39,10 +40,14 @@ def line_hashes(text: bytes) -> np.ndarray:
     return out
 
 
-def chunk_edges(x: np.ndarray, span: int, divisor: int) -> np.ndarray:
-    """Where chunks of lines with the hashes x begin, and the end."""
+def chunk_edges(x: np.ndarray, span: int, divisor: int, least: int = 2) -> np.ndarray:
+    """Where chunks of lines with the hashes x begin, at least `least` lines apart, and the end."""
     rolled = span_hashes(x, np.arange(len(x) - span + 1), np.full(len(x) - span + 1, span)) if len(x) >= span else x[:0]
-    return np.unique(np.concatenate(([0], np.flatnonzero(mix(rolled) % np.uint64(divisor) == 0) + span, [len(x)])))
+    cut = [0]
+    for at in (np.flatnonzero(mix(rolled) % np.uint64(divisor) == 0) + span).tolist():
+        if cut[-1] + least <= at <= len(x) - least:
+            cut.append(at)
+    return np.array([*cut, len(x)])
 
 
 def _chunks(span: int, divisor: int, least: int):
@@ -58,7 +63,7 @@ def _chunks(span: int, divisor: int, least: int):
                 if text.count(b"\n") + 1 < least:
                     continue
                 x = line_hashes(text)
-                cut = chunk_edges(x, span, divisor)
+                cut = chunk_edges(x, span, divisor, least)
                 n = np.diff(cut)
                 filled = np.concatenate(([0], np.cumsum(x != _BLANK)))
                 good = np.flatnonzero((n >= least) & (filled[cut[1:]] > filled[cut[:-1]]))
