@@ -75,6 +75,19 @@ def similar_frames(frames: DataFrame, rows: DataFrame, vector: tuple[float, ...]
     return in_band(own.select(*KEY, "t", "t_end", dot(F.col("emb"), q).alias("score")), floor=floor, band=band)
 
 
+def bands_of(asked: DataFrame, rows: DataFrame, asked_id: str, asked_vector: str, row_id: str, vector: str, block: int = 4096, floor: float = DEFAULTS.search_floor, band: float = DEFAULTS.search_band) -> DataFrame:
+    """(asked_id, row_id, score) in the band of each asked vector's best; the asked are broadcast in blocks of about `block`."""
+    blocks = -(-asked.count() // block) or 1
+    out = None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(asked_id), F.lit(blocks)) == k)
+        scored = rows.join(F.broadcast(part)).select(asked_id, row_id, dot(F.col(vector), F.col(asked_vector)).alias("score"))
+        best = scored.groupBy(asked_id).agg(F.max("score").alias("__best"))
+        hits = scored.where(F.col("score") >= floor).join(F.broadcast(best), asked_id).where(F.col("score") >= F.col("__best") - band).drop("__best")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def moments_of(spans: DataFrame, gap: float, most: int = 12) -> DataFrame:
     """(tape_id, scene_id, score, moments): a scene's spans (t, t_end, score) merged, the first `most`, to a tenth."""
     merged = islands(spans, KEY, "t", "t_end", gap, "score")

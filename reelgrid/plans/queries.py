@@ -345,6 +345,15 @@ def vector_search_band(spark, sf_dir):
     return out
 
 
+@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), s AS (SELECT q.vec_id AS asked, e.vec_id, list_inner_product(q.v, e.v) AS s FROM e JOIN e q ON q.vec_id % 20 = 0),
+b AS (SELECT asked, max(s) AS best FROM s GROUP BY asked) SELECT asked, vec_id, round(s, 6) AS score FROM s JOIN b USING (asked) WHERE s >= greatest(0.075::DOUBLE, best - 0.035::DOUBLE)""")
+def vector_search_band_all(spark, sf_dir):
+    """vector_search_band for every vector whose id is divisible by 20, against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("v"))
+    return search.bands_of(asked, e, "asked", "v", "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
 def _catalog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderstatus").alias("tape_id"), F.col("o_orderkey").cast("string").alias("scene_id"), F.lit("default").alias("workspace"), F.when(F.col("o_orderkey") % 2 == 0, "dv").otherwise("photo").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(20.0).alias("duration"))
