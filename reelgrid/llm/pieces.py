@@ -8,9 +8,11 @@ emptied when it holds `limit` pieces, so memory is bounded; a text without a saf
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _loaded: dict = {}
 
@@ -46,47 +48,61 @@ class ByteLevelPieces:
 
     def _learn(self, new: list[str]) -> None:
         """A space and a word without one open with a token that begins with a space, the only one: many go at once."""
-        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.at.update(dict.fromkeys(set(new).difference(safe), -1))
+        safe = [w for w in new if w and w == w.strip()]
+        if len(safe) < len(new):
+            self.at.update(dict.fromkeys(set(new).difference(safe), -1))
         ids, size = [], []
         for lo in range(0, len(safe), 400):
-            some = [" " + w for w in safe[lo : lo + 400]]
-            x = self._encode(["".join(some)])[0]
+            some = safe[lo : lo + 400]
+            x = self._encode([" " + " ".join(some)])[0]
             cut = np.flatnonzero(self.opens[x])
             if len(cut) == len(some) and cut[0] == 0:
                 ids.append(x)
                 size.append(np.diff(np.append(cut, len(x))))
             else:
-                each = self._encode(some)
+                each = self._encode([" " + w for w in some])
                 ids += each
                 size.append(np.array([len(e) for e in each]))
         if safe:
             self._keep(self.at, safe, np.concatenate(ids), np.concatenate(size))
 
-    def ids(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in turn, each followed by end, and the number of each text's."""
-        if not texts:
+    def ids(self, texts: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, each followed by end, and the number of each text's. null is empty.
+
+        Words are split and told apart in Arrow; only the different ones of a call are looked up in the cache.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.at) + len(self.head) > self.limit:
             self._clear()
-        words = [t.split(" ") for t in texts]
-        if new := set().union(*(w[1:] for w in words)).difference(self.at):
-            self._learn(list(new))
-        if heads := list({w[0] for w in words}.difference(self.head)):
+        split = pc.split_pattern(pc.fill_null(column, "") if column.null_count else column, " ")
+        edge, words = split.offsets.to_numpy().astype(np.int64), split.values
+        first = words.take(pa.array(edge[:-1])).to_pylist()
+        if heads := list(set(first).difference(self.head)):
             each = self._encode(heads)
             self._keep(self.head, heads, np.concatenate(each), np.array([len(e) for e in each]))
-        n = np.array([len(w) for w in words], np.int64)
-        edge = np.concatenate(([0], np.cumsum(n)))
-        index = np.fromiter(map(self.at.get, chain.from_iterable(words), repeat(0)), np.int64, int(edge[-1]))
-        index[edge[:-1]] = [-1 if w[0][-1:].isspace() else self.head[w[0]] for w in words]
+        coded = words.dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        inner = np.ones(len(code), bool)
+        inner[edge[:-1]] = False
+        used = np.zeros(len(names), bool)
+        used[code[inner]] = True
+        place = np.fromiter(map(self.at.get, names, repeat(-2)), np.int64, len(names))
+        if len(missing := np.flatnonzero((place == -2) & used)):
+            new = [names[i] for i in missing]
+            self._learn(new)
+            place[missing] = [self.at[w] for w in new]
+        index = place[code]
+        index[edge[:-1]] = [-1 if w[-1:].isspace() else self.head[w] for w in first]
         hard = np.unique(np.searchsorted(edge, np.flatnonzero(index < 0), "right") - 1)
-        size = np.where(index < 0, 0, self.first[index + 1] - self.first[index])
-        total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - self.first[index], size)]
-        count = np.diff(total[edge])
+        known = pa.LargeListArray.from_arrays(pa.array(self.first), pa.array(self.flat))
+        found = known.take(pa.array(index, mask=index < 0))
+        flat = found.flatten().to_numpy()
+        count = np.diff(found.offsets.to_numpy()[edge])
         if len(hard):  # these go to the library whole
             parts = np.split(flat, np.cumsum(count)[:-1])
-            for i, x in zip(hard, self._encode([texts[i] for i in hard]), strict=True):
+            for i, x in zip(hard, self._encode([column[i].as_py() or "" for i in hard]), strict=True):
                 parts[i] = x
             flat, count = np.concatenate(parts), np.array([len(x) for x in parts])
         if end is None:

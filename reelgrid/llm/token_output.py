@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reelgrid.llm.pieces import ByteLevelPieces, default_path, loaded
-from reelgrid.llm.words import small_batches
+from reelgrid.llm.words import small_batches, string_buffers
 from reelgrid.plans.scratch import scratch_dir
 
 _HEAD = struct.Struct("<4sBBHIIQ")
@@ -86,6 +87,26 @@ def decode_planes(data: bytes, only: int | None = None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """ids and texts of about `most` bytes at a time, or one text if that is longer."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        _, edge = string_buffers(batch.column("text"))
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + most - size, "right")) - 1)
+            if texts and size + edge[hi] - edge[lo] > most:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+                continue
+            ids.append(batch.column("id").slice(lo, hi - lo))
+            texts.append(batch.column("text").slice(lo, hi - lo))
+            size += int(edge[hi] - edge[lo])
+            lo = hi
+    if texts:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
 def _write(path: str, end: int, segment: int, block: int, bits: bool, id_type: pa.DataType):
     names = ["part", "seq", "first", "n_ids", "doc_ids", "counts", "data"]
 
@@ -100,19 +121,18 @@ def _write(path: str, end: int, segment: int, block: int, bits: bool, id_type: p
             lists = [pa.array([docs], pa.list_(id_type)), pa.array([np.concatenate(counts)], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*cols, *lists, pa.array([encode_planes(ids, block, bits)], pa.binary())], names=names)
 
-        for batch in batches:
-            ids, texts, lo = batch.column("id"), batch.column("text"), 0
-            while lo < len(batch):
-                some, size = [], 0
-                while lo + len(some) < len(batch) and size < 1 << 19:
-                    some.append(texts[lo + len(some)].as_py() or "")
-                    size += len(some[-1])
-                x, n = encoder.ids(some, end)
-                docs += ids.slice(lo, len(some)).to_pylist()
-                flat.append(x)
-                counts.append(n)
-                held += len(x)
-                lo += len(some)
+        for ids, texts in _gathered(batches):
+            x, n = encoder.ids(texts, end)
+            edge = np.concatenate(([0], np.cumsum(n)))
+            lo = 0
+            while lo < len(n):
+                # whole documents until the segment is full
+                hi = min(len(n), max(lo + 1, int(np.searchsorted(edge, edge[lo] + segment - held, "left"))))
+                docs += ids.slice(lo, hi - lo).to_pylist()
+                flat.append(x[edge[lo] : edge[hi]])
+                counts.append(n[lo:hi])
+                held += int(edge[hi] - edge[lo])
+                lo = hi
                 if held >= segment:
                     yield segment_row()
                     seq, first, held, docs, counts, flat = seq + 1, first + held, 0, [], [], []
@@ -135,7 +155,7 @@ def write_tokens(
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     docs = docs.repartitionByRange(parts, F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
     schema = f"part int, seq int, first long, n_ids long, doc_ids array<{kind}>, counts array<long>, data binary"
     docs.mapInArrow(_write(path or default_path("byte_bpe_50k.json"), end, segment, block, bits, id_type), schema).write.mode("overwrite").parquet(out)
 
