@@ -140,8 +140,8 @@ def remove_repeated_chunks(
 
     Returns doc_id, n_lines, n_removed (lines), kept_sha256 and, with_text, kept_text: the lines left, joined by line
     feeds. Lines are what line feeds part, compared byte by byte; null and empty texts have none. The first occurrence
-    in order of id (null first), then a hash of the text, then place, stays. Rows equal in id and text stay or go
-    together. Other columns are left aside. An empty table gives an empty result.
+    in order of id (null first), then a hash of the text, then place, stays. Of rows equal in id and text one is the
+    first, the others lose what it keeps. Other columns are left aside. An empty table gives an empty result.
     """
     docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -150,15 +150,30 @@ def remove_repeated_chunks(
     live = materialise(chunks.join(again, "h"), "again")
     release(chunks)
 
-    def of_docs(rows: DataFrame, name: str, fields: list[str], how: str) -> DataFrame:
-        lists = rows.groupBy("key", "id").agg(F.collect_set(F.struct(*fields)).alias(name)).select(F.col("key").alias("k"), F.col("id").alias("i"), name)
+    # equal rows share a line here; c is how many they are
+    live = live.groupBy("h", "id", "key", "at", "size").agg(F.count("*").alias("c"))
+
+    def of_docs(lists: DataFrame, how: str) -> DataFrame:
+        lists = lists.withColumnsRenamed({"key": "k", "id": "i"})
         # dealt out by hash at every size: the lists grow with the documents
-        return docs.join(lists.hint("merge"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), how).select("id", "key", "text", name)
+        return docs.join(lists.hint("merge"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), how).drop("k", "i")
 
-    body = of_docs(live, "wanted", ["h", "at", "size"], "inner").mapInArrow(_bytes, f"h long, id {kind}, key long, at int, body binary")
+    wanted = live.groupBy("key", "id").agg(F.collect_list(F.struct("h", "at", "size")).alias("wanted"))
+    body = of_docs(wanted, "inner").mapInArrow(_bytes, f"h long, id {kind}, key long, at int, body binary")
     stays = body.groupBy("h", "body").agg(F.min(F.struct("id", "key", "at")).alias("one")).select(
-        F.col("one.id").alias("i"), F.col("one.key").alias("k"), F.col("one.at").alias("a")
+        F.col("one.id").alias("i"), F.col("one.key").alias("k"), F.col("one.at").alias("a"), F.lit(True).alias("stays")
+    )
+    marked = live.join(stays, (F.col("key") == F.col("k")) & (F.col("at") == F.col("a")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    place = F.struct("at", "size")
+    cuts = marked.groupBy("key", "id").agg(
+        F.collect_list(F.when(F.col("stays").isNull(), place)).alias("gone"), F.collect_list(place).alias("all"), F.max(F.col("stays") & (F.col("c") > 1)).alias("several")
     )
-    gone = live.join(stays, (F.col("key") == F.col("k")) & (F.col("at") == F.col("a")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
+    cuts = cuts.select("key", "id", "gone", F.when(F.coalesce("several", F.lit(False)), F.col("all")).alias("rest"))
+    found = of_docs(cuts, "left")
+    alone = found.where("rest is null").select("id", "text", "gone")
+    # of equal rows one keeps what stays; they are alike, so their number says which
+    alike = found.where("rest is not null").groupBy("key", "id").agg(F.first("text").alias("text"), F.first("gone").alias("gone"), F.first("rest").alias("rest"), F.count("*").alias("n"))
+    each = F.concat(F.array("gone"), F.array_repeat("rest", (F.col("n") - 1).cast("int")))
+    rows = alone.unionByName(alike.select("id", "text", F.explode(each).alias("gone")))
     out = f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return of_docs(gone, "gone", ["at", "size"], "left").mapInArrow(_remove(with_text), out)
+    return rows.mapInArrow(_remove(with_text), out)

@@ -91,11 +91,11 @@ def test_lines_against_brute_force(spark):
         for a, b in zip(cut, cut[1:], strict=False):
             if b - a >= 2 and any(x.strip() for x in lines[a:b]):
                 groups["\n".join(lines[a:b])].append((n, int(a), int(b)))
+    # the first of equal rows comes before the others in all groups
     for places in groups.values():
         places.sort(key=lambda p: (rows[p[0]][0] is not None, rows[p[0]][0] or 0, keys[p[0]], p[1]))
         for n, a, b in places[1:]:
-            if not (rows[n] == rows[places[0][0]] and a == places[0][1]):
-                gone[n] |= set(range(a, b))
+            gone[n] |= set(range(a, b))
     want = []
     for n, (i, text) in enumerate(rows):
         lines = text.split("\n") if text else []
@@ -106,6 +106,15 @@ def test_lines_against_brute_force(spark):
     assert line_chunks.remove_repeated_chunks(df.where("false")).count() == 0
 
 
+def test_equal_rows_are_deduplicated(spark):
+    text = "one line\nanother line\nthird line\nthe last line"
+    df = spark.createDataFrame([(1, text)] * 3 + [(None, text), (2, "x\ny")], "doc_id long, text string")
+    got = line_chunks.remove_repeated_chunks(df).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 4, 4, 4] and sum(r.kept_text == text for r in got) == 1
+    pair = line_chunks.remove_repeated_chunks(df.where("doc_id = 1")).collect()
+    assert sorted(r.n_removed for r in pair) == [0, 4, 4]
+
+
 def test_boundaries_move_with_the_text():
     lines = [f"line {i}".encode() for i in range(200)]
     one = line_chunks.chunk_edges(line_chunks.line_hashes(b"\n".join(lines)), 2, 3)
