@@ -216,36 +216,20 @@ def person_summary(spark, sf_dir):
     return people.person_summary(_persons(spark, sf_dir), _tracks(spark, sf_dir)).withColumn("class", people.person_class())
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def people_without_tracks(spark, sf_dir):
-    return people.without_tracks(_persons(spark, sf_dir), _tracks(spark, sf_dir).where("id % 5 = 0")).select("id")
+    return people.without_tracks(_persons(spark, sf_dir), _tracks(spark, sf_dir)).select("id")
 
 
-@query("""WITH t AS (SELECT DISTINCT event_id AS id, user_id, strftime(ts,'%Y-%m-%d %H') AS hour FROM events WHERE event_id % 3 = 0)
+@query("""WITH t AS (SELECT DISTINCT event_id AS id, user_id, strftime(ts,'%Y-%m-%d %H') AS hour FROM events)
 SELECT DISTINCT l.id AS a, r.id AS b FROM t l JOIN t r ON l.user_id = r.user_id AND l.hour = r.hour AND l.id < r.id""")
 def cannot_links(spark, sf_dir):
     """Tracks of a scene that share a second: events of a user in one hour."""
-    return _cannot_links(table(spark, sf_dir, "events").where("event_id % 3 = 0"))
-
-
-def _cannot_links(e):
+    e = table(spark, sf_dir, "events")
     hour = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)).cast("int")
     return people.cannot_links(e.select(F.lit("t").alias("tape_id"), F.col("user_id").cast("string").alias("scene_id"), F.col("event_id").alias("id"), F.array(hour, hour).alias("times")))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def people_without_tracks_all(spark, sf_dir):
-    """people_without_tracks over all tracks."""
-    return people.without_tracks(_persons(spark, sf_dir), _tracks(spark, sf_dir)).select("id")
-
-
-@query("""WITH t AS (SELECT DISTINCT event_id AS id, user_id, strftime(ts,'%Y-%m-%d %H') AS hour FROM events)
-SELECT DISTINCT l.id AS a, r.id AS b FROM t l JOIN t r ON l.user_id = r.user_id AND l.hour = r.hour AND l.id < r.id""")
-def cannot_links_all(spark, sf_dir):
-    """cannot_links over all events."""
-    return _cannot_links(table(spark, sf_dir, "events"))
-
-
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
@@ -258,14 +242,14 @@ def centroids(spark, sf_dir):
 
 
 _CENTRE = f"""e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), c AS (SELECT vec_id AS centre, v AS w FROM e WHERE vec_id < 8),
-s AS (SELECT vec_id, centre, list_inner_product(v, w) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(v, w) DESC, centre) AS r FROM e CROSS JOIN c WHERE vec_id >= 8),
+s AS (SELECT vec_id, centre, list_inner_product(v, w) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(v, w) DESC, centre) AS r FROM e CROSS JOIN c),
 b AS (SELECT vec_id, max(centre) FILTER (r = 1) AS centre, max(s) FILTER (r = 1) AS best, max(s) FILTER (r = 2) AS second FROM s GROUP BY vec_id)"""
 
 
 def _nearest(spark, sf_dir, threshold: float, margin: float | None):
     e = table(spark, sf_dir, "embeddings")
     centres = e.where("vec_id < 8").select(F.col("vec_id").alias("centre"), F.col("embedding").alias("centroid"))
-    n = people.nearest(e.where("vec_id >= 8"), centres, "vec_id", "centre", threshold, margin)
+    n = people.nearest(e, centres, "vec_id", "centre", threshold, margin)
     return n.select("vec_id", "centre", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"))
 
 
@@ -328,27 +312,10 @@ def none_of_tags(spark, sf_dir):
     return search.having_none(d.select("user_id", "day").distinct(), d, ["user_id", "day"], "event_type", two)
 
 
-_ASKED = (0, 7, 21, 42)
-
-
-@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), s AS (SELECT q.vec_id AS asked, e.vec_id, list_inner_product(q.v, e.v) AS s FROM e JOIN e q ON q.vec_id IN {_ASKED} AND e.vec_id NOT IN {_ASKED}),
-b AS (SELECT asked, max(s) AS best FROM s GROUP BY asked) SELECT asked, vec_id, round(s, 6) AS score FROM s JOIN b USING (asked) WHERE s >= greatest(0.075::DOUBLE, best - 0.035::DOUBLE)""")
-def vector_search_band(spark, sf_dir):
-    """Vectors within the band of the best, for four queries."""
-    e = table(spark, sf_dir, "embeddings")
-    frames = e.where(~F.col("vec_id").isin(*_ASKED)).select(F.lit("t").alias("tape_id"), F.col("vec_id").cast("string").alias("scene_id"), F.lit(0.0).alias("t"), F.lit(1.0).alias("t_end"), F.col("embedding").alias("emb"))
-    out = None
-    for r in e.where(F.col("vec_id").isin(*_ASKED)).orderBy("vec_id").collect():
-        hits = search.similar_frames(frames, frames.select("tape_id", "scene_id"), tuple(r["embedding"]))
-        hits = hits.select(F.lit(r["vec_id"]).cast("long").alias("asked"), F.col("scene_id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 @query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), s AS (SELECT q.vec_id AS asked, e.vec_id, list_inner_product(q.v, e.v) AS s FROM e JOIN e q ON q.vec_id % 20 = 0),
 b AS (SELECT asked, max(s) AS best FROM s GROUP BY asked) SELECT asked, vec_id, round(s, 6) AS score FROM s JOIN b USING (asked) WHERE s >= greatest(0.075::DOUBLE, best - 0.035::DOUBLE)""")
-def vector_search_band_all(spark, sf_dir):
-    """vector_search_band for every vector whose id is divisible by 20, against all vectors."""
+def vector_search_band(spark, sf_dir):
+    """Vectors within the band of the best, for every vector whose id is divisible by 20, against all vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("v"))
     return search.bands_of(asked, e, "asked", "v", "vec_id", "embedding").withColumn("score", F.round("score", 6))
@@ -390,13 +357,13 @@ def tag_counts(spark, sf_dir):
 def _scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     prompts = e.where("vec_id < 12").select((F.col("vec_id") % 4).cast("string").alias("tag"), F.when(F.col("vec_id") < 8, "own").otherwise("rival").alias("role"), F.col("embedding").alias("vector"))
-    frames = e.where("vec_id >= 12").withColumnRenamed("embedding", "emb")
+    frames = e.withColumnRenamed("embedding", "emb")
     s = tags.score_tags(frames, prompts, ["vec_id", "label"]).groupBy("vec_id", "label", "tag").agg(F.max(F.when(F.col("role") == "own", F.col("score"))).alias("score"), F.max(F.when(F.col("role") == "rival", F.col("score"))).alias("rival"))
     return s.withColumn("scene", F.floor(F.col("vec_id") / 5))
 
 
 _SCORES = f"""e AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), s AS (SELECT e.vec_id, e.label, (p.vec_id % 4)::VARCHAR AS tag, max(list_inner_product(e.v, p.v)) FILTER (p.vec_id < 8) AS score, max(list_inner_product(e.v, p.v)) FILTER (p.vec_id >= 8) AS rival
-  FROM e JOIN e p ON p.vec_id < 12 AND e.vec_id >= 12 GROUP BY ALL)"""
+  FROM e JOIN e p ON p.vec_id < 12 GROUP BY ALL)"""
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, tag, round(score, 6) AS score, round(rival, 6) AS rival FROM s")
@@ -468,20 +435,10 @@ def interval_overlap_binned(spark, sf_dir):
     return intervals.overlapping_binned(a, b, ["user_id"], ("a0", "a1"), ("b0", "b1"), 6 * 3600.0)
 
 
-@query(f"""WITH {_SPANS}, p AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE) AS times FROM events WHERE event_id % 5 = 0 GROUP BY 1) SELECT i.user_id, event_type, t0, t1 FROM i JOIN p USING (user_id) WHERE len(list_filter(times, lambda x: x BETWEEN t0 AND t1)) > 0""")
-def point_in_interval(spark, sf_dir):
-    return _seen(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 5 = 0"))
-
-
 @query(f"""WITH {_SPANS}, p AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE) AS times FROM events GROUP BY 1) SELECT i.user_id, event_type, t0, t1 FROM i JOIN p USING (user_id) WHERE len(list_filter(times, lambda x: x BETWEEN t0 AND t1)) > 0""")
-def point_in_interval_all(spark, sf_dir):
-    """point_in_interval over the points of all events."""
-    return _seen(spark, sf_dir, table(spark, sf_dir, "events"))
-
-
-def _seen(spark, sf_dir, e):
+def point_in_interval(spark, sf_dir):
     t = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
-    p = e.groupBy("user_id").agg(F.collect_list(t).alias("times"))
+    p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(t).alias("times"))
     return _islands(spark, sf_dir).join(p, "user_id").where(intervals.seen_within(F.col("times"), F.col("t0"), F.col("t1"))).select("user_id", "event_type", "t0", "t1")
 
 
@@ -643,9 +600,12 @@ def changed_captions(spark, sf_dir):
     return films.changed_captions(_pieces(spark, sf_dir), ["film"]).select("film", "pos", "shown")
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT user_id AS id, (floor(epoch(ts))::BIGINT % 20000)::DOUBLE AS t, value AS s FROM events), v AS (SELECT DISTINCT id FROM c),
+b AS (SELECT id, 0 AS n, 0.0::DOUBLE AS at FROM v UNION ALL SELECT b.id, b.n + 1, coalesce(-max({'s': c.s, 'back': -c.t}).back, b.at + 300) FROM b LEFT JOIN c ON c.id = b.id AND c.t BETWEEN b.at + 45 AND b.at + 300 WHERE 20000 - b.at > 300 GROUP BY b.id, b.n, b.at),
+k AS (SELECT id, at FROM b WHERE n = 0 OR 20000 - at >= 45)
+SELECT id, at AS clip_start, lead(at, 1, 20000.0::DOUBLE) OVER (PARTITION BY id ORDER BY at) AS clip_end FROM k""")
 def planned_clips(spark, sf_dir):
-    """Clips of long videos, a user's month standing for one; sequential, so tests hold it against a plain loop."""
+    """Clips of long videos, a user's events standing for the cuts of one."""
     t = (F.unix_timestamp(F.col("ts").cast("timestamp")) % 20_000).cast("double")
     cuts = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), t.alias("t"), F.col("value").alias("strength"))
     return films.plan_clips(cuts.select("id").distinct().withColumn("duration", F.lit(20_000.0)), cuts)
