@@ -17,11 +17,11 @@ from reelgrid.streaming import jobs
 def test_components_match_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 1), (5, 5), (100, 101), (101, 102)]
-    sets = clustering.Sets()
-    for a, b in edges:
-        if a is not None and a != b:
-            sets.join(a, b)
-    want = {x: min(g) for g in sets.groups() for x in g}
+    want = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a in want and b in want and a != b:
+                want[a] = want[b] = min(want[a], want[b])
     got = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.vertex: r.component for r in got.collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -244,21 +244,42 @@ def test_people(spark):
     assert [(r.a, r.b) for r in people.differently_named(persons).collect()] == [(10, 20)]
 
 
-def test_clustering_rules():
+def test_clustering_rules(spark):
     rng = np.random.default_rng(4)
     base = [_unit(rng.normal(size=64)) for _ in range(3)]
-    face = lambda i, k, noise=0.05, front=0.9, times=(0,), scene=None: {"id": i, "person_id": None, "tape_id": "t", "scene_id": str(i) if scene is None else scene, "times": list(times), "arc": _unit(np.array(base[k]) + noise * rng.normal(size=64)), "frontal": front, "rq": 1.0}
+    schema = "workspace string, id long, person_id long, tape_id string, scene_id string, times array<int>, arc array<double>, frontal double, rq double"
+    face = lambda i, k, noise=0.05, front=0.9, times=(0,), scene=None, person=None, arc=True: ("w", i, person, "t", scene or str(i), list(times), _unit(np.array(base[k]) + noise * rng.normal(size=64)) if arc else None, front, 1.0)
+
+    def groups(tracks, feedback=(), people=()):
+        said = spark.createDataFrame([("w", *x) for x in feedback], "workspace string, kind string, a long, b long")
+        who = spark.createDataFrame([("w", *x) for x in people], "workspace string, id long, name string, anchor long")
+        rows = clustering.cluster_workspaces(spark.createDataFrame(tracks, schema), who, said).collect()
+        owner = {r.track: r.person_id for r in rows}
+        found = {}
+        for r in rows:
+            found.setdefault(r.group, set()).add(r.track)
+        assert sorted(owner) == sorted(t[1] for t in tracks)
+        return sorted(found.values(), key=min), owner
+
     tracks = [face(i, i % 3) for i in range(12)]
-    groups = clustering.plan_groups(tracks, [], [])
-    assert sorted(sorted(g["tracks"]) for g in groups) == [[0, 3, 6, 9], [1, 4, 7, 10], [2, 5, 8, 11]]
-    apart = clustering.plan_groups(tracks, [("diff", 0, 3)], [])
-    assert not any({0, 3} <= set(g["tracks"]) for g in apart) and sorted(t for g in apart for t in g["tracks"]) == list(range(12))
-    same = clustering.plan_groups(tracks, [("same", 0, 1)], [])
-    assert any({0, 1} <= set(g["tracks"]) for g in same)
-    weak = clustering.plan_groups([*tracks, face(50, 1, 0.1, 0.1), {**face(51, 1), "arc": None, "person_id": 9}], [], [{"id": 5, "name": "Ann", "anchor": 1}])
-    assert next(g["person_id"] for g in weak if 50 in g["tracks"]) == 5 and next(g for g in weak if 51 in g["tracks"])["person_id"] == 9
-    together = [face(0, 0, scene="s", times=(1, 2)), face(1, 0, scene="s", times=(2, 3))]
-    assert len(clustering.plan_groups(together, [], [])) == 2
+    assert groups(tracks)[0] == [{0, 3, 6, 9}, {1, 4, 7, 10}, {2, 5, 8, 11}]
+    assert not any({0, 3} <= g for g in groups(tracks, [("diff", 0, 3), ("diff", 0, 999)])[0])
+    assert any({0, 1} <= g for g in groups(tracks, [("same", 0, 1)])[0])
+    assert not any({0, 3} <= g for g in groups(tracks, [], [(5, "Ann", 0), (6, "Bob", 3)])[0])
+    found, owner = groups([*tracks, face(50, 1, 0.1, 0.1), face(51, 1, arc=False, person=9)], [], [(5, "Ann", 1)])
+    assert {1, 4, 7, 10, 50} in found and {51} in found and owner[50] == owner[1] == 5 and owner[51] == 9
+    assert len(groups([face(0, 0, scene="s", times=(1, 2)), face(1, 0, scene="s", times=(2, 3))])[0]) == 2
+    # confirmed faces come home with their group, or alone if they may be the person; a profile can't be judged
+    said = [("confirm", 0, 1), ("confirm", 1, 4), ("confirm", 4, 7)]
+    assert {0, 3, 6, 9, 1, 4, 7, 10} in groups(tracks, said, [(5, "Ann", 0)])[0]
+    lone = [*tracks[:6], face(60, 2, front=0.1, scene="0", times=(7,))]
+    assert any({0, 60} <= g for g in groups(lone, [("confirm", 0, 60)], [(5, "Ann", 0)])[0])
+    # a weak anchor gives way to the best frontal track of its person; old people keep their groups
+    weak = [face(70, 0, 1.0, 0.1, person=8), face(71, 0, person=8), *(face(80 + i, 1, person=4) for i in range(2))]
+    found, owner = groups(weak, [], [(8, "Eve", 70)])
+    assert owner[71] == 8 and owner[80] == owner[81] == 4
+    with pytest.raises(Exception, match="more than 3"):
+        clustering.cluster_workspaces(spark.createDataFrame(tracks, schema), spark.createDataFrame([], "workspace string, id long, name string, anchor long"), spark.createDataFrame([], "workspace string, kind string, a long, b long"), most=3).collect()
 
 
 def test_average_linkage_merges_best_first():
@@ -287,16 +308,50 @@ def test_tracks_and_assignment(spark):
     assert {r.id: r.person for r in clustering.assign_people(df, 0.6).collect()} == {**{i: i % 3 for i in range(9)}, 100: 0}
 
 
-def test_clips_and_films(spark):
-    cuts = [(30, 0.9), (100, 0.4), (130, 0.8), (290, 0.5), (420, 0.95), (560, 0.6)]
-    assert films.clip_bounds(cuts, 600)[:2] == [(0, 130), (130, 420)] and films.clip_bounds(cuts, 600)[-1][1] == 600
-    assert films.clip_bounds([], 620) == [(0, 300), (300, 620)] and films.clip_bounds([], 100) == [(0, 100)]
-    got = films.plan_clips(spark.createDataFrame([(1, 600.0)], "id long, duration double"), spark.createDataFrame([(1, float(t), s) for t, s in cuts], "id long, t double, strength double")).orderBy("clip_start").collect()
-    assert [(r.clip_start, r.clip_end) for r in got] == films.clip_bounds(cuts, 600)
-    rows = [{"tape_id": "t", "scene_id": str(i % 4), "date": f"200{i % 3}-01-01", "time": None, "kind": "photo" if i % 2 else "dv", "start": float(5 * i), "length": 5.0, "score": i / 10} for i in range(40)]
-    film = films.choose(rows, 60, 3)
-    assert film == films.choose(rows, 60, 3) and all(sum(c["scene_id"] == str(k) for c in film) <= 2 for k in range(4))
-    assert len({c["date"] for c in film}) == 3 and [c["date"] for c in film] == sorted(c["date"] for c in film)
+def _clip_ends(cuts, duration, least=45, most=300):
+    """Plain loop."""
+    if duration <= most:
+        return [duration]
+    ends = []
+    while duration - (ends[-1] if ends else 0) > most:
+        at = ends[-1] if ends else 0
+        strong = sorted((-s, t) for t, s in cuts if least <= t - at <= most)
+        ends.append(strong[0][1] if strong else at + most)
+    return [*(ends if duration - ends[-1] >= least else ends[:-1]), duration]
+
+
+def test_clips(spark):
+    rng = random.Random(2)
+    videos = [(0, 600.0, [(30, 0.9), (100, 0.4), (130, 0.8), (290, 0.5), (420, 0.95), (560, 0.6)]), (1, 620.0, []), (2, 100.0, []), (3, None, [(5, 1.0)])]
+    videos += [(10 + k, 2000 * rng.random(), [(2000 * rng.random(), rng.choice([0.3, 0.5, rng.random()])) for _ in range(40)]) for k in range(20)]
+    got = films.plan_clips(spark.createDataFrame([v[:2] for v in videos], "id long, duration double"), spark.createDataFrame([(v[0], float(t), s) for v in videos for t, s in v[2]], "id long, t double, strength double")).collect()
+    for i, d, cuts in videos:
+        own = sorted((r.clip_start, r.clip_end) for r in got if r.id == i)
+        ends = _clip_ends(cuts, d) if d else []
+        assert own == list(zip([0.0, *ends[:-1]], ends, strict=True) if ends else [])
+    log = [(1, 0, "frame:0 pts_time:1.5"), (1, 1, "lavfi.scene_score=0.41"), (1, 2, "lavfi.scene_score=0.9"), (1, 3, "pts_time:7"), (1, 4, "pts_time:8"), (1, 5, "lavfi.scene_score=0.5"), (1, 6, "x")]
+    assert sorted(map(tuple, films.shot_cuts(spark.createDataFrame(log, "id long, n int, line string")).collect())) == [(1, 1.5, 0.41), (1, 8.0, 0.5)]
+
+
+def test_films(spark):
+    rows = [("p", "t", str(i % 4), f"200{i % 3}-01-01" if i % 13 else None, None, "photo" if i % 2 else "dv", float(5 * i), 5.0, i / 10) for i in range(40)]
+    m = spark.createDataFrame(rows, "person string, tape_id string, scene_id string, date string, time string, kind string, start double, length double, score double")
+    film = films.pick_films(m, ["person"], 60.0, 3).orderBy("pos").collect()
+    assert film == films.pick_films(m.repartition(3), ["person"], 60.0, 3).orderBy("pos").collect() and [r.pos for r in film] == list(range(len(film)))
+    for k in range(4):
+        starts = sorted(r.start for r in film if r.scene_id == str(k))
+        assert len(starts) <= 2 and all(b - a >= 10 for a, b in zip(starts, starts[1:], strict=False))
+    assert len({r.date for r in film}) == 4 and [r.date or "9999" for r in film] == sorted(r.date or "9999" for r in film)
+    assert sum(r.kind == "photo" for r in film) <= max(2, 0.4 * len(film) + 1)
+    # parts give one each before any gives two, the worthiest first; moments of earlier films count less
+    ranked = films.in_turn(m, ["person"], 3).toPandas()
+    order = [ranked.loc[i] for i in films.reel(ranked, 60.0)]
+    assert len({r["part"] for r in order[:4]}) == 4 and all(0.7 <= r["worth"] / r["score"] <= 1 for r in order if r["score"])
+    used = films.used_moments(m).withColumn("person", F.lit("p"))
+    worn = films.in_turn(m, ["person"], 3, used).agg(F.sum("worth")).first()[0]
+    assert worn == pytest.approx(0.4 * ranked["worth"].sum())
+    with pytest.raises(Exception, match="more than 5"):
+        films.pick_films(m, ["person"], 60.0, most=5).collect()
 
 
 def test_trim_equals_removing_the_lowest(spark):
@@ -312,14 +367,15 @@ def test_trim_equals_removing_the_lowest(spark):
     assert {(r.film, r.pos) for r in films.trim_to_budget(df, ["film"], F.lit(20.0)).collect()} == want
 
 
-def test_sound():
+def test_sound(spark):
     rate, t = 11025, np.arange(11025 * 20) / 11025
     clicks = ((t % 0.5) < 0.02) * np.random.default_rng(0).normal(size=len(t))
     period, first = films.beat_grid(clicks.astype(np.float32), rate)
     assert abs(period - 0.5) < 0.01 and min(first % 0.5, 0.5 - first % 0.5) < 0.06
     x = np.full(12800, 1000, np.int16)
     x[320 * 20 : 320 * 21] = 0
-    assert films.quiet_start(x, 2.0) == pytest.approx(1.2 + 20 * 0.04)
+    df = spark.createDataFrame([(x.tolist(), 2.0), (x.tolist(), 0.5), ([5] * 900, 2.0)], "x array<int>, t double")
+    assert [r[0] for r in df.select(films.quiet_start(F.col("x"), F.col("t"))).collect()] == [pytest.approx(1.2 + 20 * 0.04), pytest.approx(20 * 0.04), 2.0]
 
 
 def test_state(spark):
