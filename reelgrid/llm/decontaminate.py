@@ -1,119 +1,134 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
-
-1. words of the test items are counted in all documents (map-side sums of a vocabulary that the benchmark bounds);
-2. an item's n-grams are seeds if they are rare: if independent words of these frequencies meet less often than `rate`
-   a position. Judged so, an item that was copied a million times keeps its seeds. An item without a rare n-gram keeps
-   all of its n-grams;
-3. each document, whole in its row, is searched for seeds; hits of one item whose diagonals lie near each other form a
-   passage, which is aligned with the item: match 1, mismatch and gap -0.5, best local score by the item's length.
-
-The benchmark is broadcast in shards of a checked size, one pass over the documents for each; documents are never
-shuffled. Words are runs of letters, digits and non-ASCII characters, in lower case.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+1. the items' n-grams are a table; documents are scanned for them and their counts in all documents joined to it. A
+   bitmap of fixed size tells the scan which n-grams can't be an item's: others never leave it;
+2. an item's seeds are its n-grams that are rare: counted at most `floor` times, `rate` a position, or as often as half
+   of the item's n-grams. So an item copied a million times keeps its seeds, and every item has some;
+3. a second scan finds the seeds' places, which a join by n-gram hash brings together with the items. Hits of a document
+   and item on neighbouring diagonals make a passage; only diagonals by steps of half an item leave a task;
+4. documents with passages (joined by key; Spark broadcasts the passages where their table is small and shuffles beyond)
+   are aligned with the items: match 1, mismatch and gap -0.5, best local score by the item's length.
+
+No table but the bitmap reaches the driver. Words are runs of letters, digits and non-ASCII characters, in lower case.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reelgrid.llm.words import PUNCTUATION, as_long, blocks, run_hashes, small_batches
+from reelgrid.plans.scratch import materialise
 
 MISS, GAP = 0.5, 0.5
+_BITS, _PART = 24, 16
 
 
-def _tokens(texts: list[str | None]) -> list[np.ndarray]:
-    out = []
-    for b in blocks(pa.array(texts, pa.string()), apart=PUNCTUATION):
-        x = b.hashes()
-        out += [x[b.first[r] : b.first[r + 1]] for r in range(b.rows)]
-    return out
+def _items(n: int):
+    """mapInArrow: the words of each item, and how many its n-grams have."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for b in blocks(batch.column("text"), apart=PUNCTUATION):
+                x = b.hashes()
+                words += [x[b.first[r] : b.first[r + 1]] for r in range(b.rows)]
+            size = np.array([len(w) for w in words], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item"), batch.column("no"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(size), pa.array(np.minimum(size, n))], names=["item", "no", "words", "size", "k"]
+            )
 
-def _filter(keys: np.ndarray, bits: int = 20) -> np.ndarray:
-    """A table that tells by their low bits which hashes can't be among keys."""
-    out = np.zeros(1 << bits, bool)
-    out[(keys & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-    return out
+    return run
 
 
-def _find(x: np.ndarray, keys: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x whose hash is among the sorted keys, and which key it is."""
-    at = np.flatnonzero(mask[(x & np.uint64(len(mask) - 1)).astype(np.int64)])
-    which = np.minimum(np.searchsorted(keys, x[at]), len(keys) - 1)
-    good = keys[which] == x[at]
-    return at[good], which[good]
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: the n-grams of each item with their places."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("no", "words", "k")), strict=True)
+        for no, words, k in rows:
+            h = run_hashes(np.frombuffer(words, np.uint64), k)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(np.full(len(h), no)), pa.array(np.arange(len(h)))], names=["h", "no", "place"])
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: the marked parts of a bitmap of hashes by their low bits."""
+    out = np.zeros(1 << _BITS, bool)
+    for batch in batches:
+        out[(batch.column("h").to_numpy().view(np.uint64) & np.uint64(len(out) - 1)).astype(np.int64)] = True
+    parts = out.reshape(-1, 1 << _PART)
+    some = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: each part once."""
+    held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(1 << (_PART - 3), np.uint8))
+    for batch in batches:
+        for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            held[part] |= np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+
+def hash_filter(hashes: DataFrame):
+    """A broadcast table that tells by the low bits which hashes can't be among those of hashes (h): 2 MB at any size."""
+    schema = "part long, bits binary"
+    parts = hashes.mapInArrow(_bitmap, schema).repartition(4, "part").mapInArrow(_merged, schema).collect()  # 256 parts at most
+    out = np.zeros((1 << (_BITS - _PART), 1 << (_PART - 3)), np.uint8)
+    for r in parts:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(np.unpackbits(out.ravel()).astype(bool))
+
+
+def _found(column: pa.Array, sizes: list[int], mask: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, word, hash) of n-grams that the mask lets pass, by block of texts; every size in turn."""
+    for b in blocks(column, apart=PUNCTUATION):
+        x, row = b.hashes(), b.row_of_word()
+        for k in sizes:
+            h = run_hashes(x, k)
+            at = np.flatnonzero(mask[(h & np.uint64(len(mask) - 1)).astype(np.int64)])
+            at = at[at + k <= b.first[row[at] + 1]]
+            yield b.lo, row[at], at - b.first[row[at]], h[at]
 
 
-def _count_words(shared):
-    """mapInArrow: how often each of the sorted word hashes occurs, and (word null) the number of all words."""
+def _count(shared, sizes: list[int]):
+    """mapInArrow: how often n-grams that may be an item's occur, and (h null) the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        mask, counts, total = _filter(keys), np.zeros(len(keys), np.int64), 0
+        held, total = [np.zeros(0, np.uint64)], 0
+
+        def drained() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([*as_long(h).tolist(), None], pa.int64()), pa.array(np.append(c, total))], names=["h", "c"])
+
         for batch in batches:
-            for b in blocks(batch.column("text"), apart=PUNCTUATION):
-                x = b.hashes()
-                total += len(x)
-                counts += np.bincount(_find(x, keys, mask)[1], minlength=len(keys))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *as_long(keys[seen]).tolist()], pa.int64()), pa.array(np.concatenate(([total], counts[seen])))], names=["word", "c"]
-        )
+            for _, _, _, h in _found(batch.column("text"), sizes, shared.value):
+                held.append(h)
+            total += sum(len(b.starts) for b in blocks(batch.column("text"), apart=PUNCTUATION))
+            if sum(map(len, held)) > 1 << 21:
+                yield drained()
+                held, total = [], 0
+                held.append(np.zeros(0, np.uint64))
+        yield drained()
 
     return run
 
 
-class Seeds:
-    """Seeds of some items: for each n-gram size the sorted hashes, and the (item, place) pairs of each."""
-
-    def __init__(self, items: list[np.ndarray], freq: dict[int, float], n: int, rate: float) -> None:
-        self.items, self.tables = items, []
-        by: dict[int, list] = {}
-        for i, x in enumerate(items):
-            k = min(n, len(x))
-            if not k:
-                continue
-            p = np.array([freq.get(int(w), 0.0) for w in as_long(x)])
-            chance = np.array([p[j : j + k].prod() for j in range(len(x) - k + 1)])
-            rare = np.flatnonzero(chance < rate)
-            rare = rare if len(rare) else np.arange(len(chance))
-            h = run_hashes(x, k)
-            by.setdefault(k, []).extend((int(h[j]), i, int(j)) for j in rare)
-        for k, rows in sorted(by.items()):
-            rows.sort()
-            h = np.array([r[0] for r in rows], np.uint64)
-            keys, first = np.unique(h, return_index=True)
-            places = np.array([r[1:] for r in rows], np.int64)
-            self.tables.append((k, keys, np.append(first, len(rows)), places, _filter(keys)))
-
-    def passages(self, x: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(text, item, from, to) of passages of a block of texts that share seeds with an item."""
-        hits = []
-        for k, keys, place, places, mask in self.tables:
-            at, which = _find(run_hashes(x, k), keys, mask)
-            whole = at + k <= first[row[at] + 1]
-            at, which = at[whole], which[whole]
-            n = place[which + 1] - place[which]
-            pair = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(place[which], n)]
-            at = np.repeat(at, n)
-            hits.append(np.stack((row[at], pair[:, 0], at - pair[:, 1]), 1))
-        found = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
-        if not len(found):
-            return np.zeros((0, 4), np.int64)
-        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        size = np.array([len(i) for i in self.items])[found[:, 1]]
-        # hits whose diagonals are less than half an item apart are one passage
-        new = np.concatenate(([True], (np.diff(found[:, 0]) != 0) | (np.diff(found[:, 1]) != 0) | (np.diff(found[:, 2]) > size[1:] // 2)))
-        start, stop = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(found)) - 1
-        slack = size[start] // 4 + 2
-        text, item = found[start, 0], found[start, 1]
-        lo = np.maximum(found[start, 2] - slack, first[text])
-        hi = np.minimum(found[stop, 2] + size[start] + slack, first[text + 1])
-        return np.stack((text, item, lo, hi), 1)
+def _places(shared, sizes: list[int]):
+    """mapInArrow: where n-grams that may be seeds occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, row, at, h in _found(batch.column("text"), sizes, shared.value):
+                which = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), batch.column("id").take(which), batch.column("key").take(which), pa.array(at)], names=["h", "id", "key", "at"])
+
+    return run
 
 
 def smith_waterman(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,84 +153,117 @@ def smith_waterman(item: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _align(shared, threshold: float):
+def windows(starts: list[int], size: int, words: int, threshold: float, wide: int) -> list[tuple[int, int]]:
+    """Runs of the text (from, to) that hold every alignment of the threshold near the diagonals of starts, which are in
+    steps of half an item; none is much longer than `wide` or four items: longer ones are cut, and overlap by what an
+    alignment can span (its score leaves room for 2 (1 - threshold) gaps a word)."""
+    step, span = max(1, size // 2), int(np.ceil(size * (1 + (1 - threshold) / GAP))) + 1
+    out: list[list[int]] = []
+    for d in sorted(starts):
+        lo, hi = max(0, d * step - span), min(words, (d + 1) * step + span)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        elif lo < hi:
+            out.append([lo, hi])
+    most = max(wide, 4 * span)
+    return [(at, min(hi, at + most)) for lo, hi in out for at in range(lo, max(lo + 1, hi - span), most - span)]
+
+
+def _batched(texts: list[tuple[int, np.ndarray]], cells: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """texts by rising length, in batches whose padded area is at most `cells`, or one text."""
+    out: list[tuple[int, np.ndarray]] = []
+    for t in sorted(texts, key=lambda t: len(t[1])):
+        if out and (len(out) + 1) * len(t[1]) > cells:
+            yield out
+            out = []
+        out.append(t)
+    if out:
+        yield out
+
+
+def _align(threshold: float, kind: pa.DataType, cells: int = 1 << 20, wide: int = 1 << 12):
+    """mapInArrow: the best alignment of each document with each item that it has passages of."""
     names = ["doc_id", "item_id", "score", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seeds = shared.value
-        item_ids = pa.array([i for i, _ in ids], ids[0][1]) if ids else pa.array([], pa.int64())
         for batch in batches:
+            asked = batch.column("asked")
             for b in blocks(batch.column("text"), apart=PUNCTUATION):
-                x, row = b.hashes(), b.row_of_word()
-                found = seeds.passages(x, row, b.first)
+                x, by_item, of = b.hashes(), defaultdict(list), {}
+                for r in range(b.rows):
+                    own = x[b.first[r] : b.first[r + 1]]
+                    for a in asked[b.lo + r].as_py():
+                        of[a["no"]] = a
+                        by_item[a["no"]] += [((r, lo), own[lo:hi]) for lo, hi in windows(a["starts"], a["size"], len(own), threshold, wide)]
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for item in np.unique(found[:, 1]):
-                    rows, own = found[found[:, 1] == item], seeds.items[item]
-                    for lo in range(0, len(rows), 512):
-                        part = rows[lo : lo + 512]
-                        texts = [x[r[2] : r[3]] for r in part]
-                        score, end = smith_waterman(own, texts)
-                        for k in np.flatnonzero(score >= threshold * len(own) - 1e-9):
-                            text, at = int(part[k, 0]), int(part[k, 2] - b.first[part[k, 0]])
-                            back = smith_waterman(own[::-1], [texts[k][: end[k]][::-1]])[1][0]
-                            value = (float(score[k]) / len(own), at + int(end[k] - back), at + int(end[k]))
-                            if (text, int(item)) not in best or best[text, int(item)][0] < value[0]:
-                                best[text, int(item)] = value
+                for no, texts in by_item.items():
+                    item = np.frombuffer(of[no]["words"], np.uint64)
+                    for part in _batched(texts, cells):
+                        score, end = smith_waterman(item, [t for _, t in part])
+                        for k in np.flatnonzero(score >= threshold * len(item) - 1e-9):
+                            (r, lo), text = part[k]
+                            value = float(score[k]) / len(item)
+                            if value > best.get((r, no), (0.0,))[0]:
+                                back = smith_waterman(item[::-1], [text[: end[k]][::-1]])[1][0]
+                                best[r, no] = value, lo + int(end[k] - back), lo + int(end[k])
                 if best:
                     keys = sorted(best)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("id").take(pa.array([t + b.lo for t, _ in keys])),
-                            item_ids.take(pa.array([i for _, i in keys])),
-                            *(pa.array([best[k][j] for k in keys], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))),
-                        ],
-                        names=names,
-                    )
+                    cols = [pa.array([best[k][j] for k in keys], t) for j, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+                    ids = batch.column("id").take(pa.array([r + b.lo for r, _ in keys]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([of[no]["item"] for _, no in keys], kind), *cols], names=names)
 
     return run
 
 
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.lower(F.col(text_col)).alias("text"))
+
+
+def _same_row() -> Column:
+    return (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
 
 
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    n: int = 3, rate: float = 1e-7, threshold: float = 0.5, shard_bytes: int = 16 << 20,
+    n: int = 3, rate: float = 1e-7, floor: int = 1000, threshold: float = 0.5,
 ) -> DataFrame:
     """doc_id, item_id, score, start, end: documents that hold an exact, edited or paraphrased copy of a test item.
 
     A row for each pair of document row and item with a passage of score `threshold` or more; score 1 is an exact copy;
     start and end are the passage's words in the document. Null and wordless texts and items match nothing. Repeated
-    rows of documents each give their rows; repeated items, their own. Other columns are left aside. Empty tables give
-    an empty result. shard_bytes: text of items that is broadcast at once; a larger benchmark takes several passes.
+    rows of documents each give their rows; repeated items, their own. Ids may be of any type. Other columns are left
+    aside. Empty tables give an empty result.
     """
-    spark = documents.sparkSession
-    low = small_batches(documents).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    id_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, id_col), (benchmark, item_col)))
-    items = benchmark.select(F.col(item_col).alias("item"), F.lower(F.col(item_text_col)).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    out = None
-    for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s).collect()  # bounded by shard_bytes
-        tokens = _tokens([r["text"] for r in rows])
-        rows = [(r["item"], x) for r, x in zip(rows, tokens, strict=True) if len(x)]
-        vocabulary = np.unique(np.concatenate([x for _, x in rows])) if rows else np.zeros(1, np.uint64)
-        counts = low.mapInArrow(_count_words(spark.sparkContext.broadcast(vocabulary)), "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-        by = {r["word"]: r["c"] for r in counts.collect()} if rows else {}  # the benchmark's words at most
-        total = max(1, by.pop(None, 1) or 1)
-        seeds = Seeds([x for _, x in rows], {w: c / total for w, c in by.items()}, n, rate)
-        shared = spark.sparkContext.broadcast(([(i, _KINDS[item_kind]) for i, _ in rows], seeds))
-        part = low.mapInArrow(_align(shared, threshold), f"doc_id {id_kind}, item_id {item_kind}, score double, start long, end long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    docs = _keyed(small_batches(documents), id_col, text_col)
+    kind, item_kind = documents.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    items = materialise(benchmark.select(F.col(item_col).alias("item"), F.lower(F.col(item_text_col)).alias("text"), F.monotonically_increasing_id().alias("no")).where("text is not null"), "items")
+    items = materialise(items.mapInArrow(_items(n), f"item {item_kind}, no long, words binary, size long, k long").where("size > 0"), "words")
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # n at most
+    grams = materialise(items.mapInArrow(_grams, "h long, no long, place long"), "grams")
+
+    counts = docs.mapInArrow(_count(hash_filter(grams), sizes), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = materialise(counts, "counts")
+    total = counts.where("h is null").agg(F.sum("c")).first()[0] or 0
+    counted = grams.join(counts.where("h is not null"), "h")
+    half = counted.groupBy("no").agg(F.percentile("c", 0.5).alias("half"))
+    rare = F.col("c") <= F.greatest(F.lit(max(float(floor), rate * total)), F.ceil("half"))
+    seeds = materialise(counted.join(half, "no").where(rare).select("h", "no", "place"), "seeds")
+
+    places = docs.mapInArrow(_places(hash_filter(seeds), sizes), f"h long, id {kind}, key long, at long")
+    hits = places.join(seeds, "h").join(items.select("no", "size"), "no")
+    start = F.floor((F.col("at") - F.col("place")) / F.greatest(F.lit(1), F.floor(F.col("size") / 2))).cast("long")
+    asked = hits.groupBy("id", "key", "no").agg(F.collect_set(start).alias("starts"))
+    asked = asked.join(items.drop("k"), "no").groupBy(F.col("key").alias("k"), F.col("id").alias("i")).agg(F.collect_list(F.struct("no", "item", "words", "size", "starts")).alias("asked"))
+    found = docs.join(materialise(asked, "passages"), _same_row())
+    align = _align(threshold, to_arrow_type(benchmark.schema[item_col].dataType))
+    return found.select("id", "text", "asked").mapInArrow(align, f"doc_id {kind}, item_id {item_kind}, score double, start long, end long")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """documents without those that hold a test item; columns as they are. Null ids are matched by a hash of the text."""
-    marked = documents.withColumn("__key", F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")))
-    keyed = marked.select(F.to_json("__key", {"ignoreNullFields": "false"}).alias("__id"), F.col(text_col).alias("__text"))
-    leaks = find_leaks(keyed, benchmark, "__id", "__text", **options).select(F.col("doc_id").alias("__leak")).distinct()
+    """documents without those that hold a test item; columns as they are, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    named = documents.select(row).select("row", F.to_json(F.struct(F.col(f"row.`{id_col}`").alias("i"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("h")), {"ignoreNullFields": "false"}).alias("name"))
+    leaks = find_leaks(named.select("name", F.col(f"row.`{text_col}`").alias("text")), benchmark, "name", "text", **options)
     # dealt out by hash at every size: leaks grow with the documents
-    named = documents.withColumn("__id", F.to_json(F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")), {"ignoreNullFields": "false"}))
-    return named.join(leaks.hint("merge"), F.col("__id") == F.col("__leak"), "left_anti").select(documents.columns)
+    leaks = leaks.select("doc_id").distinct().hint("merge")
+    return named.join(leaks, F.col("name") == F.col("doc_id"), "left_anti").select("row.*")

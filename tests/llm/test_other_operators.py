@@ -170,6 +170,41 @@ def test_alignment_matches_the_plain_one():
         assert np.allclose(decontaminate.smith_waterman(item, texts)[0], [_plain_alignment(item, t) for t in texts])
 
 
+def _best(item, text):
+    return _plain_alignment(item, text) / len(item)
+
+
+def test_windows_and_batches():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        size, words, wide = int(rng.integers(1, 40)), int(rng.integers(1, 3000)), int(rng.integers(1, 600))
+        starts = rng.integers(-3, 2 * words // size + 3, rng.integers(1, 30)).tolist()
+        got, span = decontaminate.windows(starts, size, words, 0.5, wide), 2 * size
+        for d in starts:  # any alignment near the diagonal lies in a window as a whole
+            lo = d * max(1, size // 2)
+            a, b = max(0, lo - size // 2), min(words, lo + max(1, size // 2) + size)
+            assert a >= b or any(x <= a and b <= y for x, y in got) or b - a > span
+        assert all(y - x <= max(wide, 4 * (span + 1)) for x, y in got)
+    texts = [(i, np.zeros(n, np.uint64)) for i, n in enumerate([200_000, *[20] * 1000])]
+    parts = list(decontaminate._batched(texts, 1 << 16))
+    assert sum(map(len, parts)) == 1001 and all(len(p) == 1 or len(p) * max(len(t) for _, t in p) <= 1 << 16 for p in parts)
+
+
+def test_leaks_in_a_long_text_and_odd_ids(spark):
+    """One document of 0.9 MB repeats part of an item, with a thousand short copies beside it."""
+    rng = random.Random(2)
+    item = [f"u{rng.randrange(10**6)}" for _ in range(30)]
+    docs = [(0, " ".join((" ".join(item[:8]) + " filler words") for _ in range(14_000)))] + [(i, "a b " + " ".join(item) + " c") for i in range(1, 1001)]
+    d = spark.createDataFrame(docs, "doc_id smallint, text string").selectExpr("doc_id", "text", "1 as key", "2 as id", "3 as name")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string").selectExpr("cast(item_id as decimal(10,2)) as item_id", "text")
+    got = decontaminate.find_leaks(d, b).collect()
+    assert {r.doc_id for r in got if r.score == 1} == set(range(1, 1001)) and all(r.start == 2 and r.end == 32 for r in got if r.doc_id) and str(got[0].item_id) == "1.00"
+    names = ["__leak", "__id", "id", "key", "k", "i", "row", "doc_id", "text"]
+    clash = d.where("doc_id < 5").selectExpr(*(f"'x' as `{c}`" for c in names[:-2]), "doc_id", "text")
+    left = decontaminate.drop_leaks(clash, b)
+    assert left.columns == names and left.count() <= 1
+
+
 def test_leaks(spark):
     rng = random.Random(7)
     vocabulary = [f"word{i}" for i in range(3000)]
@@ -194,7 +229,12 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     whole = got.where("doc_id = 0").first()
     assert whole.score == 1 and whole.end - whole.start == len(items[0][1])
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, b, rate=1e-4, shard_bytes=1000).collect()} == want
+    # brute force: every document aligned whole with every item
+    number = {w: i for i, w in enumerate(sorted({w for t in [*(t.lower().split() for _, t in docs if t), *(x for _, x in items)] for w in t}))}
+    code = lambda t: np.array([number[w] for w in t], np.uint64)
+    every = {(i, j): _best(code(x), code(t.lower().split())) for i, t in docs[:40] if t for j, x in items}
+    assert {k for k, v in every.items() if v >= 0.5} == {w for w in want if w[0] < 40}
+    assert all(abs(r.score - every[r.doc_id, r.item_id]) < 1e-9 for r in got.collect() if r.doc_id < 40)
     clean = decontaminate.drop_leaks(d, b, rate=1e-4)
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in docs} - {i for i, _ in want}
     assert decontaminate.find_leaks(d, b.where("false")).count() == 0 and decontaminate.find_leaks(d.where("false"), b).count() == 0
