@@ -24,8 +24,12 @@ def test_near_vectors_against_all_pairs(spark):
         base = rng.normal(size=16)
         rows += [(len(rows) + j, (base + 0.08 * rng.normal(size=16)).tolist()) for j in range(rng.integers(1, 8))]
     rows += [(900, [2 * v for v in rows[0][1]]), (901, rows[1][1]), (901, rows[1][1]), (None, rows[2][1])]
-    bad = [(950, None), (951, [0.0] * 16), (952, [float("nan")] * 16), (953, [None, *[1.0] * 15]), (954, []), (955, [1.0, 2.0]), (956, [float("inf")] * 16)]
-    x = np.array([r[1] for r in rows])
+    rows += [(960 + k, [1.0, 2.0, 0.01 * k]) for k in range(12)] + [(980, [3.0, 4.0]), (981, [6.0, 8.0]), (982, [-3.0, 4.0])]
+    bad = [(950, None), (951, [0.0] * 16), (952, [float("nan")] * 16), (953, [None, *[1.0] * 15]), (954, []), (956, [float("inf")] * 16)]
+    x = np.zeros((len(rows), 16 + 3 + 2))  # lengths apart
+    for n, (_, v) in enumerate(rows):
+        at = {16: 0, 3: 16, 2: 19}[len(v)]
+        x[n, at : at + len(v)] = v
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     link = x @ x.T >= 0.95
     np.fill_diagonal(link, False)
@@ -35,7 +39,11 @@ def test_near_vectors_against_all_pairs(spark):
     ids = [r[0] for r in rows]
     want = [(i, int(link[n].sum()), min(ids[m] for m in np.flatnonzero(reach[n]) if ids[m] is not None)) for n, i in enumerate(ids)] + [(i, 0, i) for i, _ in bad]
     df = spark.createDataFrame([(*r, "clash") for r in rows + bad], "vec_id long, embedding array<double>, cid string").repartition(3)
-    got = embed_graph.near_vectors(df, block=40)
+    report = {}
+    got = embed_graph.near_vectors(df, block=40, report=report)
+    assert report["searches"] > 0
+    of = embed_graph.missed_links(df, got, every=4, block=30).first()
+    assert of.asked > 50 and of.links == of.found > 0
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=key) == sorted(want, key=key)
     assert {r.vec_id for r in got.where("kept").collect()} == {w[2] for w in want}
@@ -50,7 +58,21 @@ def test_graph_search_finds_the_links():
     found = embed_graph.range_search(x, edges, x, 0.95, 12)
     full = embed_graph._full(x, x, 0.95)
     assert len(found[0]) >= 0.97 * len(full[0]) and max(map(len, edges)) < 600
-    assert len(embed_graph.audited_search(x, [np.zeros(0, np.int64)] * 600, x, 0.95, 12, 24)[0]) == len(full[0])
+    a, _, scanned = embed_graph.audited_search(x, [np.zeros(0, np.int64)] * 600, x, 0.95, 12, 24)
+    assert len(a) == len(full[0]) and scanned
+
+
+def test_large_shards_are_dealt_anew(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(300, 24)), 3, 0) + 0.02 * rng.normal(size=(900, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embed_graph.near_vectors(df, block=24, sample=16).collect()}  # two centroids for all
+    assert sum(min(got[i], int(n)) for i, n in enumerate(want)) >= 0.97 * want.sum() > 0 and all(got[i] <= n for i, n in enumerate(want))
+    member = spark.createDataFrame([(i, 1, v.tobytes(), 7) for i, v in enumerate(unit)], "cid long, m long, vec binary, shard long")
+    sizes = embed_graph.resplit(member, 24, 96, 4, salt=200).groupBy("shard").count().toPandas()["count"]
+    assert sizes.sum() >= 1800 and sizes.max() <= 300 and len(sizes) > 10
 
 
 def test_mix_against_sql_and_the_contract(spark, documents, odd_documents):
