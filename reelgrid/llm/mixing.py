@@ -64,8 +64,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: fl
     return sums.select("__source", "__size", F.least(share, "__cap").alias("__target"))
 
 
-def taken(documents: DataFrame, id_col: str, source_col: str, size: Column, plan: DataFrame, sized: DataFrame, seed: str, whole: bool) -> DataFrame:
-    """documents with __taken, __size and __target.
+def taken(documents: DataFrame, size: Column, plan: DataFrame, sized: DataFrame, seed: str, whole: bool) -> DataFrame:
+    """documents (__id, __source, any more) with __taken, __size and __target.
 
     sized: (__id, __source, __words), the same documents without their text. whole: the document in which the target is
     reached is taken once more or not, whichever comes nearer; else just the words that are missing.
@@ -82,8 +82,8 @@ def taken(documents: DataFrame, id_col: str, source_col: str, size: Column, plan
         F.col("__source").alias("__s"), "__size", "__target", "__base", "__rest", F.col("b.__bin").alias("__last"), (F.col("b.__upto") - F.col("b.__n")).alias("__before")
     )
     plan = materialise(plan, "plan")
-    marked = documents.withColumn("__order", _order(id_col, seed)).withColumn("__bin", F.substring("__order", 1, BIN_DIGITS))
-    joined = marked.join(plan, marked[source_col].eqNullSafe(plan["__s"]))
+    marked = documents.withColumn("__order", _order("__id", seed)).withColumn("__bin", F.substring("__order", 1, BIN_DIGITS))
+    joined = marked.join(plan, marked["__source"].eqNullSafe(plan["__s"]))
     sure = joined.where(F.coalesce(F.col("__bin") != F.col("__last"), F.lit(True))).withColumn("__words", size)
     extra = F.when(F.col("__bin") < F.col("__last"), F.col("__words")).otherwise(0)
     sure = sure.withColumn("__taken", F.col("__base") * F.col("__words") + extra)
@@ -115,7 +115,7 @@ def mix(
     """
     sized = _sized(documents, id_col, text_col, source_col)
     plan = targets(sized, weights, budget, max_epochs)
-    out = taken(sized, "__id", "__source", F.col("__words"), plan, sized, seed, whole=False)
+    out = taken(sized, F.col("__words"), plan, sized, seed, whole=False)
     return out.select(F.col("__id").alias("doc_id"), F.col("__words").alias("size"), F.col("__size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
@@ -128,12 +128,13 @@ def mixed_documents(
     As mix(), but a document is taken whole or not, so that texts stay whole: a source misses its target by half of
     one document at most. Documents without words are kept as often as whole passes over their source demand.
     """
-    names = documents.columns
     sized = _sized(documents, id_col, text_col, source_col)
     plan = targets(sized, weights, budget, max_epochs)
-    out = taken(documents, id_col, source_col, word_count(text_col), plan, sized, seed, whole=True)
+    # the row is one column, so that no name in it clashes
+    rows = documents.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row"))
+    out = taken(rows, word_count(f"__row.`{text_col}`"), plan, sized, seed, whole=True)
     times = F.when(F.col("__words") > 0, F.round(F.col("__taken") / F.col("__words"))).otherwise(F.col("__base")).cast("int")
-    return out.withColumn("__times", times).where("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(names)
+    return out.withColumn("__times", times).where("__times > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 ORACLE = r"""

@@ -241,10 +241,12 @@ def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str
     The row that stays has the smallest id of its group. Rows equal in id and text are one row afterwards, but for
     texts without a word, which all stay.
     """
-    kept = jaccard_join(documents, id_col, text_col, **options).where("kept").groupBy(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).agg(F.count("*").alias("__n"))
-    keyed = documents.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    both = keyed.join(kept, (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__i")))
-    blank = F.coalesce(F.trim(F.translate(F.col(text_col), "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
-    once = both.where((F.col("__n") == 1) | blank).select(documents.columns)
-    same = both.where((F.col("__n") > 1) & ~blank)
-    return once.unionByName(same.dropDuplicates(["__key", id_col]).select(documents.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    own, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
+    kept = jaccard_join(documents, id_col, text_col, **options).where("kept").groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).agg(F.count("*").alias("n"))
+    keyed = documents.select(row).withColumn("key", F.xxhash64(own, text))
+    both = keyed.join(kept, (F.col("key") == F.col("k")) & own.eqNullSafe(F.col("i")))
+    blank = F.coalesce(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
+    once = both.where((F.col("n") == 1) | blank).select("row")
+    same = both.where((F.col("n") > 1) & ~blank)
+    return once.unionByName(same.groupBy("key", "i").agg(F.first("row").alias("row")).select("row")).select("row.*")
