@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once, however often f names it: plans stay as small as they are written."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _year(iso: Column) -> Column:
     """The first four characters as a number; null unless all are digits."""
     return F.when(iso.rlike(r"^\d{4}"), F.substring(iso, 1, 4).cast("int"))
@@ -75,7 +82,7 @@ def sane(iso: Column | str, least: int = 1990, now_year: int | None = None) -> C
 
 def sane_name(iso: Column, now_year: int | None = None) -> Column:
     """A date that somebody gave in a name; it can be old, but not the default of a dead clock."""
-    return F.when(~F.substring(iso, 1, 10).isin(*CLOCK_RESETS), sane(iso, 1900, now_year))
+    return _bound(iso, lambda d: F.when(~F.substring(d, 1, 10).isin(*CLOCK_RESETS), sane(d, 1900, now_year)))
 
 
 def date_from_name(name: Column | str, now_year: int | None = None) -> Column:
@@ -144,18 +151,22 @@ def pick_date(path: Column, device: Column, device_source: Column, analog: Colum
     """struct(taken, date_source): a camera's clock, else a date in the name; for scans a date in the name or folder
     that is more than a year older than the scanner's clock."""
     name = F.element_at(F.split(path, "/"), -1)
-    named, folder = date_from_name(name, now_year), date_from_folders(path, now_year)
-
-    def older(d: Column) -> Column:
-        before = (_year(d) < _year(device) - 1) | ((_year(d) == _year(device) - 1) & (F.substring(d, 6, 5) < F.substring(device, 6, 5)))
-        return d.isNotNull() & (device.isNull() | before)
+    found = F.struct(date_from_name(name, now_year).alias("named"), date_from_folders(path, now_year).alias("folder"), device.cast("string").alias("device"), device_source.cast("string").alias("source"), analog.alias("analog"))
 
     def pair(taken: Column, source: Column) -> Column:
-        return F.struct(taken.cast("string").alias("taken"), source.cast("string").alias("date_source"))
+        return F.struct(taken.alias("taken"), source.alias("date_source"))
+
+    def pick(x: Column) -> Column:
+        device, none = x["device"], F.lit(None).cast("string")
+
+        def older(d: Column) -> Column:
+            before = (_year(d) < _year(device) - 1) | ((_year(d) == _year(device) - 1) & (F.substring(d, 6, 5) < F.substring(device, 6, 5)))
+            return d.isNotNull() & (device.isNull() | before)
+
+        scanned = F.when(older(x["named"]), pair(x["named"], F.lit("name"))).when(older(x["folder"]), pair(x["folder"], F.lit("folder"))).otherwise(pair(none, F.when(device.isNotNull(), F.lit("scan"))))
+        return F.when(x["analog"], scanned).when(device.isNotNull(), pair(device, x["source"])).otherwise(pair(x["named"], F.when(x["named"].isNotNull(), F.lit("name"))))
 
-    none = F.lit(None)
-    scanned = F.when(older(named), pair(named, F.lit("name"))).when(older(folder), pair(folder, F.lit("folder"))).otherwise(pair(none, F.when(device.isNotNull(), F.lit("scan"))))
-    return F.when(analog, scanned).when(device.isNotNull(), pair(device, device_source)).otherwise(pair(named, F.when(named.isNotNull(), F.lit("name"))))
+    return _bound(found, pick)
 
 
 def shift(taken: Column | str, seconds: Column) -> Column:
@@ -207,3 +218,26 @@ def within_film(date: Column | str, date_from: str | None = None, date_to: str |
 def valid_bound(text: Column | str) -> Column:
     """True for YYYY, YYYY-MM and YYYY-MM-DD."""
     return _col(text).rlike(BOUND)
+
+
+def recorded_in(text: Column | str) -> Column:
+    """The recording time that a probe's output names, as ISO text."""
+    stamp = r"(\d{4})[.-](\d{2})[.-](\d{2})[_ ](\d{2})[-:](\d{2})[-:](\d{2})"
+    y, mo, d, h, mi, s = (F.regexp_extract(_col(text), stamp, k) for k in range(1, 7))
+    return F.when(y != "", F.concat(F.concat_ws("-", y, mo, d), F.lit("T"), F.concat_ws(":", h, mi, s)))
+
+
+def camera_zone(zone: str | None, fallback: str = "Europe/Warsaw") -> str:
+    """The zone of a camera's clock: a bare UTC is what a container has by default, never where the camera was."""
+    return fallback if not zone or zone.upper() in ("UTC", "GMT", "ETC/UTC") else zone
+
+
+def due(at: Column, last: Column, start: str, zone: str, hours: int = 6) -> Column:
+    """True where a daily job that starts at HH:MM local time should run at the instant `at`: within `hours` of the start
+    and not yet on that local day (last: the local date of the last run). A start that can't be read is never due."""
+    h, _, m = start.partition(":")
+    if not (h.strip().isdigit() and m.strip().isdigit()):
+        return F.lit(False)
+    local = F.from_utc_timestamp(at, zone)
+    past = F.hour(local) * 60 + F.minute(local) - (int(h) * 60 + int(m))
+    return (past >= 0) & (past < hours * 60) & ~F.coalesce(last == F.date_format(local, "yyyy-MM-dd"), F.lit(False))

@@ -157,3 +157,43 @@ def playlist(items: DataFrame) -> DataFrame:
     name = r"^[0-9A-Za-z._-]{1,80}$"
     good = items.where(((F.col("tape_id") == MEDIA_TAPE) | F.col("tape_id").rlike(name)) & F.col("scene_id").rlike(name))
     return good.groupBy("tape_id", "scene_id").agg(F.min("pos").alias("pos"))
+
+
+def album_items(media: DataFrame, album: str) -> DataFrame:
+    """An album's files as they are shown, by date, time and name; undated ones last."""
+    own = public_media(media.where((F.col("album") == album) & (F.col("status") == "ready") & visible()))
+    return own.orderBy(F.coalesce("date", F.lit("9999")), F.coalesce("time", F.lit("")), "name", "id")
+
+
+def mark_reproxy(media: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """media with copies marked to be encoded anew: those of ids (id), or all. Only whole videos with a copy can be."""
+    can = (F.col("kind") == "video") & F.col("parent_id").isNull() & (F.col("proxy") == 1)
+    asked = media if ids is None else media.join(ids.select("id"), "id", "left_semi")
+    marked = asked.where(can).select("id", F.lit(1).alias("__mark"))
+    return media.join(marked, "id", "left").withColumn("reproxy", F.coalesce("__mark", "reproxy")).drop("__mark")
+
+
+def reproxy_progress(media: DataFrame, done: int) -> DataFrame:
+    """One row: copies done and in all, and the share."""
+    waits = (F.col("status") == "ready") & (F.col("kind") == "video") & (F.col("reproxy") == 1)
+    out = media.agg(F.count_if(waits).alias("left")).select(F.lit(done).cast("long").alias("done"), (F.col("left") + done).alias("total"))
+    return out.withColumn("share", F.when(F.col("total") > 0, F.round(F.col("done") / F.col("total"), 4)).otherwise(1.0))
+
+
+def with_overlay(index: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Scenes as edited: overlay (tape_id, scene_id, name, value) holds the newest value of each field that was changed
+    (name "date" or "label"), or "deleted" for scenes that are gone; a null scene_id means the whole tape, which an
+    edit of the scene itself beats. Documents on disk stay as they are."""
+    by_tape = overlay.where("scene_id is null").groupBy("tape_id").pivot("name", ["date", "label", "deleted"]).agg(F.first("value"))
+    by_scene = overlay.where("scene_id is not null").groupBy("tape_id", "scene_id").pivot("name", ["date", "label", "deleted"]).agg(F.first("value"))
+    t = by_tape.select("tape_id", *(F.col(c).alias(f"__t_{c}") for c in ("date", "label", "deleted")))
+    s = by_scene.select("tape_id", "scene_id", *(F.col(c).alias(f"__s_{c}") for c in ("date", "label", "deleted")))
+    both = index.join(t, "tape_id", "left").join(s, ["tape_id", "scene_id"], "left")
+    live = both.where(F.coalesce("__s_deleted", "__t_deleted").isNull())
+    return live.select([F.coalesce(f"__s_{c}", f"__t_{c}", c).alias(c) if c in ("date", "label") else F.col(c) for c in index.columns])
+
+
+def build_token(scene: Column, restore: Column, stabilize: Column, upscale: Column) -> Column:
+    """What a compressed or restored copy is kept under: the scene or TAPE, and a mark for each choice."""
+    marks = F.concat(F.lit("-RES"), F.when(stabilize, "-STAB").otherwise(""), F.when(upscale, "-UP").otherwise(""))
+    return F.concat(F.coalesce(scene, F.lit("TAPE")), F.when(restore, marks).otherwise(""))

@@ -110,3 +110,16 @@ def add_to_basket(moments: DataFrame) -> DataFrame:
     named = moments.withColumn("workspace", F.coalesce(F.nullif("workspace", F.lit("")), F.lit("default")))
     named = named.select("workspace", "tape_id", "scene_id", "seq", F.col("start").cast("double"), F.col("end").cast("double")).where("start is not null and end is not null")
     return named.groupBy("workspace", "tape_id", "scene_id").applyInPandas(fill, BASKET)
+
+
+def basket(stored: DataFrame, workspace: str) -> DataFrame:
+    """A workspace's moments in the order that they were added."""
+    return stored.where(F.col("workspace") == workspace).orderBy("id")
+
+
+def remove_from_basket(stored: DataFrame, workspace: str, ids: DataFrame | None = None) -> DataFrame:
+    """stored without the workspace's moments of ids (id), or without all of them."""
+    if ids is None:
+        return stored.where(F.col("workspace") != workspace)
+    gone = ids.select("id", F.lit(workspace).alias("workspace"))
+    return stored.join(gone, ["id", "workspace"], "left_anti")

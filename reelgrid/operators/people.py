@@ -143,3 +143,73 @@ def dissolve(tracks: DataFrame, person: int, next_id: int) -> DataFrame:
 def keep_ids(groups: DataFrame, tracks: DataFrame) -> DataFrame:
     """(group, person_id, n): how many tracks of each group each old person had, for stable ids."""
     return groups.join(tracks.select(F.col("id").alias("track"), "person_id"), "track").groupBy("group", "person_id").agg(F.count("*").alias("n"))
+
+
+def anchors(persons: DataFrame, tracks: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """(id, anchor): the track that stands for each person: the one chosen before if it is still the person's, else the
+    best by quality (the smallest id of equals). without: (anchor) tracks that may not stand for any."""
+    own = tracks if without is None else tracks.join(without.select(F.col("anchor").alias("id")), "id", "left_anti")
+    best = own.groupBy(F.col("person_id").alias("id")).agg(F.max_by("id", F.struct(F.coalesce("rq", "quality"), -F.col("id"))).alias("__best"))
+    held = own.select(F.col("id").alias("anchor"), F.col("person_id").alias("id"), F.lit(True).alias("__held"))
+    out = persons.select("id", "anchor").join(held, ["id", "anchor"], "left").join(best, "id", "left")
+    return out.select("id", F.when(F.col("__held"), F.col("anchor")).otherwise(F.col("__best")).alias("anchor"))
+
+
+def move_tracks(tracks: DataFrame, persons: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tracks, rules) after moves (track, target): "diff" rules between a moved track and the anchor of the person that
+    it left, "same" rules with that of the person that it joined. Targets of other workspaces, and missing ones, are
+    refused: their tracks stay. target null: the track becomes a person of its own, whose id follows the greatest."""
+    space = persons.select(F.col("id").alias("target"), F.col("workspace").alias("__of"))
+    top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    asked = moves.join(tracks.select(F.col("id").alias("track"), F.col("person_id").alias("left"), "workspace"), "track").join(space, "target", "left")
+    fine = asked.where(F.col("target").isNull() | (F.col("__of") == F.col("workspace"))).join(F.broadcast(top))
+    alone = Window.partitionBy(F.col("target").isNull()).orderBy("track")  # what an operator splits off by hand
+    fine = fine.withColumn("joined", F.when(F.col("target").isNull(), F.col("__top") + F.row_number().over(alone)).otherwise(F.col("target")))
+    moved = fine.select("track", "left", "joined", "target")
+    by = anchors(persons, tracks, moved.select(F.col("track").alias("anchor")))
+    diff = moved.join(by, F.col("left") == F.col("id")).select(F.lit("diff").alias("kind"), F.col("track").alias("a"), F.col("anchor").alias("b"))
+    same = moved.where("target is not null").join(by, F.col("target") == F.col("id")).select(F.lit("same").alias("kind"), F.col("track").alias("a"), F.col("anchor").alias("b"))
+    rules = diff.unionByName(same).where("b is not null and a != b")
+    to = moved.select(F.col("track").alias("id"), "joined")
+    return tracks.join(to, "id", "left").withColumn("person_id", F.coalesce("joined", "person_id")).drop("joined"), rules
+
+
+def drop_tracks(tracks: DataFrame, persons: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, persons, affected) after the tracks of scenes (tape_id, scene_id) were forgotten: unnamed people that none
+    is left of go too; affected: (person_id) of the forgotten."""
+    keys = ["tape_id", "scene_id"]
+    lost = tracks.join(scenes.select(*keys).distinct(), keys, "left_semi")
+    left = tracks.join(scenes.select(*keys).distinct(), keys, "left_anti")
+    return left, persons.join(without_tracks(persons, left).select("id"), "id", "left_anti"), lost.select("person_id").distinct()
+
+
+def rename_tape(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the new names of their tapes; names: (tape_id, new)."""
+    return rows.join(names, "tape_id", "left").withColumn("tape_id", F.coalesce("new", "tape_id")).drop("new")
+
+
+def touched(persons: DataFrame, tracks: DataFrame) -> DataFrame:
+    """People that the operator named, hid or put in a group, with their anchors."""
+    own = persons.where(F.col("name").isNotNull() | F.coalesce("hidden", F.lit(False)) | F.col("grp").isNotNull())
+    return own.select("id", "workspace", "name", "hidden", "grp").join(anchors(persons, tracks), "id", "left")
+
+
+def to_refine(tracks: DataFrame, model: str) -> DataFrame:
+    """(tape_id, scene_id) with tracks that the model has not refined."""
+    return tracks.where(~F.col("refined").eqNullSafe(F.lit(model))).select("tape_id", "scene_id").distinct()
+
+
+def save_refined(tracks: DataFrame, refined: DataFrame, model: str) -> DataFrame:
+    """tracks with the refined (id, arc, rq, frontal) over their own, marked with the model."""
+    new = refined.select("id", *(F.col(c).alias(f"__{c}") for c in ("arc", "rq", "frontal")), F.lit(model).alias("__refined"))
+    both = tracks.join(new, "id", "left")
+    for c in ("arc", "rq", "frontal", "refined"):
+        both = both.withColumn(c, F.when(F.col("__refined").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)))
+    return both.drop("__arc", "__rq", "__frontal", "__refined")
+
+
+def reject_pairs(pairs: DataFrame, persons: DataFrame, tracks: DataFrame) -> DataFrame:
+    """("diff", a, b) rules between the anchors of people (x, y) that the operator says are not the same."""
+    by = anchors(persons, tracks)
+    out = pairs.join(by.select(F.col("id").alias("x"), F.col("anchor").alias("a")), "x").join(by.select(F.col("id").alias("y"), F.col("anchor").alias("b")), "y")
+    return out.where("a is not null and b is not null and a != b").select(F.lit("diff").alias("kind"), "a", "b")

@@ -145,3 +145,17 @@ def workspaces(stored: DataFrame) -> DataFrame:
     default = stored.sparkSession.range(1).select(F.lit("default").alias("name"))
     rest = stored.select("name").where("name <> 'default'").distinct()
     return default.unionByName(rest).orderBy((F.col("name") != "default").cast("int"), "name")
+
+
+def replace_if(table: DataFrame, rows: DataFrame, keys: Sequence[str], marks: DataFrame, name: str, seen: int) -> DataFrame:
+    """table with rows over those of equal keys, unless the counter `name` of marks (k, v) moved since it was `seen`:
+    the counter is read by the same job that writes, so an edit in between is not lost."""
+    now = marks.where(F.col("k") == name).agg((F.coalesce(F.max(F.col("v").try_cast("long")), F.lit(0)) == seen).alias("__same"))
+    fresh = rows.join(F.broadcast(now)).where("__same").drop("__same")
+    return table.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def without_running(jobs: DataFrame, ids: DataFrame, key: str, guarded: Sequence[str] = ("RUNNING",)) -> DataFrame:
+    """jobs without those of ids, but those in a guarded state stay."""
+    gone = jobs.join(ids.select(key), key, "left_semi").where(~F.col("status").isin(*guarded)).select(key)
+    return jobs.join(gone, key, "left_anti")

@@ -601,9 +601,9 @@ def changed_captions(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE c AS (SELECT user_id AS id, (floor(epoch(ts))::BIGINT % 20000)::DOUBLE AS t, value AS s FROM events), v AS (SELECT DISTINCT id FROM c),
-b AS (SELECT id, 0 AS n, 0.0::DOUBLE AS at FROM v UNION ALL SELECT b.id, b.n + 1, coalesce(-max({'s': c.s, 'back': -c.t}).back, b.at + 300) FROM b LEFT JOIN c ON c.id = b.id AND c.t BETWEEN b.at + 45 AND b.at + 300 WHERE 20000 - b.at > 300 GROUP BY b.id, b.n, b.at),
-k AS (SELECT id, at FROM b WHERE n = 0 OR 20000 - at >= 45)
-SELECT id, at AS clip_start, lead(at, 1, 20000.0::DOUBLE) OVER (PARTITION BY id ORDER BY at) AS clip_end FROM k""")
+b AS (SELECT id, 0 AS n, 0.0::DOUBLE AS pos FROM v UNION ALL SELECT b.id, b.n + 1, coalesce(-max({'s': c.s, 'back': -c.t}).back, b.pos + 300) FROM b LEFT JOIN c ON c.id = b.id AND c.t BETWEEN b.pos + 45 AND b.pos + 300 WHERE 20000 - b.pos > 300 GROUP BY b.id, b.n, b.pos),
+k AS (SELECT id, pos FROM b WHERE n = 0 OR 20000 - pos >= 45)
+SELECT id, pos AS clip_start, lead(pos, 1, 20000.0::DOUBLE) OVER (PARTITION BY id ORDER BY pos) AS clip_end FROM k""")
 def planned_clips(spark, sf_dir):
     """Clips of long videos, a user's events standing for the cuts of one."""
     t = (F.unix_timestamp(F.col("ts").cast("timestamp")) % 20_000).cast("double")

@@ -5,22 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.plans.scratch import materialise, release
+
 # Columns of the basket's list.
 LIST_COLUMNS = ("plik", "data", "godzina", "rodzaj", "źródło", "nazwa", "od [s]", "do [s]", "osoby", "tagi")
 KINDS = {"dv": "MiniDV", "dvd": "VHS/DVD", "video": "film", "photo": "zdjęcie"}
 
 
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace the partitions that df has rows for; others stay. The writer commits as a whole."""
+    """Replace the partitions that df has rows for, whole; others stay. The writer commits as a whole."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def save_faces(tracks: DataFrame, persons: DataFrame, path: str) -> bool:
-    """Replace the scenes' tracks; refused (False) if a person that they refer to has gone meanwhile."""
+def save_faces(tracks: DataFrame, persons: DataFrame, path: str, scenes: DataFrame | None = None) -> bool:
+    """Replace the tracks of scenes (tape_id, scene_id; those that tracks has rows for); other scenes of their tapes stay.
+    Refused (False) if a person that tracks refers to is not there.
+
+    The table is partitioned by tape: what it has of the other scenes of the tapes at hand is read, joined with the new
+    rows and written to the shared folder first, so a partition is never read and overwritten by one job. Tapes at
+    hand: one task of an archive names few.
+    """
     gone = tracks.where("person_id is not null").join(persons.select(F.col("id").alias("person_id")), "person_id", "left_anti")
     if not gone.isEmpty():
         return False
-    replace_partitions(tracks, path, ["tape_id"])
+    spark, key = tracks.sparkSession, ["tape_id", "scene_id"]
+    at = (tracks if scenes is None else scenes).select(*key).distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        replace_partitions(tracks, path, ["tape_id"])
+        return True
+    stored = spark.read.schema(tracks.schema).parquet(path)
+    tapes = [r["tape_id"] for r in at.select("tape_id").distinct().collect()]
+    kept = stored.where(F.col("tape_id").isin(*tapes)).join(at, key, "left_anti")
+    fresh = materialise(kept.unionByName(tracks), "faces")
+    replace_partitions(fresh, path, ["tape_id"])
+    empty = set(tapes) - {r["tape_id"] for r in fresh.select("tape_id").distinct().collect()}
+    for tape in empty:  # no row is left that would replace the partition
+        for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"tape_id={tape}")) or []:
+            files.delete(s.getPath(), True)
+    release(fresh)
     return True
 
 

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from reelgrid.plans import records  # noqa: F401  registers more queries
 from reelgrid.plans.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
