@@ -3,9 +3,10 @@
 Plan: one pass over the text gives each document its set size, a 128-bit sum of its set and its band hashes. Documents
 of one set form a class, which counts once from there on. Band hashes meet in an aggregation (the least class of each
 bucket, combined on the map side), so a bucket costs one edge a member, never its pairs; the edges' components bound
-where links can be. Components are dealt out in blocks of at most `block` classes and each pair of blocks is a task of
-its own: sets are compared there by matrix products over the shingles that two of them share, and only counts and a
-spanning forest leave it. A group of thousands of copies is thus many small tasks, none with all of its rows.
+where links can be. A component of at most `block` classes is a task; a larger one, such as a long chain of near copies,
+falls apart into its buckets again, and a pair counts in the least bucket that both share. Buckets beyond `block` classes
+are dealt out in blocks, each pair of blocks a task. Sets are compared there by matrix products over the shingles that
+two of them share, and only counts and a spanning forest leave it: no task has all rows of a group.
 
 Bands and rows come from the target recall: with b bands of r rows a pair of similarity s meets in some bucket with
 probability 1 - (1 - s**r)**b, and a link is also found when its ends meet through others.
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from reelgrid.llm.words import Block, as_long, blocks, mix, run_hashes, small_batches, span_hashes
 from reelgrid.operators.components import connected_components
@@ -93,7 +95,7 @@ def _sets(n: int):
                 sets = [np.unique(grams[first[r] : first[r + 1]]).tobytes() for r in range(b.rows)]
                 part = batch.slice(b.lo, b.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in ("cid", "m", "comp", "blocks", "blk")), pa.array(sets, pa.binary())], names=["cid", "m", "comp", "blocks", "blk", "grams"]
+                    [*(part.column(k) for k in ("cid", "m", "where")), pa.array(sets, pa.binary())], names=["cid", "m", "where", "grams"]
                 )
 
     return run
@@ -141,7 +143,7 @@ class _Forest:
 
 def _verify(threshold: float):
     """mapInArrow over rows sorted by (comp, i, j): the links between two blocks, as counts and a spanning forest."""
-    names = ("comp", "i", "j", "cid", "m", "blk", "grams")
+    names = ("comp", "i", "j", "cid", "m", "blk", "grams", "bands")
 
     def rows(batches):
         for batch in batches:
@@ -149,7 +151,7 @@ def _verify(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for (_, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
+        for (comp, i, j), group in groupby(rows(batches), key=lambda r: r[:3]):
             unique = sorted({r[3]: r for r in group}.values(), key=lambda r: r[3])
             cid, m, blk = [r[3] for r in unique], np.array([r[4] for r in unique]), np.array([r[5] for r in unique])
             sets = [np.frombuffer(r[6], np.uint64) for r in unique]
@@ -161,6 +163,11 @@ def _verify(threshold: float):
             link = inter / (size[left][:, None] + size[right][None, :] - inter) >= threshold
             if i == j:
                 np.fill_diagonal(link, False)
+            if unique[0][7] is not None:  # a bucket of a large component
+                a, b = np.nonzero(link)
+                bands = np.array([r[7] for r in unique])
+                one, two = bands[left[a]], bands[right[b]]
+                link[a, b] = np.where(one == two, one, np.iinfo(np.int64).max).min(1) == comp
             forest, links = _Forest(len(cid)), np.zeros(len(cid), np.int64)
             links[left] += link @ m[right]
             if i != j:
@@ -204,16 +211,21 @@ def jaccard_join(
     met = cls.select("cid", F.explode("bands").alias("h"))
     least = met.groupBy("h").agg(F.min("cid").alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead")
     comp = materialise(connected_components(met.join(least, "h").where("cid != lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))), "candidates")
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = cls.join(comp.join(sizes, "component").withColumnRenamed("vertex", "cid"), "cid").select(
-        "cid", "rep", "m", F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64(F.col("cid") + 1), F.col("blocks")).cast("int").alias("blk")
-    )
-    asked = materialise(asked, "asked")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+    placed = comp.join(sizes, "component").withColumnRenamed("vertex", "cid")
+    small = placed.where(F.col("size") <= block).select("cid", F.array(F.struct(F.col("component").alias("comp"), F.lit(1).alias("blocks"))).alias("where"), F.lit(None).cast("array<long>").alias("bands"))
+    large = met.join(placed.where(F.col("size") > block).select("cid"), "cid", "left_semi")
+    full = large.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c")).where("c > 1").select("h", "blocks")
+    large = large.join(full, "h").groupBy("cid").agg(F.collect_list(F.struct(F.col("h").alias("comp"), "blocks")).alias("where"))
+    large = large.join(cls.select("cid", "bands"), "cid").select("cid", "where", "bands")
+    asked = materialise(cls.select("cid", "rep", "m").join(small.unionByName(large), "cid"), "asked")
     # texts are dealt out by their hash at every size; a broadcast of the classes would only do while they are few
-    texts = docs.join(asked.hint("merge"), (F.col("key") == F.col("cid")) & F.col("id").eqNullSafe(F.col("rep"))).select("cid", "m", "comp", "blocks", "blk", "text")
-    sets = texts.mapInArrow(_sets(n), "cid long, m long, comp long, blocks int, blk int, grams binary")
-    sets = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    sets = sets.select("comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "m", "blk", "grams")
+    texts = docs.join(asked.hint("merge"), (F.col("key") == F.col("cid")) & F.col("id").eqNullSafe(F.col("rep")))
+    texts = texts.select("cid", "m", F.struct("where", "bands").alias("where"), "text")
+    sets = texts.mapInArrow(_sets(n), StructType([StructField("cid", LongType()), StructField("m", LongType()), texts.schema["where"], StructField("grams", BinaryType())]))
+    sets = sets.select("cid", "m", "grams", "where.bands", F.inline("where.where"))
+    sets = sets.withColumn("blk", F.pmod(F.xxhash64(F.col("cid") + 1), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    sets = sets.select("comp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cid", "m", "blk", "grams", "bands")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = materialise(sets.mapInArrow(_verify(threshold), "cid long, links long, lead long"), "links")
