@@ -104,8 +104,9 @@ class SuffixAutomaton:
         return out
 
 
-def _contexts(window: int, gram: int):
-    """mapInArrow: seeds and contexts of each text."""
+def _contexts(window: int, gram: int, most: int = 2048):
+    """mapInArrow: seeds and contexts of each text. A context of more than `most` windows (periodic text) is cut in runs
+    of so many: each window lies in one run as a whole, so a task never holds a long one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,6 +127,11 @@ def _contexts(window: int, gram: int):
                 stop = whole.copy()
                 stop[:-1] &= ~whole[1:] | (low[1:] != low[:-1])
                 end = np.flatnonzero(stop)
+                runs = (end - at) // most + 1
+                if runs.max() > 1:
+                    last = np.repeat(end, runs)
+                    at = np.repeat(at, runs) + most * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+                    end = np.minimum(at + most - 1, last)
                 # a seed occurs again inside its own context each time that the window moves past it
                 past = np.concatenate(([0], np.cumsum(grams[: len(low)] == low)))
                 size = end - at + window

@@ -177,5 +177,27 @@ def test_jaccard_join_against_all_pairs(spark, block):
     assert kept.columns == df.columns and kept.count() == len(groups)
 
 
+def test_a_chain_of_near_copies(spark):
+    """Each text differs from the one before by a word: one component, in which few pairs are links."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words[i % 60] = f"q{i}"
+        rows.append((i, " ".join(words)))
+    count, _ = _links(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_join(df, block=16).collect()
+    assert {r.doc_id: r.n_links for r in got} == dict(enumerate(count)) and {r.group_id for r in got} == {0} and max(count) < 20
+
+
+def test_long_periodic_texts(spark):
+    """One word, and a period of words, for far longer than a context may be."""
+    period = [f"p{i}" for i in range(50)]
+    texts = ["same " * 200_000, " ".join(period * 3000), " ".join(f"u{i}" for i in range(5000)), " ".join(period)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()}
+    assert got == {0: (200_000, 200_000), 1: (150_000, 150_000), 2: (5000, 0), 3: (50, 50)}
+
+
 def test_jaccard_join_of_nothing(documents):
     assert ngram_join.jaccard_join(documents.where("false")).count() == 0
