@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.config import DEFAULTS
@@ -12,8 +12,8 @@ from reelgrid.operators.components import connected_components
 
 
 def bands(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of bits + 1 bands of 64: with that many flipped bits one band at least is equal."""
-    n, at, out = bits + 1, 0, []
+    """(shift, width) of the fewest bands of 64 bits of which one has at most one of that many flipped bits."""
+    n, at, out = bits // 2 + 1, 0, []
     for k in range(n):
         width = 64 // n + (k < 64 % n)
         out.append((at, width))
@@ -24,18 +24,26 @@ def bands(bits: int) -> list[tuple[int, int]]:
 def hamming_pairs(hashes: DataFrame, key: str = "key", bits: int = DEFAULTS.hamming_bits, least: int = DEFAULTS.least_positions) -> DataFrame:
     """(a, b), a < b: keys whose hashes differ by at most `bits` bits at every position that both have, and `least` have.
 
-    hashes: (key, position, bits as long). Positions meet by band, so no pair is compared that can't match; equal hash
-    rows of many keys are joined as they are, which the skew join splits.
+    hashes: (key, position, bits as long). Positions meet by wide bands: one side stands under the value of each band,
+    the other under it and its neighbours of one bit, so keys meet about as rarely as long hashes agree by chance. All
+    hashes of a key travel along, so a pair is decided where it meets. Equal hashes of many keys are joined as they
+    are, which the skew join splits.
     """
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", s).bitwiseAND((1 << w) - 1).alias("value")) for i, (s, w) in enumerate(bands(bits))))
-    each = hashes.where("bits is not null").select(F.col(key).alias("k"), "position", "bits", F.explode(cut).alias("c")).select("k", "position", "bits", "c.band", "c.value")
-    l, r = each.alias("l"), each.alias("r")
-    same = (F.col("l.position") == F.col("r.position")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.k") < F.col("r.k"))
-    near = l.join(r, same).where(hamming(F.col("l.bits"), F.col("r.bits")) <= bits).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
-    one = hashes.where("bits is not null").select(F.col(key).alias("k"), "position", "bits")
-    full = near.join(one.select(F.col("k").alias("a"), "position", F.col("bits").alias("x")), "a").join(one.select(F.col("k").alias("b"), "position", F.col("bits").alias("y")), ["b", "position"])
-    agree = full.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(hamming(F.col("x"), F.col("y"))).alias("worst"))
-    return agree.where((F.col("n") >= least) & (F.col("worst") <= bits)).select("a", "b")
+    one = hashes.where("bits is not null").groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("position", "bits")).alias("all"))
+    each = one.select("k", "all", F.explode("all").alias("h")).select("k", "all", F.col("h.position").alias("p"), F.col("h.bits").alias("h"))
+
+    def value(shift: int, width: int) -> Column:
+        return F.shiftrightunsigned("h", shift).bitwiseAND((1 << width) - 1)
+
+    own = [F.struct(F.lit(i).alias("band"), value(s, w).alias("v")) for i, (s, w) in enumerate(bands(bits))]
+    flips = [F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(w))) for _, w in bands(bits)]
+    near = [F.transform(flips[i], lambda m, i=i, s=s, w=w: F.struct(F.lit(i).alias("band"), value(s, w).bitwiseXOR(m).alias("v"))) for i, (s, w) in enumerate(bands(bits))]
+    l = each.select("k", "all", "p", F.explode(F.flatten(F.array(*near))).alias("c")).select(F.col("k").alias("a"), F.col("all").alias("x"), "p", "c.*")
+    r = each.select("k", "all", "p", F.explode(F.array(*own)).alias("c")).select(F.col("k").alias("b"), F.col("all").alias("y"), "p", "c.*")
+    met = l.join(r, ["p", "band", "v"]).where("a < b")
+    both = F.filter("x", lambda i: F.exists("y", lambda j: j["position"] == i["position"]))
+    alike = F.forall("x", lambda i: F.forall("y", lambda j: (i["position"] != j["position"]) | (hamming(i["bits"], j["bits"]) <= bits)))
+    return met.where(alike & (F.size(both) >= least)).select("a", "b").distinct()
 
 
 def same_recording(scenes: DataFrame, bits: int = DEFAULTS.hamming_bits, slack: int = DEFAULTS.frame_slack) -> DataFrame:
