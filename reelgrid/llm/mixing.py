@@ -4,8 +4,9 @@ Only DataFrame functions. Sizes are counted in one pass over the text and writte
 water-filling is found by Newton steps on a concave, piecewise linear function: each is one aggregation over the
 sources, of which three numbers reach the driver. Every document of a source is repeated floor(target / size of source)
 times; what is left goes, in the order of a seeded hash, to one more pass of whole documents until the target is
-reached. The order of a source is never sorted in one task: hashes fall into 65536 bins, bins are summed by partial
-aggregation, and only the one bin in which the target is reached is sorted.
+reached. The order of a source is never sorted in one task: hashes fall into 4096 bins, bins are summed by partial
+aggregation, the one bin in which the target is reached is parted in 4096 again, and only the one part of it in which
+the target is reached is sorted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from reelgrid.plans.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-BIN_DIGITS = 4
+BIN_DIGITS = 3  # hexadecimal
 
 
 def word_count(text: str) -> Column:
@@ -64,6 +65,20 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: fl
     return sums.select("__source", "__size", F.least(share, "__cap").alias("__target"))
 
 
+def _narrowed(plan: DataFrame, sized: DataFrame, seed: str, digits: int) -> DataFrame:
+    """plan with __last, the first `digits` of the hashes with which a source's target is reached, within those known so
+    far, and __before, the words of all hashes below."""
+    held = plan.select(F.col("__source").alias("__s"), "__rest", "__last", "__before")
+    rows = sized.select("__source", "__words", F.substring(_order("__id", seed), 1, digits).alias("__bin"))
+    inside = rows.join(held, F.col("__source").eqNullSafe(F.col("__s"))).where(F.col("__bin").startswith(F.col("__last")))
+    bins = inside.groupBy("__s", "__rest", "__before", "__bin").agg(F.sum("__words").alias("__n"))
+    upto = Window.partitionBy("__s").orderBy("__bin")  # at most 16 ** BIN_DIGITS rows a source
+    bins = bins.withColumn("__upto", F.col("__before") + F.sum("__n").over(upto)).where("__upto >= __rest")
+    found = bins.groupBy("__s").agg(F.min(F.struct("__bin", "__upto", "__n")).alias("b")).select("__s", F.col("b.__bin").alias("__at"), (F.col("b.__upto") - F.col("b.__n")).alias("__below"))
+    out = plan.drop("__last", "__before").join(found, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return out.withColumnsRenamed({"__at": "__last", "__below": "__before"})
+
+
 def taken(documents: DataFrame, size: Column, plan: DataFrame, sized: DataFrame, seed: str, whole: bool) -> DataFrame:
     """documents (__id, __source, any more) with __taken, __size and __target.
 
@@ -72,17 +87,11 @@ def taken(documents: DataFrame, size: Column, plan: DataFrame, sized: DataFrame,
     """
     base = F.when(F.col("__size") > 0, F.floor(F.col("__target") / F.col("__size"))).otherwise(0).cast("long")
     plan = plan.withColumn("__base", base).withColumn("__rest", F.round("__target").cast("long") - F.col("__base") * F.col("__size"))
-    cut = F.substring(_order("__id", seed), 1, BIN_DIGITS)
-    bins = sized.select("__source", cut.alias("__bin"), "__words").groupBy("__source", "__bin").agg(F.sum("__words").alias("__n"))
-    upto = Window.partitionBy("__source").orderBy("__bin")  # at most 16 ** BIN_DIGITS rows a source
-    bins = bins.withColumn("__upto", F.sum("__n").over(upto))
-    bins = bins.withColumnRenamed("__source", "__s")
-    last = bins.join(plan, F.col("__s").eqNullSafe(F.col("__source"))).where("__upto >= __rest").groupBy("__s").agg(F.min(F.struct("__bin", "__upto", "__n")).alias("b"))
-    plan = plan.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").select(
-        F.col("__source").alias("__s"), "__size", "__target", "__base", "__rest", F.col("b.__bin").alias("__last"), (F.col("b.__upto") - F.col("b.__n")).alias("__before")
-    )
-    plan = materialise(plan, "plan")
-    marked = documents.withColumn("__order", _order("__id", seed)).withColumn("__bin", F.substring("__order", 1, BIN_DIGITS))
+    plan = plan.withColumn("__last", F.lit("")).withColumn("__before", F.lit(0).cast("long"))
+    for level in (1, 2):
+        plan = materialise(_narrowed(plan, sized, seed, level * BIN_DIGITS), "plan")
+    plan = plan.withColumnRenamed("__source", "__s")
+    marked = documents.withColumn("__order", _order("__id", seed)).withColumn("__bin", F.substring("__order", 1, 2 * BIN_DIGITS))
     joined = marked.join(plan, marked["__source"].eqNullSafe(plan["__s"]))
     sure = joined.where(F.coalesce(F.col("__bin") != F.col("__last"), F.lit(True))).withColumn("__words", size)
     extra = F.when(F.col("__bin") < F.col("__last"), F.col("__words")).otherwise(0)
