@@ -26,20 +26,29 @@ def template(views: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     return centroids(top, keys, "embedding", F.col("quality"))
 
 
-def nearest(vectors: DataFrame, centres: DataFrame, id_col: str, centre_col: str, threshold: float = -1.0, margin: float | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, centres: DataFrame, id_col: str, centre_col: str, threshold: float = -1.0, margin: float | None = None, block: int = 4096) -> DataFrame:
     """(id, centre, best, second): the most similar centre of each vector at the threshold, `margin` above the second.
 
-    centres (centre_col, centroid) is a small table, one row a person or cluster; pairs are reduced to two numbers by an
-    aggregation that combines on the map side. Ties: the smallest centre.
+    Centres (centre_col, centroid) are counted and broadcast in blocks of about `block` rows; each block leaves a
+    vector's two best, which an aggregation merges. Ties: the smallest centre.
     """
-    pairs = vectors.join(F.broadcast(centres.select(centre_col, "centroid")), F.lit(True))
-    scored = pairs.select(F.col(id_col), F.col(centre_col), dot(F.col("embedding"), F.col("centroid")).alias("s"))
-    return best_two(scored, id_col, centre_col, threshold, margin)
+    blocks, out = -(-centres.count() // block) or 1, None
+    for k in range(blocks):
+        some = centres.select(centre_col, "centroid").where(F.pmod(F.xxhash64(centre_col), F.lit(blocks)) == k)
+        pairs = vectors.join(F.broadcast(some), F.lit(True))
+        scored = pairs.select(F.col(id_col), F.col(centre_col), dot(F.col("embedding"), F.col("centroid")).alias("s"))
+        top = scored if blocks == 1 else _two(scored, id_col, centre_col).drop("__r")
+        out = top if out is None else out.unionByName(top)
+    return best_two(out, id_col, centre_col, threshold, margin)
 
 
-def best_two(scored: DataFrame, id_col: str, centre_col: str, threshold: float, margin: float | None) -> DataFrame:
+def _two(scored: DataFrame, id_col: str, centre_col: str) -> DataFrame:
     r = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("s"), centre_col))
-    top = scored.withColumn("__r", r).where(F.col("__r") <= 2)
+    return scored.withColumn("__r", r).where(F.col("__r") <= 2)
+
+
+def best_two(scored: DataFrame, id_col: str, centre_col: str, threshold: float, margin: float | None) -> DataFrame:
+    top = _two(scored, id_col, centre_col)
     out = top.groupBy(id_col).agg(
         F.min(F.when(F.col("__r") == 1, F.col(centre_col))).alias(centre_col), F.max(F.when(F.col("__r") == 1, F.col("s"))).alias("best"), F.coalesce(F.max(F.when(F.col("__r") == 2, F.col("s"))), F.lit(-1.0)).alias("second")
     )
@@ -82,9 +91,9 @@ def cannot_links(tracks: DataFrame) -> DataFrame:
 
 
 def differently_named(persons: DataFrame) -> DataFrame:
-    """(a, b): anchors of people with different names; people that somebody named are few."""
+    """(a, b): anchors of people with different names. All pairs are asked for; people that somebody named are few."""
     n = persons.where(F.col("name").isNotNull() & F.col("anchor").isNotNull()).select("anchor", F.lower("name").alias("n"))
-    l, r = n.alias("l"), F.broadcast(n).alias("r")
+    l, r = n.alias("l"), n.alias("r")
     return l.join(r, (F.col("l.n") != F.col("r.n")) & (F.col("l.anchor") < F.col("r.anchor"))).select(F.col("l.anchor").alias("a"), F.col("r.anchor").alias("b"))
 
 
@@ -109,7 +118,7 @@ def suggestions(
     owner = tracks.select(F.col("id").alias("t"), "person_id")
     no = feedback.where("kind = 'diff'").join(owner.select(F.col("t").alias("a"), F.col("person_id").alias("pa")), "a").join(owner.select(F.col("t").alias("b"), F.col("person_id").alias("pb")), "b")
     no = no.select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")).distinct()
-    pairs = shown.where("name is null").drop("name").join(F.broadcast(named), F.lit(True))
+    pairs = shown.where("name is null").drop("name").join(named, F.lit(True))  # Spark broadcasts the named while they are small
     pairs = pairs.withColumn("x", F.least("id", "suggested")).withColumn("y", F.greatest("id", "suggested")).join(no, ["x", "y"], "left_anti")
     scored = pairs.select("id", "suggested", dot(F.col("embedding"), F.col("centroid")).alias("s"))
     best = best_two(scored, "id", "suggested", least, margin)

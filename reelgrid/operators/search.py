@@ -11,6 +11,7 @@ from reelgrid.config import DEFAULTS
 from reelgrid.functions.dates import within
 from reelgrid.functions.numbers import dot
 from reelgrid.operators.intervals import islands
+from reelgrid.plans.scratch import materialise
 
 # Kinds of catalog rows.
 KINDS = ("dv", "dvd", "video", "photo")
@@ -62,7 +63,9 @@ def allowed(catalog: DataFrame, people: DataFrame, tags: DataFrame, q: Query) ->
 
 
 def in_band(scored: DataFrame, score: str = "score", floor: float = DEFAULTS.search_floor, band: float = DEFAULTS.search_band) -> DataFrame:
-    """Rows at the floor or above and at most `band` below the best of all: the best is one row, joined back."""
+    """Rows at the floor or above and at most `band` below the best of all: scored once, written narrow, the best of all
+    is one row that is joined back."""
+    scored = materialise(scored, "scores")
     best = scored.agg(F.max(score).alias("__best"))
     kept = scored.join(F.broadcast(best), F.col(score) >= F.greatest(F.lit(floor), F.col("__best") - band))
     return kept.drop("__best")
@@ -123,8 +126,8 @@ def search(catalog: DataFrame, frames: DataFrame, tags: DataFrame, people: DataF
     by_score = [F.col("score").desc(), F.col("tape_id"), F.col("scene_id")]
     order = by_score if q.vector and q.sort != "date" else date_order()
     out = found.withColumn("score", F.bround("score", 4)).withColumn("duration", F.bround(F.coalesce("duration", F.lit(0.0)), 2))
-    total = out.agg(F.count("*").alias("total"))
-    return out.join(F.broadcast(total)).orderBy(*order).limit(q.limit or q.config.search_limit)
+    out = materialise(out, "hits")  # worked out once, for the total and for the page
+    return out.withColumn("total", F.lit(out.count()).cast("long")).orderBy(*order).limit(q.limit or q.config.search_limit)
 
 
 def date_order() -> list[Column]:

@@ -14,15 +14,20 @@ from reelgrid.functions.numbers import dot
 from reelgrid.operators.intervals import islands
 
 
-def score_tags(frames: DataFrame, prompts: DataFrame, keep: list[str]) -> DataFrame:
+def score_tags(frames: DataFrame, prompts: DataFrame, keep: list[str], block: int = 4096) -> DataFrame:
     """keep + (tag, role, score): each frame's best similarity over a tag's prompts of a role ("own" or "rival").
 
-    prompts: (tag, role, vector), a vocabulary that people wrote, so it is broadcast; the product is one row a frame and
-    prompt and is reduced at once.
+    prompts: (tag, role, vector), counted and broadcast in blocks of about `block` rows; the product is one row a frame
+    and prompt and is reduced at once.
     """
-    pairs = frames.join(F.broadcast(prompts), F.lit(True), "inner")
-    scored = pairs.select(*keep, "tag", "role", dot(F.col("emb"), F.col("vector")).alias("score"))
-    return scored.groupBy(*keep, "tag", "role").agg(F.max("score").alias("score"))
+    blocks, out = -(-prompts.count() // block) or 1, None
+    for k in range(blocks):
+        some = prompts.where(F.pmod(F.xxhash64("tag", "role", "vector"), F.lit(blocks)) == k)
+        pairs = frames.join(F.broadcast(some), F.lit(True), "inner")
+        scored = pairs.select(*keep, "tag", "role", dot(F.col("emb"), F.col("vector")).alias("score"))
+        best = scored.groupBy(*keep, "tag", "role").agg(F.max("score").alias("score"))
+        out = best if out is None else out.unionByName(best)
+    return out if blocks == 1 else out.groupBy(*keep, "tag", "role").agg(F.max("score").alias("score"))
 
 
 def score_tags_dense(frames: DataFrame, prompts: DataFrame, keep: list[str]) -> DataFrame:
