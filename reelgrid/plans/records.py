@@ -16,7 +16,8 @@ from reelgrid.plans.scratch import materialise, scratch_dir
 from reelgrid.sources import archive, sinks
 from reelgrid.streaming import jobs
 
-K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
 
 
 def _orders(spark, sf_dir, *more):
@@ -33,7 +34,7 @@ def _day(c: str = "o_orderdate", f: str = "yyyy-MM-dd"):
 CASE WHEN o_orderkey % 6 IN (2, 4) THEN strftime(o_orderdate, '%H:%M:%S') WHEN o_orderkey % 6 = 3 THEN '10:20:30' END AS time FROM orders""")
 def scene_dates(spark, sf_dir):
     """A scene's date by priority: the operator's, the tape's, the camera's, that in its id, the tape's for undated ones."""
-    kind, none = K % 6, F.lit(None).cast("string")
+    kind, none = _k() % 6, F.lit(None).cast("string")
     own = F.when(kind == 0, "unknown").when(kind == 1, "2001-05-06")
     override = F.when(kind == 4, "2002-03-04")
     recorded = F.when(kind.isin(0, 2, 4), _day(f="yyyy-MM-dd'T'HH:mm:ss"))
@@ -46,20 +47,20 @@ def scene_dates(spark, sf_dir):
 
 @query("""WITH y AS (SELECT o_orderkey, 1890 + o_orderkey % 150 AS y FROM orders) SELECT o_orderkey, CASE WHEN y BETWEEN 1990 AND 2027 THEN y::VARCHAR || '-02-03' END AS device, CASE WHEN y BETWEEN 1900 AND 2027 THEN y::VARCHAR || '-02-03' END AS named FROM y""")
 def sane_dates(spark, sf_dir):
-    d = F.concat((F.lit(1890) + K % 150).cast("string"), F.lit("-02-03"))
+    d = F.concat((F.lit(1890) + _k() % 150).cast("string"), F.lit("-02-03"))
     return _orders(spark, sf_dir, dates.sane(d, now_year=2026).alias("device"), dates.sane_name(d, 2026).alias("named"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""")
 def date_from_folders(spark, sf_dir):
     """Dates in the names of the two folders above a file."""
-    p = F.when(K % 3 == 0, F.concat(F.lit("/m/"), _day(), F.lit(" trip/a/x.jpg"))).when(K % 3 == 1, F.concat(F.lit("/m/2001-01-01/"), _day(f="dd.MM.yyyy"), F.lit("/x.jpg"))).otherwise("/m/trip/x.jpg")
+    p = F.when(_k() % 3 == 0, F.concat(F.lit("/m/"), _day(), F.lit(" trip/a/x.jpg"))).when(_k() % 3 == 1, F.concat(F.lit("/m/2001-01-01/"), _day(f="dd.MM.yyyy"), F.lit("/x.jpg"))).otherwise("/m/trip/x.jpg")
     return _orders(spark, sf_dir, dates.date_from_folders(p, 2026).alias("date"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS taken FROM orders""")
 def exif_dates(spark, sf_dir):
-    v = F.when(K % 3 == 0, _day(f="yyyy:MM:dd HH:mm:ss")).when(K % 3 == 1, F.concat(F.lit(" "), _day(f="yyyy-MM-dd'T'HH:mm:ss"), F.lit("\x00"))).otherwise("0000:00:00 00:00:00")
+    v = F.when(_k() % 3 == 0, _day(f="yyyy:MM:dd HH:mm:ss")).when(_k() % 3 == 1, F.concat(F.lit(" "), _day(f="yyyy-MM-dd'T'HH:mm:ss"), F.lit("\x00"))).otherwise("0000:00:00 00:00:00")
     return _orders(spark, sf_dir, dates.exif_date(v, 2026).alias("taken"))
 
 
@@ -69,14 +70,14 @@ def container_dates(spark, sf_dir):
     utc = F.create_map(F.lit("Creation_Time"), _day(f="yyyy-MM-dd'T'HH:mm:ss'.000000Z'"))
     own = F.create_map(F.lit("com.apple.quicktime.creationdate"), _day(f="yyyy-MM-dd'T'HH:mm:ss'+0200'"), F.lit("creation_time"), F.lit("1999-01-01T00:00:00Z"))
     none = F.create_map(F.lit("encoder"), F.lit("x"))
-    return _orders(spark, sf_dir, dates.container_date(F.when(K % 3 == 0, utc).when(K % 3 == 1, own).otherwise(none), "Etc/GMT-2", 2026).alias("taken"))
+    return _orders(spark, sf_dir, dates.container_date(F.when(_k() % 3 == 0, utc).when(_k() % 3 == 1, own).otherwise(none), "Etc/GMT-2", 2026).alias("taken"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '2010-01-02T03:04:05' WHEN o_orderkey % 4 = 1 THEN '1985-07-08' WHEN o_orderkey % 4 = 2 THEN '2003-04-05' END AS taken,
 ['exif', 'name', 'name', 'scan'][1 + o_orderkey % 4] AS date_source FROM orders""")
 def picked_dates(spark, sf_dir):
     """A camera's clock, a date in the name, for scans one that is much older than the scanner's clock, else none."""
-    kind = K % 4
+    kind = _k() % 4
     path = F.when(kind == 0, "/m/a/x.jpg").when(kind == 1, "/m/skany/1985-07-08.jpg").when(kind == 2, "/m/a/2003-04-05 x.jpg").otherwise("/m/scan/x.jpg")
     device = F.when(kind.isin(0, 1, 3), "2010-01-02T03:04:05")
     p = materialise(_orders(spark, sf_dir, path.alias("path"), device.alias("device")), "paths")
@@ -86,8 +87,8 @@ def picked_dates(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 100 + o_orderkey % 9000 END AS n FROM orders""")
 def file_counters(spark, sf_dir):
-    n = (F.lit(100) + K % 9000).cast("string")
-    name = F.when(K % 3 == 0, "IMG_1.JPG").when(K % 3 == 1, F.concat(F.lit("DSC_"), n, F.lit("a.JPG"))).otherwise(F.concat(F.lit("555_"), n, F.lit(".mp4")))
+    n = (F.lit(100) + _k() % 9000).cast("string")
+    name = F.when(_k() % 3 == 0, "IMG_1.JPG").when(_k() % 3 == 1, F.concat(F.lit("DSC_"), n, F.lit("a.JPG"))).otherwise(F.concat(F.lit("555_"), n, F.lit(".mp4")))
     return _orders(spark, sf_dir, dates.file_counter(name).alias("n"))
 
 
@@ -99,14 +100,14 @@ def utc_clocks(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 2) AS valid FROM orders""")
 def date_bounds(spark, sf_dir):
-    b = F.when(K % 5 == 0, "2001").when(K % 5 == 1, "2001-02").when(K % 5 == 2, "2001-02-03").when(K % 5 == 3, "2001-2").otherwise("x")
+    b = F.when(_k() % 5 == 0, "2001").when(_k() % 5 == 1, "2001-02").when(_k() % 5 == 2, "2001-02-03").when(_k() % 5 == 3, "2001-2").otherwise("x")
     return _orders(spark, sf_dir, dates.valid_bound(b).alias("valid"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS taken FROM orders""")
 def probed_dates(spark, sf_dir):
     """Recording times named by a probe's output."""
-    form = F.when(K % 4 == 0, _day(f="yyyy.MM.dd_HH-mm-ss")).when(K % 4 == 1, _day(f="yyyy-MM-dd HH:mm:ss")).when(K % 4 == 2, _day(f="yyyy.MM.dd HH-mm-ss")).otherwise("no date")
+    form = F.when(_k() % 4 == 0, _day(f="yyyy.MM.dd_HH-mm-ss")).when(_k() % 4 == 1, _day(f="yyyy-MM-dd HH:mm:ss")).when(_k() % 4 == 2, _day(f="yyyy.MM.dd HH-mm-ss")).otherwise("no date")
     return _orders(spark, sf_dir, dates.recorded_in(F.concat(F.lit("probe001-"), form, F.lit(".dv 12 ok"))).alias("taken"))
 
 
@@ -128,8 +129,8 @@ def camera_zones(spark, sf_dir):
 def scene_labels(spark, sf_dir):
     """Ranges of dates, titles and comments of scenes."""
     day = _day()
-    label = text.date_range_label(F.when(K % 3 != 2, day), F.when(K % 3 == 0, day).when(K % 3 == 1, "2030-01-01"))
-    n, rec = (K % 90).cast("int"), F.when(K % 2 == 0, _day(f="yyyy-MM-dd'T'HH:mm:ss"))
+    label = text.date_range_label(F.when(_k() % 3 != 2, day), F.when(_k() % 3 == 0, day).when(_k() % 3 == 1, "2030-01-01"))
+    n, rec = (_k() % 90).cast("int"), F.when(_k() % 2 == 0, _day(f="yyyy-MM-dd'T'HH:mm:ss"))
     tape = F.lit("T")
     return _orders(spark, sf_dir, label.alias("label"), text.scene_title(tape, n).alias("title"), text.scene_comment(tape, n, F.lit("00:01"), F.lit(""), rec, F.lit("VAUX")).alias("comment"))
 
@@ -227,13 +228,13 @@ def _scenes(spark, sf_dir):
     """Scene documents and tape documents from orders."""
     none = F.lit(None)
     o = table(spark, sf_dir, "orders")
-    rec = F.struct(F.when(K % 9 != 0, _day(f="yyyy-MM-dd'T'HH:mm:ss")).alias("datetime"), F.lit("VAUX").alias("datetime_source"), F.lit(True).alias("datetime_valid"))
-    fp = F.struct(F.when(K % 4 == 0, _day(f="yyyy-MM-dd'T'HH:mm:ss")).otherwise("").alias("datetime"), F.col("o_custkey").cast("string").alias("tc_start"), (F.col("o_custkey") % 3).cast("string").alias("tc_end"), (K % 40).alias("frame_count"), none.cast("array<string>").alias("frame_hashes"))
+    rec = F.struct(F.when(_k() % 9 != 0, _day(f="yyyy-MM-dd'T'HH:mm:ss")).alias("datetime"), F.lit("VAUX").alias("datetime_source"), F.lit(True).alias("datetime_valid"))
+    fp = F.struct(F.when(_k() % 4 == 0, _day(f="yyyy-MM-dd'T'HH:mm:ss")).otherwise("").alias("datetime"), F.col("o_custkey").cast("string").alias("tc_start"), (F.col("o_custkey") % 3).cast("string").alias("tc_end"), (_k() % 40).alias("frame_count"), none.cast("array<string>").alias("frame_hashes"))
     s = o.select(
-        F.col("o_orderpriority").alias("tape_id"), K.cast("string").alias("scene_id"), (K % 500).cast("int").alias("scene_index"), (K % 1000).alias("frame_count"), rec.alias("recording"),
+        F.col("o_orderpriority").alias("tape_id"), _k().cast("string").alias("scene_id"), (_k() % 500).cast("int").alias("scene_index"), (_k() % 1000).alias("frame_count"), rec.alias("recording"),
         F.struct(F.lit("00:00").alias("start"), F.lit("00:09").alias("end")).alias("timecode"), F.struct(F.lit("PAL").alias("standard")).alias("video"),
-        F.struct((K % 3).cast("int").alias("dropped_frames"), F.when(K % 5 == 0, F.array(F.lit("x"))).alias("source_discontinuities"), F.lit(0).alias("decode_errors"), (K % 3).cast("int").alias("error_score")).alias("capture"),
-        fp.alias("fingerprint"), F.struct(F.struct((K % 1000).alias("size_compressed")).alias("archive")).alias("files"),
+        F.struct((_k() % 3).cast("int").alias("dropped_frames"), F.when(_k() % 5 == 0, F.array(F.lit("x"))).alias("source_discontinuities"), F.lit(0).alias("decode_errors"), (_k() % 3).cast("int").alias("error_score")).alias("capture"),
+        fp.alias("fingerprint"), F.struct(F.struct((_k() % 1000).alias("size_compressed")).alias("archive")).alias("files"),
     )
     t = o.select(F.col("o_orderpriority").alias("tape_id")).distinct().select(
         "tape_id", F.lower("tape_id").alias("label"), none.cast("string").alias("recording_date"), none.cast("string").alias("undated_date"), none.cast("map<string,string>").alias("scene_dates"), F.lit("").alias("workspace"), F.lit(0).alias("scene_count")
@@ -262,7 +263,7 @@ SELECT tape_id, scene_id, date, label FROM e""")
 def edited_scenes(spark, sf_dir):
     """Scenes as the operator edited them: dates, names of tapes and scenes, scenes deleted."""
     o = table(spark, sf_dir, "orders")
-    key = [F.col("o_orderpriority").alias("tape_id"), K.cast("string").alias("scene_id")]
+    key = [F.col("o_orderpriority").alias("tape_id"), _k().cast("string").alias("scene_id")]
     edits = o.where("o_orderkey % 7 = 0").select(*key, F.lit("date").alias("name"), F.lit("2001-01-01").alias("value"))
     edits = edits.unionByName(o.where("o_orderkey % 10 = 1").select(*key, F.lit("label").alias("name"), F.lit("own").alias("value")))
     edits = edits.unionByName(o.where("o_orderkey % 11 = 0").select(*key, F.lit("deleted").alias("name"), F.lit("1").alias("value")))
@@ -338,8 +339,8 @@ def scan_coverage(spark, sf_dir):
 @query("""SELECT o_orderstatus AS tape_id, (o_orderkey // 10)::VARCHAR AS scene_id, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL""")
 def playlists(spark, sf_dir):
     """Valid items of a playlist, each once, where it comes first."""
-    scene = F.when(K % 5 == 0, F.concat(F.lit("../"), K.cast("string"))).otherwise(F.floor(K / 10).cast("string"))
-    return catalog.playlist(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tape_id"), scene.alias("scene_id"), K.alias("pos")))
+    scene = F.when(_k() % 5 == 0, F.concat(F.lit("../"), _k().cast("string"))).otherwise(F.floor(_k() / 10).cast("string"))
+    return catalog.playlist(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tape_id"), scene.alias("scene_id"), _k().alias("pos")))
 
 
 @query(f"""WITH {_FILES} SELECT id, CASE WHEN kind = 'video' AND parent_id IS NULL AND proxy = 1 AND id % 4 = 0 THEN 1 ELSE reproxy END::INT AS reproxy FROM f""")
@@ -356,7 +357,7 @@ def reproxy_progress(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'TAPE' ELSE o_orderkey::VARCHAR END || CASE WHEN o_orderkey % 2 = 0 THEN '-RES' || CASE WHEN o_orderkey % 4 = 0 THEN '-STAB' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '-UP' ELSE '' END ELSE '' END AS token FROM orders""")
 def build_tokens(spark, sf_dir):
-    return _orders(spark, sf_dir, catalog.build_token(F.when(K % 3 != 0, K.cast("string")), K % 2 == 0, K % 4 == 0, K % 5 == 0).alias("token"))
+    return _orders(spark, sf_dir, catalog.build_token(F.when(_k() % 3 != 0, _k().cast("string")), _k() % 2 == 0, _k() % 4 == 0, _k() % 5 == 0).alias("token"))
 
 
 @query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 1 THEN 'a' || doc_id::VARCHAR ELSE NULL END AS x FROM documents WHERE doc_id % 4 <> 0""")
@@ -378,8 +379,8 @@ def source_choices(spark, sf_dir):
 @query("""SELECT o_orderkey, o_orderkey % 4 IN (0, 1, 2) AS analog FROM orders""")
 def analog_origins(spark, sf_dir):
     """Scans and tape transfers, by folder, file name or maker."""
-    p = F.when(K % 4 == 0, "/m/Skany/x.jpg").when(K % 4 == 1, "/m/a/scan_0012.jpg").otherwise("/m/a/b.jpg")
-    return _orders(spark, sf_dir, dates.analog_origin(p, F.when(K % 4 == 2, "EPSON Perfection V600")).alias("analog"))
+    p = F.when(_k() % 4 == 0, "/m/Skany/x.jpg").when(_k() % 4 == 1, "/m/a/scan_0012.jpg").otherwise("/m/a/b.jpg")
+    return _orders(spark, sf_dir, dates.analog_origin(p, F.when(_k() % 4 == 2, "EPSON Perfection V600")).alias("analog"))
 
 
 # ---- files ----------------------------------------------------------------------------------------------------------
@@ -405,7 +406,7 @@ def media_listing(spark, sf_dir):
 @query("""SELECT o_orderpriority AS folder, string_agg(k.name || ':' || k.o_orderkey::VARCHAR || ':5', ';' ORDER BY k.name || ':' || k.o_orderkey::VARCHAR || ':5') AS signature FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR || '.json' ELSE 'x' END AS name FROM orders) k WHERE name <> 'x' GROUP BY 1""")
 def folder_signatures(spark, sf_dir):
     """What changes when a tape's documents change."""
-    f = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("folder"), F.when(K % 2 == 0, F.concat(K.cast("string"), F.lit(".json"))).otherwise("x").alias("name"), (K + 0.25).alias("mtime"), F.lit(5).alias("size"))
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("folder"), F.when(_k() % 2 == 0, F.concat(_k().cast("string"), F.lit(".json"))).otherwise("x").alias("name"), (_k() + 0.25).alias("mtime"), F.lit(5).alias("size"))
     return archive.folder_signature(f)
 
 
@@ -656,8 +657,8 @@ k AS (SELECT tape_id, scene_id, CASE WHEN k % 5 = 0 THEN 'old' ELSE sig END AS s
 
 def _known(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    kind = F.element_at(F.array(*map(F.lit, vision.KIND_ORDER)), (K % 4 + 1).cast("int"))
-    c = o.select(F.col("o_orderstatus").alias("tape_id"), K.cast("string").alias("scene_id"), kind.alias("kind"), F.when(K % 6 != 0, _day()).alias("date"), F.when(K % 13 != 0, (K % 3).cast("string")).alias("sig"), K.alias("k"))
+    kind = F.element_at(F.array(*map(F.lit, vision.KIND_ORDER)), (_k() % 4 + 1).cast("int"))
+    c = o.select(F.col("o_orderstatus").alias("tape_id"), _k().cast("string").alias("scene_id"), kind.alias("kind"), F.when(_k() % 6 != 0, _day()).alias("date"), F.when(_k() % 13 != 0, (_k() % 3).cast("string")).alias("sig"), _k().alias("k"))
     k = c.where("k % 7 <> 0 and sig is not null").select("tape_id", "scene_id", F.when(F.col("k") % 5 == 0, "old").otherwise(F.col("sig")).alias("sig"), (F.col("k") % 30).cast("int").alias("frames"))
     left = table(spark, sf_dir, "customer").select(F.lit("gone").alias("tape_id"), F.col("c_custkey").cast("string").alias("scene_id"), F.lit("x").alias("sig"), F.lit(1).alias("frames"))
     return c.drop("k"), k.unionByName(left)
@@ -700,7 +701,7 @@ def replaced_scenes(spark, sf_dir):
 @query("""SELECT o_custkey, min(o_orderkey) AS i, (floor(o_totalprice / 50000))::INT AS second FROM orders WHERE o_totalprice / 1000 >= 40 GROUP BY o_custkey, floor(o_totalprice / 50000)""")
 def sharp_frames(spark, sf_dir):
     """The first sharp frame of each second."""
-    f = table(spark, sf_dir, "orders").select("o_custkey", F.floor(F.col("o_totalprice") / 50000).cast("int").alias("second"), K.alias("i"), (F.col("o_totalprice") / 1000).alias("sharpness"))
+    f = table(spark, sf_dir, "orders").select("o_custkey", F.floor(F.col("o_totalprice") / 50000).cast("int").alias("second"), _k().alias("i"), (F.col("o_totalprice") / 1000).alias("sharpness"))
     return frames.sharp_frames(f, ["o_custkey"]).select("o_custkey", "second", "i")
 
 
@@ -770,7 +771,7 @@ def search_by_people(spark, sf_dir):
 @query("""SELECT o_orderkey FROM orders WHERE false""")
 def search_for_nothing(spark, sf_dir):
     """A search that asks nothing lists nothing."""
-    cat = _orders(spark, sf_dir, F.lit("t").alias("tape_id"), K.cast("string").alias("scene_id"), F.lit("default").alias("workspace"), F.lit("dv").alias("kind"), F.lit("2000-01-01").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(9.0).alias("duration"))
+    cat = _orders(spark, sf_dir, F.lit("t").alias("tape_id"), _k().cast("string").alias("scene_id"), F.lit("default").alias("workspace"), F.lit("dv").alias("kind"), F.lit("2000-01-01").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(9.0).alias("duration"))
     no = spark.createDataFrame([], "tape_id string, scene_id string, t double, t_end double, emb array<float>")
     none = spark.createDataFrame([], "tape_id string, scene_id string, tag string, t0 double, t1 double, score double")
     who = spark.createDataFrame([], "tape_id string, scene_id string, person_id long, times array<int>")
