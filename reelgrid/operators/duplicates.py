@@ -35,9 +35,12 @@ def hamming_pairs(hashes: DataFrame, key: str = "key", bits: int = DEFAULTS.hamm
     def value(shift: int, width: int) -> Column:
         return F.shiftrightunsigned("h", shift).bitwiseAND((1 << width) - 1)
 
+    def around(i: int, shift: int, width: int) -> Column:
+        masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(width)))
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("band"), value(shift, width).bitwiseXOR(m).alias("v")))
+
     own = [F.struct(F.lit(i).alias("band"), value(s, w).alias("v")) for i, (s, w) in enumerate(bands(bits))]
-    flips = [F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(w))) for _, w in bands(bits)]
-    near = [F.transform(flips[i], lambda m, i=i, s=s, w=w: F.struct(F.lit(i).alias("band"), value(s, w).bitwiseXOR(m).alias("v"))) for i, (s, w) in enumerate(bands(bits))]
+    near = [around(i, s, w) for i, (s, w) in enumerate(bands(bits))]
     l = each.select("k", "all", "p", F.explode(F.flatten(F.array(*near))).alias("c")).select(F.col("k").alias("a"), F.col("all").alias("x"), "p", "c.*")
     r = each.select("k", "all", "p", F.explode(F.array(*own)).alias("c")).select(F.col("k").alias("b"), F.col("all").alias("y"), "p", "c.*")
     met = l.join(r, ["p", "band", "v"]).where("a < b")
