@@ -56,7 +56,7 @@ def _chunks(span: int, divisor: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("id"), batch.column("key")
-            data, edge = string_buffers(batch.column("text"))
+            data, edge = string_buffers(batch.column("__text"))
             hashes, rows, at, size = [], [], [], []
             for i in range(len(batch)):
                 text = data[edge[i] : edge[i + 1]].tobytes()
@@ -85,7 +85,7 @@ def _chunks(span: int, divisor: int, least: int):
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: the bytes of the chunks asked for."""
     for batch in batches:
-        texts, wanted = batch.column("text"), batch.column("wanted")
+        texts, wanted = batch.column("__text"), batch.column("wanted")
         rows, h, at, body, held = [], [], [], [], 0
         for i in range(len(batch)):
             lines = texts[i].as_py().encode().split(b"\n")
@@ -107,7 +107,7 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column("text"), batch.column("gone")
+            texts, gone = batch.column("__text"), batch.column("gone")
             n, removed, digest, kept = [], [], [], []
             for i in range(len(batch)):
                 text = (texts[i].as_py() or "").encode()
@@ -143,7 +143,9 @@ def remove_repeated_chunks(
     in order of id (null first), then a hash of the text, then place, stays. Of rows equal in id and text one is the
     first, the others lose what it keeps. Other columns are left aside. An empty table gives an empty result.
     """
-    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # a name that the table doesn't have: Spark drops aliases to the same name in some branches of a plan only, and then
+    # takes their exchanges of the text for different ones
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("__text"))
     kind = docs.schema["id"].dataType.simpleString()
     chunks = materialise(docs.mapInArrow(_chunks(span, divisor, least), f"h long, id {kind}, key long, at int, size int"), "chunks")
     again = chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -170,10 +172,10 @@ def remove_repeated_chunks(
     )
     cuts = cuts.select("key", "id", "gone", F.when(F.coalesce("several", F.lit(False)), F.col("all")).alias("rest"))
     found = of_docs(cuts, "left")
-    alone = found.where("rest is null").select("id", "text", "gone")
+    alone = found.where("rest is null").select("id", "__text", "gone")
     # of equal rows one keeps what stays; they are alike, so their number says which
-    alike = found.where("rest is not null").groupBy("key", "id").agg(F.first("text").alias("text"), F.first("gone").alias("gone"), F.first("rest").alias("rest"), F.count("*").alias("n"))
+    alike = found.where("rest is not null").groupBy("key", "id").agg(F.first("__text").alias("__text"), F.first("gone").alias("gone"), F.first("rest").alias("rest"), F.count("*").alias("n"))
     each = F.concat(F.array("gone"), F.array_repeat("rest", (F.col("n") - 1).cast("int")))
-    rows = alone.unionByName(alike.select("id", "text", F.explode(each).alias("gone")))
+    rows = alone.unionByName(alike.select("id", "__text", F.explode(each).alias("gone")))
     out = f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return rows.mapInArrow(_remove(with_text), out)

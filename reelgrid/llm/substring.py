@@ -111,7 +111,7 @@ def _contexts(window: int, gram: int, most: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("id"), batch.column("key").to_numpy()
-            for b in blocks(batch.column("text")):
+            for b in blocks(batch.column("__text")):
                 x = b.hashes()
                 if len(x) < window:
                     continue
@@ -155,7 +155,7 @@ def _contexts(window: int, gram: int, most: int = 2048):
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: the words of each context that is asked for."""
     for batch in batches:
-        texts, wanted = batch.column("text"), batch.column("wanted")
+        texts, wanted = batch.column("__text"), batch.column("wanted")
         out: dict[str, list] = {k: [] for k in ("seed", "blk", "ctx", "size", "n", "words")}
         held = 0
         for i in range(len(batch)):
@@ -254,7 +254,7 @@ def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, digest, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("__text"), batch.column("spans"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 total = len(words)
                 if found := spans.as_py():
@@ -278,7 +278,7 @@ def _remove(with_text: bool):
 
 
 def repeated_spans(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """(id, key, spans) of the documents of docs (id, key, text) that have words to remove."""
+    """(id, key, spans) of the documents of docs (id, key, __text) that have words to remove."""
     kind = docs.schema["id"].dataType.simpleString()
     seeds = docs.mapInArrow(_contexts(window, gram), f"seed long, ctx long, id {kind}, key long, at int, size int, own int")
     seeds = materialise(seeds, "seeds")
@@ -298,7 +298,7 @@ def repeated_spans(docs: DataFrame, window: int, gram: int, hot: int) -> DataFra
     def with_text(which: DataFrame) -> DataFrame:
         lists = which.groupBy("key", "id").agg(F.collect_list(F.struct("seed", "blk", "ctx", "size", "n", "at")).alias("wanted"))
         lists = lists.select(F.col("key").alias("k"), F.col("id").alias("i"), "wanted")
-        return docs.join(lists, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("text", "wanted")
+        return docs.join(lists, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("__text", "wanted")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -330,9 +330,11 @@ def remove_repeats(
     """
     if not 1 <= gram < window:
         raise ValueError("gram must be at least 1 and below window")
-    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # a name that the table doesn't have: Spark drops aliases to the same name in some branches of a plan only, and then
+    # takes their exchanges of the text for different ones
+    docs = small_batches(documents).select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("__text"))
     spans = repeated_spans(docs, window, gram, hot).select(F.col("key").alias("k"), F.col("id").alias("i"), "spans")
-    joined = docs.join(spans, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left").select("id", "text", "spans")
+    joined = docs.join(spans, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left").select("id", "__text", "spans")
     kind = docs.schema["id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_remove(with_text), out)
