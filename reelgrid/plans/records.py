@@ -5,14 +5,12 @@ Orders stand in for scenes and tracks, customers for people, documents for files
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from reelgrid.functions import dates, numbers, text
 from reelgrid.operators import catalog, clustering, dating, duplicates, films, frames, intervals, people, search, state, tags, timeline, vision
 from reelgrid.plans.queries import _UNIT, _media, _persons, _tracks, query, table
-from reelgrid.plans.scratch import materialise, scratch_dir
+from reelgrid.plans.scratch import materialise, new_folder
 from reelgrid.sources import archive, sinks
 from reelgrid.streaming import jobs
 
@@ -414,7 +412,7 @@ def folder_signatures(spark, sf_dir):
 def documents_round_trip(spark, sf_dir):
     """Documents written as JSON, nulls kept, and read back; one that can't be read is left out."""
     d = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
-    path = f"{scratch_dir(spark)}/documents-{uuid.uuid4().hex}"
+    path = new_folder(spark, "documents")
     sinks.write_documents(d, path)
     spark.range(1).select(F.lit('{"c_custkey": ')).coalesce(1).write.mode("append").text(path)
     raw = spark.read.schema("c_custkey long, name string, segment string, _corrupt string").json(path, columnNameOfCorruptRecord="_corrupt")
@@ -1007,7 +1005,7 @@ def _streamed(spark, sf_dir, change, name: str, mode: str = "complete"):
     """A stream over the events until all that is there is done, its last result read back."""
     stored = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/events.parquet*")
-    root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = new_folder(spark, name)
     out = change(stream)
 
     def save(batch, number):
