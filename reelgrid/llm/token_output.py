@@ -17,7 +17,6 @@ plane p holds byte p of each id. A block can be read alone: its place is the sum
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from reelgrid.llm.pieces import ByteLevelPieces, default_path, loaded
 from reelgrid.llm.words import small_batches, string_buffers
-from reelgrid.plans.scratch import scratch_dir
+from reelgrid.plans.scratch import new_folder
 
 _HEAD = struct.Struct("<4sBBHIIQ")
 
@@ -189,8 +188,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def encoded(documents: DataFrame, **options) -> DataFrame:
-    """write_tokens() to a new folder in the shared one, and read_tokens() of it."""
+    """write_tokens() to a new folder in the shared one, which goes when the session ends, and read_tokens() of it."""
     spark = documents.sparkSession
-    out = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = new_folder(spark, "tokens")
     write_tokens(documents, out, **options)
     return read_tokens(spark, out)
