@@ -21,10 +21,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has; what is written there goes when the session ends."""
+    """A new, empty folder in the shared one; it goes when the session ends, with what is written there."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
     return path
 
 
@@ -33,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     The files go when the session ends.
     """
-    path = new_folder(df.sparkSession, name)
+    path = f"{new_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
