@@ -86,7 +86,7 @@ def decode_planes(data: bytes, only: int | None = None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[tuple[pa.Array, pa.Array]]:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 3 << 19) -> Iterator[tuple[pa.Array, pa.Array]]:
     """ids and texts of about `most` bytes at a time, or one text if that is longer."""
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -122,6 +122,7 @@ def _write(path: str, end: int, segment: int, block: int, bits: bool, id_type: p
 
         for ids, texts in _gathered(batches):
             x, n = encoder.ids(texts, end)
+            pa.default_memory_pool().release_unused()
             edge = np.concatenate(([0], np.cumsum(n)))
             lo = 0
             while lo < len(n):
