@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import decontaminate, embed_graph, html_extract, kneser_ney, line_chunks, mixing, ngram_join, substring, token_counts, token_output
+from reelgrid.llm import decontaminate, embed_graph, filter_audit, html_extract, kneser_ney, line_chunks, mixing, ngram_join, substring, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of each order, by language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OPERATORS = (
     op1_embedding_near_dedup,
     op2_substring_dedup,
@@ -74,6 +79,7 @@ OPERATORS = (
     op8_benchmark_decontamination,
     op9_html_extraction,
     op10_ngram_jaccard_join,
+    op11_filter_interaction_audit,
 )
 
 
@@ -82,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE}
+    return {"op3_source_mixing": mixing.ORACLE, "op11_filter_interaction_audit": filter_audit.ORACLE}
