@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm import decontaminate, embed_graph, filter_audit, html_extract, kneser_ney, line_chunks, mixing, ngram_join, substring, token_counts, token_output, toxicity
+from reelgrid.llm import change_applier, decontaminate, embed_graph, filter_audit, html_extract, kneser_ney, line_chunks, mixing, ngram_join, substring, token_counts, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_sequenced_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each client change, applied in sequence by a stateful stream."""
+    return change_applier.apply_changes(_table(spark, sf_dir, "client_changes"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -85,6 +90,7 @@ OPERATORS = (
     op9_html_extraction,
     op10_ngram_jaccard_join,
     op11_filter_interaction_audit,
+    op12_sequenced_change_applier,
     op13_toxicity,
 )
 
