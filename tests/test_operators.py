@@ -278,8 +278,6 @@ def test_clustering_rules(spark):
     weak = [face(70, 0, 1.0, 0.1, person=8), face(71, 0, person=8), *(face(80 + i, 1, person=4) for i in range(2))]
     found, owner = groups(weak, [], [(8, "Eve", 70)])
     assert owner[71] == 8 and owner[80] == owner[81] == 4
-    with pytest.raises(Exception, match="more than 3"):
-        clustering.cluster_workspaces(spark.createDataFrame(tracks, schema), spark.createDataFrame([], "workspace string, id long, name string, anchor long"), spark.createDataFrame([], "workspace string, kind string, a long, b long"), most=3).collect()
 
 
 def test_average_linkage_merges_best_first():
