@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
 _COUNTED = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
-_SPACES = r"[\x20\x09-\x0D]+"
 
 ORACLE = r"""
 WITH docs AS (SELECT coalesce(lang, '') AS part, coalesce(text, '') AS text, doc_id FROM documents),
@@ -65,10 +64,14 @@ def _steps() -> Column:
 def word_totals(documents: DataFrame) -> DataFrame:
     """(doc_id, digest, n_words, n_distinct) of texts with words, from a row per word; documents: doc_id, digest, text.
 
-    Words are combined by (doc_id, digest, word) before they are shuffled, so a row a distinct word of a document moves,
-    and a long text or a frequent word is spread over all tasks. Rows alike in both keys are one group.
+    Texts are dealt out by (doc_id, digest), which is less than their words would be, and both aggregations keep to that:
+    no word moves, and a frequent one gathers nowhere. Rows alike in both keys are one group.
     """
-    words = documents.select("doc_id", "digest", F.explode(F.split("text", _SPACES)).alias("word")).where("word <> ''")
+    spaced = F.col("text")
+    for space in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    dealt = documents.repartition("doc_id", "digest")
+    words = dealt.select("doc_id", "digest", F.explode(F.split(spaced, " ")).alias("word")).where("word <> ''")
     each = words.groupBy("doc_id", "digest", "word").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("doc_id", "digest").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_distinct"))
 
@@ -82,7 +85,7 @@ def failures(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     flags = docs.select(
         "doc_id", "part", F.xxhash64("text").alias("digest"), F.md5("text").alias("same"),
-        (F.length(F.regexp_replace("text", "[^A-Z]", "")) * 100 > F.length("text") * 10).alias("c"), F.col("text").rlike("[#$%&*|]").alias("d"),
+        (F.length(F.regexp_replace("text", "[^A-Z]+", "")) * 100 > F.length("text") * 10).alias("c"), F.col("text").rlike("[#$%&*|]").alias("d"),
     )
     copies = flags.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1")
     totals = word_totals(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")).withColumnsRenamed({"doc_id": "id", "digest": "text_digest"})
