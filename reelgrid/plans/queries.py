@@ -569,7 +569,7 @@ def hamming_pairs(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_HASHES}, u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), t AS (SELECT a AS vertex, b AS reach FROM u UNION SELECT a, a FROM u UNION SELECT t.vertex, u.b FROM t JOIN u ON t.reach = u.a)
 SELECT vertex, min(reach) AS component FROM t GROUP BY vertex""")
 def duplicate_components(spark, sf_dir):
-    return connected_components(duplicates.hamming_pairs(_hashes(spark, sf_dir)))
+    return connected_components(duplicates.hamming_edges(_hashes(spark, sf_dir)))
 
 
 # ---- films ---------------------------------------------------------------------------------------------------------
