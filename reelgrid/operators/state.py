@@ -76,11 +76,6 @@ def bump(meta: DataFrame, name: str) -> DataFrame:
     return n.select(F.lit(name).alias("k"), "v")
 
 
-def swap_if(current: DataFrame, new: DataFrame, generation: int, now: int) -> DataFrame:
-    """new if nothing was edited since it was planned, else current."""
-    return new if generation == now else current
-
-
 def next_suffix(names: Column) -> Column:
     """The greatest number that a name ends in, and one more; for use in agg()."""
     return F.coalesce(F.max(F.regexp_extract(names, r"(\d+)$", 1).try_cast("long")), F.lit(0)) + 1
@@ -149,7 +144,8 @@ def workspaces(stored: DataFrame) -> DataFrame:
 
 def replace_if(table: DataFrame, rows: DataFrame, keys: Sequence[str], marks: DataFrame, name: str, seen: int) -> DataFrame:
     """table with rows over those of equal keys, unless the counter `name` of marks (k, v) moved since it was `seen`:
-    the counter is read by the same job that writes, so an edit in between is not lost."""
+    the counter is read by the job that makes the rows. What happens until they are written, it can't see; a table that
+    several writers change takes commits.apply_if_unedited, whose check and write are one."""
     now = marks.where(F.col("k") == name).agg((F.coalesce(F.max(F.col("v").try_cast("long")), F.lit(0)) == seen).alias("__same"))
     fresh = rows.join(F.broadcast(now)).where("__same").drop("__same")
     return table.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)

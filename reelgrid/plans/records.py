@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import dates, numbers, text
-from reelgrid.operators import catalog, clustering, dating, duplicates, films, frames, intervals, people, search, state, tags, timeline, vision
+from reelgrid.operators import catalog, clustering, commits, dating, duplicates, films, frames, intervals, people, search, state, tags, timeline, vision
 from reelgrid.plans.queries import _UNIT, _media, _persons, _tracks, query, table
 from reelgrid.plans.scratch import materialise, new_folder
 from reelgrid.sources import archive, sinks
-from reelgrid.streaming import jobs
+from reelgrid.streaming import captures, jobs
 
 def _k():
     return F.col("o_orderkey")
@@ -791,6 +791,71 @@ def current_job(spark, sf_dir):
     return state.current_job(_jobs(spark, sf_dir), ["CAPTURING"]).select("tape_id")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS tape_id, floor(epoch(ts))::BIGINT AS ms, event_type IN ('view', 'error', 'click') AS blank FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY tape_id ORDER BY ms, blank) AS k FROM e),
+s AS (SELECT tape_id, k, ms AS start, ms AS last, ms AS content, 1 AS frames, blank::INT AS blanks, 0 AS run FROM r WHERE k = 1
+  UNION ALL SELECT tape_id, rk, CASE WHEN o THEN ms ELSE start END, ms, CASE WHEN o OR NOT blank THEN ms ELSE content END, CASE WHEN o THEN 1 ELSE frames + 1 END, CASE WHEN o THEN blank::INT ELSE blanks + blank::INT END, run + o::INT
+  FROM (SELECT s.*, r.ms, r.blank, r.k AS rk, r.ms > least(start + 600000, last + 45000, content + 120000) AS o FROM s JOIN r ON r.tape_id = s.tape_id AND r.k = s.k + 1) r),
+f AS (SELECT tape_id, run, arg_max({'a': start, 'l': last, 'c': content, 'f': frames, 'b': blanks}, k) AS v FROM s GROUP BY ALL)
+SELECT tape_id, v.a AS start_ms, least(v.a + 600000, v.l + 45000, v.c + 120000) AS end_ms, v.f::BIGINT AS frames, v.b::BIGINT AS blank,
+  CASE least(v.a + 600000, v.l + 45000, v.c + 120000) WHEN v.a + 600000 THEN 'longest' WHEN v.l + 45000 THEN 'no signal' ELSE 'blank' END AS reason FROM f""")
+def ended_captures(spark, sf_dir):
+    """Captures of each user's events as signal, a thousand times as fast, ended by silence, blank frames or length; a
+    last row of another tape moves the watermark past all of them."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("tape_id"), F.timestamp_millis(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"), F.col("event_type").isin("view", "error", "click").alias("blank"))
+    last = spark.range(1).select(F.lit("~").alias("tape_id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(False).alias("blank"))
+    folder, own = new_folder(spark, "captures"), captures.stateful(spark)
+    rows.unionByName(last).write.parquet(f"{folder}/in")
+    captures.drained(captures.captures(own.readStream.schema(rows.schema).parquet(f"{folder}/in"), rules=captures.EndRules(longest=600)), folder)
+    out = spark.read.schema(captures.ENDED).parquet(f"{folder}/out")
+    return out.select("tape_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "frames", "blank", "reason")
+
+
+@query(None)
+def streamed_people(spark, sf_dir):
+    """The people of assigned_people from a stream of three batches."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("workspace"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    folder, own = new_folder(spark, "people"), captures.stateful(spark)
+    cuts = [0, *e.approxQuantile("id", [0.3, 0.6], 0.01), float("inf")]
+    for lo, hi in zip(cuts, cuts[1:]):
+        e.where((F.col("id") >= lo) & (F.col("id") < hi)).write.mode("append").parquet(f"{folder}/in")
+        captures.drained(jobs.assign_stream(own.readStream.schema(e.schema).parquet(f"{folder}/in"), 0.25), folder)
+    return spark.read.schema("workspace string, id long, person int").parquet(f"{folder}/out")
+
+
+@query("""WITH r AS (SELECT event_id::VARCHAR AS key, event_type AS kind, row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id::VARCHAR) AS k FROM events)
+SELECT key, kind, CASE WHEN k > 2 THEN 'QUEUED' WHEN k = 2 THEN 'READY' ELSE 'RUNNING' END AS status, CASE k WHEN 1 THEN 'c' WHEN 2 THEN 'b' END AS owner, CASE k WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS attempt FROM r""")
+def claimed_jobs(spark, sf_dir):
+    """A queue of events: of each kind worker a takes the first and lets it run out, b takes the second and ends it, and
+    c takes over the first; a's late end is refused."""
+    e = table(spark, sf_dir, "events")
+    jobs = commits.jobs_table(spark, new_folder(spark, "jobs"))
+    rows = e.select(F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("kind"), F.lit("QUEUED").alias("status"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("queued_at"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("expires"), F.lit(0).alias("attempt"))
+    jobs.commit(jobs.snapshot(), rows)
+    for kind in sorted(r.kind for r in rows.select("kind").distinct().collect()):  # a few kinds
+        first = commits.claim(jobs, kind, "a", 0, 10)
+        commits.finish(jobs, commits.claim(jobs, kind, "b", 5, 10), "b")
+        commits.claim(jobs, kind, "c", 20, 10)
+        commits.finish(jobs, first, "a")
+    return jobs.rows().select("key", "kind", "status", "owner", "attempt")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE o_custkey + 2 END WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_custkey END AS person_id FROM orders""")
+def reassigned_after_edit(spark, sf_dir):
+    """Tracks (orders) that a bulk assignment wants to move: refused when the operator edited people since it was worked
+    out, applied when it was worked out anew."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lit("s").alias("scene"), F.col("o_custkey").cast("long").alias("person_id"))
+    t = commits.CommitLog(spark, new_folder(spark, "tracks"), "id long, scene string, person_id long", ["id"])
+    t.commit(t.snapshot(), o)
+    seen = t.snapshot().marks.get("people", 0)
+    t.change(lambda rows, _: rows.where("id % 5 = 0").withColumn("person_id", F.lit(0).cast("long")), bump="people")
+    moved = lambda k, n: t.rows().where(F.col("id") % k == 0).withColumn("person_id", F.col("person_id") + n)
+    commits.apply_if_unedited(t, "people", seen, moved(3, 1))
+    commits.apply_if_unedited(t, "people", seen + 1, moved(7, 2))
+    return t.rows().select("id", "person_id")
+
+
 @query(f"WITH {_JOBS} SELECT tape_id FROM j WHERE status IN ('QUEUED', 'RUNNING', 'CAPTURING')")
 def busy_tapes(spark, sf_dir):
     """Tapes that a job is at work on."""

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelgrid.config import DEFAULTS
@@ -75,18 +76,32 @@ def hold_frames(frames: DataFrame, step: float = DEFAULTS.vision_step, most_gap:
     return frames.groupBy("scene").applyInPandasWithState(follow, HELD, "t double, t_end double, thumb array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+class AssignPeople(StatefulProcessor):
+    """People of one workspace as they appear: one map entry a person, of which a batch rewrites those that it changed."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.people = handle.getMapState("people", "person int", "centre array<double>, size int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = sorted(((k[0], v) for k, v in self.people.iterator()), key=lambda x: x[0])
+        people = People(self.threshold, [list(v[0]) for _, v in known], [v[1] for _, v in known])
+        changed = set()
+        for r in sorted(rows, key=lambda r: r.id):
+            person = people.assign(np.asarray(r.embedding, float))
+            changed.add(person)
+            yield Row(workspace=key[0], id=r.id, person=person)
+        for person in changed:
+            self.people.updateValue((person,), (people.centres[person].tolist(), people.sizes[person]))
+
+    def close(self) -> None:
+        pass
+
+
 def assign_stream(tracks: DataFrame, threshold: float = DEFAULTS.match_threshold) -> DataFrame:
-    """(workspace, id, person): tracks assigned to running centroids as they come. The state of a workspace is its
-    centroids, one for each person, flat."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        people = People(threshold)
-        if state.exists:
-            flat, sizes = state.get
-            people = People(threshold, np.asarray(flat).reshape(len(sizes), -1).tolist(), list(sizes))
-        for batch in batches:
-            g = batch.sort_values("id")
-            yield pd.DataFrame({"workspace": g.workspace, "id": g.id, "person": [people.assign(np.asarray(e, float)) for e in g.embedding]})
-        state.update((np.concatenate(people.centres).tolist() if people.centres else [], people.sizes))
-
-    return tracks.groupBy("workspace").applyInPandasWithState(run, "workspace string, id long, person int", "flat array<double>, sizes array<int>", "append", GroupStateTimeout.NoTimeout)
+    """(workspace, id, person): tracks assigned to running centroids as they come, by id within a batch. The state is a
+    row a person. The session needs the RocksDB state store (captures.stateful)."""
+    rows = tracks.select("workspace", "id", "embedding")
+    return rows.groupBy("workspace").transformWithState(AssignPeople(threshold), "workspace string, id long, person int", "append", "None")

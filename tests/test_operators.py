@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelgrid.operators import catalog, clustering, dating, duplicates, films, intervals, people, search, state, tags, timeline
 from reelgrid.operators.components import connected_components
 from reelgrid.sources import archive, sinks
-from reelgrid.streaming import jobs
+from reelgrid.streaming import captures, jobs
 
 
 def test_components_match_union_find(spark):
@@ -443,7 +443,7 @@ def test_streams(spark, tmp_path):
     def rows(df, mode, name):
         q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        return spark.sql(f"select * from {name}").collect()
+        return df.sparkSession.sql(f"select * from {name}").collect()
 
     base = datetime(2020, 1, 1)
     sig = [("T", base + timedelta(seconds=s), s % 2 == 0) for s in (0, 10, 20, 100, 110)] + [("T", base + timedelta(days=1), False)]
@@ -453,7 +453,7 @@ def test_streams(spark, tmp_path):
     assert sorted((r.frames, r.blank) for r in got) == [(2, 2), (3, 3)]
     v = {k: np.eye(4)[k].tolist() for k in range(3)}
     spark.createDataFrame([("w", i, v[i % 3]) for i in range(9)], "workspace string, id long, embedding array<double>").write.parquet(str(tmp_path / "tr"))
-    s = spark.readStream.schema("workspace string, id long, embedding array<double>").parquet(str(tmp_path / "tr"))
+    s = captures.stateful(spark).readStream.schema("workspace string, id long, embedding array<double>").parquet(str(tmp_path / "tr"))
     got = {r.id: r.person for r in rows(jobs.assign_stream(s, 0.5), "append", "assigned")}
     assert len(set(got.values())) == 3 and all(got[i] == got[i + 3] for i in range(6))
     fr = [("s", i, ok, [x], i == 4) for i, (ok, x) in enumerate([(True, 1.0), (True, 5.0), (True, 50.0), (False, 0.0), (True, 50.0)])]
