@@ -1,9 +1,9 @@
 """Main text of web pages by two passes over their blocks.
 
-Markup is cut into blocks at block-level tags. Pass 1 decides blocks by length, stop-word density and link density.
-Place sets a prior that these can overrule: what stands in menus, headers of the page, footers, sidebars, forms,
-adverts, notices or comments (by element, role or name) is boilerplate unless it is long prose almost without links;
-what stands in an article or main element is main text unless it is links. Short blocks elsewhere stay open. Pass 2:
+Markup is cut into blocks at block-level tags. Where structure says what a block is, that holds, whatever its length:
+what stands in menus, headers of the page, footers, sidebars, forms, adverts, notices or comments (by element, role or
+name) is boilerplate, and what else stands in an article or main element is main text. Elsewhere pass 1 decides blocks
+by length, stop-word density and link density, and short ones stay open. Pass 2:
 open blocks take the label of the nearest decided neighbours on both sides; where these differ, the nearer one's, or
 on pages with an article, boilerplate.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,13 +53,16 @@ WRAPPERS = frozenset("area bar block box container inner item items list outer s
 REPLIES = frozenset("comment comments reply replies".split())
 MAIN_NAMES = frozenset("article main content post entry story body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+DEPTH = 512  # open elements; deeper ones are taken as if their tags were not there, as browsers do
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _PARTS = re.compile(r"[-_0-9]+")
 _SENTENCE = re.compile(r"[.!?…。！？]")
 _SPACE = re.compile(r"\s+")
-_EDGE = re.compile(r"^\W+|\W+$")
+_EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»„“”‘’‚…–—¿¡"
 
 
 def _named(value: str, names: frozenset[str]) -> bool:
@@ -67,7 +71,7 @@ def _named(value: str, names: frozenset[str]) -> bool:
 
 
 class _Element:
-    __slots__ = ("away", "drop", "inside", "link", "main", "name", "named", "placed")
+    __slots__ = ("away", "drop", "link", "main", "name", "named", "placed", "replies")
 
     def __init__(self, name: str, up: _Element | None, attributes: str) -> None:
         self.name = name
@@ -77,15 +81,15 @@ class _Element:
         self.main = bool(up and up.main) or opens
         # a header of the article is part of it, that of the page is not
         self.placed = bool(up and up.placed) or name in AWAY or role in AWAY_ROLES or (name == "header" and not self.main)
-        # names of wrappers say nothing of an article that they contain
+        # names of wrappers say nothing of an article that they contain, but what answers an article is none
+        own = [values[k] for k in ("class", "id") if k in values] if name not in ("html", "body") else []
+        self.replies = bool(up and up.replies) or any(_named(v, REPLIES) for v in own)
         inherited = bool(up and up.named) and not (opens and not up.main)
-        names = REPLIES if opens else AWAY_NAMES
-        self.named = inherited or (name not in ("html", "body") and any(_named(values[k], names) for k in ("class", "id") if k in values))
+        self.named = inherited or self.replies or (not opens and any(_named(v, AWAY_NAMES) for v in own))
         hidden = bool(re.search(r"\bhidden\b", attributes.split("=")[0])) if attributes and "=" not in attributes else "hidden" in values or values.get("aria-hidden") == "true"
         self.away = self.placed or self.named
         self.drop = bool(up and up.drop) or name in DROPPED or hidden or "display:none" in values.get("style", "").replace(" ", "").lower()
         self.link = bool(up and up.link) or name == "a"
-        self.inside = self.main
 
 
 class Block:
@@ -99,10 +103,56 @@ class Block:
         self.linked, self.text, self.label = 0, "", None
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag with attributes from `at` ends: at a > outside of quoted values, else at the end of the page. A quote
+    counts after = only, and if it is closed; last: the last place of each quote."""
+    while m := _STOP.search(page, at):
+        at, c = m.end(), m.group()
+        if c == ">":
+            return at
+        k = m.start() - 1
+        while k >= 0 and page[k].isspace() and m.start() - k < 64:
+            k -= 1
+        if page[k] == "=" and last[c] > m.start():
+            at = page.index(c, at) + 1
+    return len(page)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, end): kind is "text", "open" or "close". Each character is looked at a bounded
+    number of times, whatever is left open. A value sent in is the place to go on from."""
+    at, end, last = 0, len(page), {q: page.rfind(q) for q in "\"'"}
+    while at < end:
+        lo = page.find("<", at)
+        if lo != at:
+            to = lo if lo >= 0 else end
+            yield "text", page[at:to], "", to
+            at = to
+        elif page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            mark = "-->" if page[at + 2] == "-" else "]]>"
+            to = page.find(mark, at + 4)
+            at = to + 3 if to >= 0 else end
+        elif page.startswith(("<!", "<?"), at):
+            to = page.find(">", at)
+            at = to + 1 if to >= 0 else end
+        elif m := _NAME.match(page, at + 1 + (closes := page.startswith("</", at))):
+            to = _tag_end(page, m.end(), last)
+            jump = yield "close" if closes else "open", m.group().lower(), page[m.end() : to].removesuffix(">"), to
+            at = jump or to
+        else:
+            yield "text", "<", "", at + 1
+            at += 1
+
+
+# Elements whose end tag may be left out, and what their start closes.
+_SHUTS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")} | {f"h{i}": ("p",) for i in range(1, 7)}
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with any text, in order. Unclosed and stray tags are taken as browsers do, as far as it matters."""
-    top = _Element("#page", None, "")
-    stack, out, at, end = [top], [Block(top)], 0, len(page)
+    stack = [_Element("#page", None, "")]
+    out = [Block(stack[0])]
+    open_: Counter[str] = Counter()
 
     def fresh() -> None:
         if out[-1].parts:
@@ -110,48 +160,46 @@ def blocks_of(page: str) -> list[Block]:
         else:
             out[-1] = Block(stack[-1])
 
-    while at < end and (m := _TOKEN.match(page, at)):
-        at = m.end()
-        closes, name, attributes, text = m.groups()
-        if text is not None:
+    def close(depth: int) -> None:
+        for x in stack[depth:]:
+            open_[x.name] -= 1
+        del stack[depth:]
+
+    found, jump = tokens(page), None
+    while True:
+        try:
+            kind, name, attributes, end = found.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        if kind == "text":
             here = stack[-1]
             if not here.drop:
-                out[-1].parts.append(text)
+                out[-1].parts.append(name)
                 if here.link:
-                    out[-1].linked += len(text.strip())
-            continue
-        if name is None:
-            continue
-        name = name.lower()
-        if closes:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if depth:
-                del stack[depth:]
+                    out[-1].linked += len(name.strip())
+        elif kind == "close":
+            if open_[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             if name in BLOCKS:
                 fresh()
-            continue
-        if name == "br":
+        elif name == "br":
             out[-1].parts.append(" ")
-            continue
-        if name in BLOCKS:
-            if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") or name[0] == "h" and name[1:].isdigit():
-                shut = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(name, ("p",))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in shut:
-                        del stack[i:]
-                        break
-                    if stack[i].name in BLOCKS:
-                        break
-        if name not in VOID and not attributes.endswith("/"):
-            stack.append(_Element(name, stack[-1], attributes))
-        if name in BLOCKS:
-            fresh()
-        if name in _RAW_END:
-            stop = _RAW_END[name].search(page, at)
-            if name in ("script", "style", "iframe", "noscript", "textarea", "title"):
-                at = stop.end() if stop else end
-                if stack[-1].name == name:
-                    stack.pop()
+        else:
+            shut = [x for x in _SHUTS.get(name, ()) if open_[x]]
+            for i in range(len(stack) - 1, 0, -1) if shut else ():
+                if stack[i].name in shut:
+                    close(i)
+                    break
+                if stack[i].name in BLOCKS:
+                    break
+            if name in _RAW_END:
+                stop = _RAW_END[name].search(page, end)
+                jump = stop.end() if stop else len(page)
+            elif name not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+                stack.append(_Element(name, stack[-1], attributes))
+                open_[name] += 1
+            if name in BLOCKS or name in _RAW_END:
                 fresh()
     for b in out:
         b.text = _SPACE.sub(" ", _html.unescape("".join(b.parts))).strip()
@@ -161,21 +209,19 @@ def blocks_of(page: str) -> list[Block]:
 def classify(blocks: list[Block], short: int = 70, long: int = 200, low: float = 0.20, high: float = 0.30, linked: float = 0.33) -> None:
     """Sets each block's label: True for main text.
 
-    Pass 1: boilerplate if more than `linked` of the characters are links; blocks shorter than `short` characters and
-    titles stay open; others are main text if their share of stop words is `high`, or `low` for long ones, and
-    boilerplate if it is below `low` and they are no sentence. In menus and the like only prose of twice `long` is main
-    text; inside an article or main element only links are boilerplate.
+    Pass 1: what stands in menus and the like is boilerplate, what else stands in an article or main element is main
+    text. Other blocks are boilerplate if more than `linked` of the characters are links; those shorter than `short`
+    characters and titles stay open; the rest is main text if the share of stop words is `high`, or `low` for long ones,
+    and boilerplate if it is below `low` and there is no sentence.
     """
     any_main = any(b.main and not b.away for b in blocks)
     for b in blocks:
         share = b.linked / max(1, len(b.text))
-        words = [_EDGE.sub("", w).lower() for w in b.text.split()]
+        words = [w.strip(_EDGES).lower() for w in b.text.split()]
         stop = sum(w in STOP_WORDS for w in words) / len(words)
         sentence = bool(_SENTENCE.search(b.text))
-        if b.away:
-            b.label = len(b.text) >= 2 * long and stop >= high and share <= 0.1
-        elif b.main:
-            b.label = share < 0.9 and (share <= linked or stop >= low or sentence)
+        if b.away or b.main:
+            b.label = not b.away
         elif share > linked:
             b.label = False
         elif b.title or len(b.text) < short:
@@ -230,7 +276,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text (main text, empty if none), n_chars (its code points) of every page, from the whole html.
 
     null html is empty. Character references are decoded, white space inside a block becomes one space, blocks are
-    trimmed and joined by two line feeds. Rows pass one by one: repeated rows, null ids and urls stay as they are.
+    trimmed and joined by two line feeds. Broken pages are read once from front to end, however long. Rows pass one by one: repeated rows, null ids and urls stay as they are.
     Other columns are left aside. No shuffle.
     """
     src = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
