@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from reelgrid.config import DEFAULTS
 from reelgrid.functions import dates
+from reelgrid.operators.scans import BUCKET, bucketed, handed_on, inside
+
+STRETCH = 1024  # file counters that one window of neighbours looks at
 
 
 def _local(mtime: str, zone: str) -> F.Column:
@@ -53,14 +56,20 @@ def with_clips(dated: DataFrame, media: DataFrame) -> DataFrame:
     return dated.unionByName(rows.select(F.col("__clip").alias("id"), dates.shift("taken", F.col("__at")).alias("taken"), "date_source"))
 
 
-def neighbours(points: DataFrame, keys: tuple[str, ...], at: str, known: str, value: str, most: float) -> DataFrame:
+def neighbours(points: DataFrame, keys: tuple[str, ...], at: str, known: str, value: str, most: float, width: float | None = None) -> DataFrame:
     """points with before and after: the value of the nearest known point on either side, at most `most` away, not at
     the same place. Two as-of joins as one sort: the last and the first known place in running windows by distinct
-    place, so a key's points are never paired."""
+    place, so a key's points are never paired. With width the windows run inside stretches of `at`, and the nearest known
+    places of the stretches around are handed on."""
     places = points.groupBy(*keys, at).agg(F.max(F.when(F.col(known), F.struct(F.col(at).alias("p"), F.col(value).alias("hi")))).alias("last"), F.min(F.when(F.col(known), F.struct(F.col(at).alias("p"), F.col(value).alias("lo")))).alias("first"))
-    order = Window.partitionBy(*keys).orderBy(at)
-    around = places.withColumn("__b", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    around = around.withColumn("__a", F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    places = bucketed(places, at, width) if width else places.withColumn(BUCKET, F.lit(0))
+    order = inside(keys, at)
+    below = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    if width:
+        places = handed_on(places, keys, {"last": F.max("last"), "first": F.min("first")}, {"__below": ("last", "last"), "__above": ("first", "first")})
+        below, above = F.coalesce(below, "__below"), F.coalesce(above, "__above")
+    around = places.withColumn("__b", below).withColumn("__a", above)
     around = around.select(*keys, at, F.when(F.col(at) - F.col("__b.p") <= most, F.col("__b.hi")).alias("before"), F.when(F.col("__a.p") - F.col(at) <= most, F.col("__a.lo")).alias("after"))
     return points.join(around, [*keys, at], "left")
 
@@ -71,7 +80,7 @@ def date_from_neighbours(media: DataFrame, gap: int = DEFAULTS.neighbour_gap, sp
     m = media.withColumn("n", dates.file_counter("name"))
     known = F.col("taken").isNotNull() & ~F.coalesce("date_source", F.lit("")).isin("none", "nodate", "neighbors")
     m = m.withColumn("known", known).withColumn("s", F.unix_timestamp(F.try_to_timestamp("taken")))
-    placed = neighbours(m.where("n is not null"), ("album",), "n", "known", "s", gap)
+    placed = neighbours(m.where("n is not null"), ("album",), "n", "known", "s", gap, width=STRETCH)
     close = F.abs(F.col("after") - F.col("before")) <= span_s
     middle = F.floor((F.col("before") + F.col("after")) / 2).cast("long")
     found = placed.select("id", F.when(close, F.date_format(F.timestamp_seconds(middle), "yyyy-MM-dd'T'HH:mm:ss")).alias("__taken"))

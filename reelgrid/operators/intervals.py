@@ -8,34 +8,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.operators.scans import BUCKET, bucketed, handed_on, inside
 
-def islands(spans: DataFrame, keys: Sequence[str], start: str = "t0", end: str = "t1", gap: float = 0.0, score: str | None = None) -> DataFrame:
+
+def islands(spans: DataFrame, keys: Sequence[str], start: str = "t0", end: str = "t1", gap: float = 0.0, score: str | None = None, width: float | None = None) -> DataFrame:
     """Runs of spans of one key that overlap or lie within gap of the run's end so far: keys, start, end, the best score.
 
-    One window over the key in order of start: a span opens a run when it begins later than the greatest end before it
-    plus gap. Spans with a null start or end are left out. Needs end >= start and gap >= 0.
+    A window over the key in order of start: a span opens a run when it begins later than the greatest end before it plus
+    gap. With width the window runs inside stretches of so many seconds, and the greatest end and the number of runs
+    before each are handed on, so a key with most of the spans is spread. Spans with a null start or end are left out.
+    Needs end >= start and gap >= 0.
     """
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(end).over(before)
-    opens = (reach.isNull() | (F.col(start) - reach > gap)).cast("int")
-    run = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__opens", opens)
-    run = run.withColumn("__run", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    rows = bucketed(spans, start, width) if width else spans.withColumn(BUCKET, F.lit(0))
+    order = inside(keys, start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    if width:
+        rows = handed_on(rows, keys, {"end": F.max(end)}, {"__reach": ("max", "end")})
+        reach = F.greatest(reach, F.col("__reach"))
+    run = rows.withColumn("__opens", (reach.isNull() | (F.col(start) - reach > gap)).cast("int"))
+    number = F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if width:
+        run = handed_on(run, keys, {"opens": F.sum("__opens")}, {"__runs": ("sum", "opens")})
+        number = number + F.col("__runs")
     best = [F.max(score).alias(score)] if score else []
-    return run.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), *best).drop("__run")
+    return run.withColumn("__run", number).groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), *best).drop("__run")
 
 
 def segments(times: Column, gap: int = 2) -> Column:
-    """Whole seconds of an array as [first, last] stretches; a stretch goes on over pauses of up to gap."""
-    ts = F.array_sort(F.array_distinct(F.filter(times, lambda t: t.isNotNull())))
-    empty = F.array().cast("array<array<int>>")
-
-    def step(out: Column, t: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(F.element_at(last, 1), t)))
-        return F.when(F.size(out) == 0, F.array(F.array(t, t))).when(t <= F.element_at(last, 2) + gap, joined).otherwise(F.concat(out, F.array(F.array(t, t))))
-
-    return F.aggregate(ts.cast("array<int>"), empty, step)
+    """Whole seconds of an array as [first, last] stretches; a stretch goes on over pauses of up to gap. Linear: the
+    places where neighbours are farther apart end one stretch and begin the next."""
+    ts = F.array_sort(F.array_distinct(F.filter(times, lambda t: t.isNotNull()))).cast("array<int>")
+    n = F.size(ts)
+    pairs = F.zip_with(F.slice(ts, 1, F.greatest(n - 1, F.lit(0))), F.slice(ts, 2, F.greatest(n - 1, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    cuts = F.filter(pairs, lambda c: c["q"] - c["p"] > gap)
+    firsts = F.concat(F.slice(ts, 1, 1), F.transform(cuts, lambda c: c["q"]))
+    lasts = F.concat(F.transform(cuts, lambda c: c["p"]), F.slice(ts, F.greatest(n, F.lit(1)), F.lit(1)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.array(a, b))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
@@ -56,6 +65,34 @@ def overlapping_binned(left: DataFrame, right: DataFrame, keys: Sequence[str], a
     return both.where((F.col(a[0]) <= F.col(b[1])) & (F.col(a[1]) >= F.col(b[0])) & (F.col("__bin") == first)).drop("__bin")
 
 
+def overlapping_levels(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """overlapping() without a width to choose: intervals have levels by powers of two of their length.
+
+    An interval stands in the one or two bins of its level that it touches, and in those of each longer level in use; a
+    pair meets at the level of its longer interval, in the first bin that both touch. So neither long intervals among
+    short ones nor a key with half of the rows makes a large group, unless that many intervals do overlap. Only the list
+    of levels, at most some sixty numbers, reaches the driver. Lengths under 2**-10 count as that.
+    """
+
+    def level(ends: tuple[str, str]) -> Column:
+        size = F.greatest(F.col(ends[1]).cast("double") - F.col(ends[0]).cast("double"), F.lit(2.0**-10))
+        return F.ceil(F.log2(size)).cast("int")
+
+    left, right = (df.where(F.col(e[0]) <= F.col(e[1])).withColumn(name, level(e)) for df, e, name in ((left, a, "__la"), (right, b, "__lb")))
+    levels = sorted(r[0] for r in left.select("__la").union(right.select("__lb")).distinct().collect())
+
+    def bins(df: DataFrame, ends: tuple[str, str], own: str) -> DataFrame:
+        known = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+        each = df.withColumn("__level", F.explode(F.filter(known, lambda x: x >= F.col(own))))
+        lo, hi = (F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), F.col("__level"))).cast("long") for c in ends)
+        return each.withColumn("__bin", F.explode(F.sequence(lo, hi)))
+
+    first = F.floor(F.greatest(F.col(a[0]), F.col(b[0])).cast("double") / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    both = bins(left, a, "__la").join(bins(right, b, "__lb"), [*keys, "__level", "__bin"])
+    meets = (F.col(a[0]) <= F.col(b[1])) & (F.col(a[1]) >= F.col(b[0])) & (F.col("__bin") == first) & (F.col("__level") == F.greatest("__la", "__lb"))
+    return both.where(meets).drop("__bin", "__level", "__la", "__lb")
+
+
 def seen_within(times: Column, start: Column, end: Column) -> Column:
     """True if any of the times lies in [start, end]."""
     return F.exists(times, lambda t: t.between(start, end))
@@ -78,10 +115,14 @@ def timecode_breaks(frames: DataFrame, keys: Sequence[str], index: str, timecode
     return sessions(frames, keys, index, F.col(fresh) | (F.col(timecode) < before) | (F.col(timecode) - before > jump))
 
 
-def offsets(rows: DataFrame, keys: Sequence[str], order: str, count: str, name: str = "start_frame") -> DataFrame:
-    """The sum of the counts before each row."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum(count).over(before), F.lit(0)))
+def offsets(rows: DataFrame, keys: Sequence[str], order: str, count: str, name: str = "start_frame", width: float | None = None) -> DataFrame:
+    """The sum of the counts before each row; with width in stretches of the order, whose sums are handed on."""
+    each = bucketed(rows, order, width) if width else rows.withColumn(BUCKET, F.lit(0))
+    before = F.coalesce(F.sum(count).over(inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if width:
+        each = handed_on(each, keys, {"count": F.sum(count)}, {"__sum": ("sum", "count")})
+        before = before + F.coalesce("__sum", F.lit(0))
+    return each.withColumn(name, before).drop(BUCKET, "__sum")
 
 
 BASKET = "workspace string, tape_id string, scene_id string, id long, start double, end double"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.config import DEFAULTS
 from reelgrid.functions.numbers import dot
+from reelgrid.operators.scans import ranked
 
 
 def centroids(vectors: DataFrame, keys: list[str], vector: str = "embedding", weight: Column | None = None) -> DataFrame:
@@ -172,9 +173,9 @@ def move_tracks(tracks: DataFrame, persons: DataFrame, moves: DataFrame) -> tupl
     top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     asked = moves.join(tracks.select(F.col("id").alias("track"), F.col("person_id").alias("left"), "workspace"), "track").join(space, "target", "left")
     fine = asked.where(F.col("target").isNull() | (F.col("__of") == F.col("workspace"))).join(F.broadcast(top))
-    alone = Window.partitionBy(F.col("target").isNull()).orderBy("track")  # what an operator splits off by hand
-    fine = fine.withColumn("joined", F.when(F.col("target").isNull(), F.col("__top") + F.row_number().over(alone)).otherwise(F.col("target")))
-    moved = fine.select("track", "left", "joined", "target")
+    cols = ["track", "left", "joined", "target"]
+    alone = ranked(fine.where("target is null").select("track", "left", "target", "__top"), ["track"], "__rank").withColumn("joined", F.col("__top") + F.col("__rank"))
+    moved = fine.where("target is not null").withColumn("joined", F.col("target")).select(*cols).unionByName(alone.select(*cols))
     by = anchors(persons, tracks, moved.select(F.col("track").alias("anchor")))
     diff = moved.join(by, F.col("left") == F.col("id")).select(F.lit("diff").alias("kind"), F.col("track").alias("a"), F.col("anchor").alias("b"))
     same = moved.where("target is not null").join(by, F.col("target") == F.col("id")).select(F.lit("same").alias("kind"), F.col("track").alias("a"), F.col("anchor").alias("b"))

@@ -393,7 +393,7 @@ i AS (SELECT user_id, event_type, min(t0) AS t0, max(t1) AS t1, max(value) AS va
 
 
 def _islands(spark, sf_dir):
-    return intervals.islands(_spans(spark, sf_dir), ["user_id", "event_type"], gap=3600.0, score="value")
+    return intervals.islands(_spans(spark, sf_dir), ["user_id", "event_type"], gap=3600.0, score="value", width=86400.0)
 
 
 @query(f"WITH {_SPANS} SELECT * FROM i")
@@ -435,6 +435,13 @@ def interval_overlap_binned(spark, sf_dir):
     return intervals.overlapping_binned(a, b, ["user_id"], ("a0", "a1"), ("b0", "b1"), 6 * 3600.0)
 
 
+@query(_OVERLAP)
+def interval_overlap_levels(spark, sf_dir):
+    """The same without a width to choose."""
+    a, b = _two_kinds(spark, sf_dir)
+    return intervals.overlapping_levels(a, b, ["user_id"], ("a0", "a1"), ("b0", "b1"))
+
+
 @query(f"""WITH {_SPANS}, p AS (SELECT user_id, list(floor(epoch(ts))::DOUBLE) AS times FROM events GROUP BY 1) SELECT i.user_id, event_type, t0, t1 FROM i JOIN p USING (user_id) WHERE len(list_filter(times, lambda x: x BETWEEN t0 AND t1)) > 0""")
 def point_in_interval(spark, sf_dir):
     t = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
@@ -445,7 +452,7 @@ def point_in_interval(spark, sf_dir):
 @query("""SELECT user_id, event_id, coalesce(sum(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_frame FROM events""")
 def cumulative_offset(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").cast("long").alias("frames"))
-    return intervals.offsets(e, ["user_id"], "event_id", "frames").select("user_id", "event_id", "start_frame")
+    return intervals.offsets(e, ["user_id"], "event_id", "frames", width=4096).select("user_id", "event_id", "start_frame")
 
 
 @query("""WITH d AS (SELECT user_id, event_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
@@ -509,13 +516,13 @@ a AS (SELECT event_id, album, (SELECT max(k.s) FROM p k WHERE k.known AND k.albu
 @query(f"WITH {_AROUND} SELECT event_id, before, after FROM a")
 def neighbours_both_sides(spark, sf_dir):
     """The nearest known value before and after, at most 60 places away."""
-    return dating.neighbours(_numbered(spark, sf_dir), ("album",), "n", "known", "s", 60).select("event_id", "before", "after")
+    return dating.neighbours(_numbered(spark, sf_dir), ("album",), "n", "known", "s", 60, width=256).select("event_id", "before", "after")
 
 
 @query(f"WITH {_AROUND} SELECT event_id, strftime(make_timestamp(((before + after) // 2) * 1000000), '%Y-%m-%dT%H:%M:%S') AS taken FROM a WHERE abs(after - before) <= 36 * 3600")
 def neighbour_midpoint(spark, sf_dir):
     """The middle between neighbours that are close in time."""
-    p = dating.neighbours(_numbered(spark, sf_dir), ("album",), "n", "known", "s", 60)
+    p = dating.neighbours(_numbered(spark, sf_dir), ("album",), "n", "known", "s", 60, width=256)
     middle = F.floor((F.col("before") + F.col("after")) / 2).cast("long")
     return p.where(F.abs(F.col("after") - F.col("before")) <= 36 * 3600).select("event_id", F.date_format(F.timestamp_seconds(middle), "yyyy-MM-dd'T'HH:mm:ss").alias("taken"))
 

@@ -295,9 +295,9 @@ def album_order(spark, sf_dir):
     """An album's files in order of date, time and name."""
     m = _files(spark, sf_dir)
     first = m.agg(F.min("album")).first()[0]
-    items = catalog.album_items(m, first).withColumn("one", F.lit(1))  # an album is what one page shows
+    items = catalog.album_items(m, first)
     order = [F.coalesce("date", F.lit("9999")), F.coalesce("time", F.lit("")), F.col("name"), F.col("id")]
-    return timeline.with_rank(items, ("one",), order).select("id", F.col("rank").cast("long").alias("rank"))
+    return timeline.with_rank(items, ("album",), order).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_FILES}, w AS (SELECT *, status = 'ready' AND kind = 'video' AS rv FROM f),

@@ -15,9 +15,11 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared
     sc = spark.sparkContext
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="reelgrid-"))
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="reelgrid-")
+    return _local[sc.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
