@@ -3,7 +3,7 @@
 A streaming query holds early changes in runs, as a log-structured store does: a batch appends one run sorted by number,
 a heap over the runs' cursors drains what is next or has waited too long, and several runs are merged into one now and then.
 
-No client need fit into one task. Its numbers are cut into ranges of RANGE, each a group with state of its own. Two
+No client need fit into one task. Its numbers are cut into ranges of RANGE, each with state of its own. Two
 facts tell a range what happens outside: when the numbers before it are through, and when a later change that has waited
 too long makes the client jump over it. A number is passed in the batch min(J, max(a, p)): p the batch that passes the
 number before, a that of its change, J the first that jumps it. Such steps compose to steps of the same form, so both facts
@@ -24,21 +24,43 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from reelgrid.plans.scratch import new_folder
 
 BATCHES, FIRST_DAY, DAYS, PATIENCE = 10, 19723, 160, 8
-RANGE = 1024  # numbers of a client in one group of the state
-SALTS = 64  # groups that repeats of numbers are dealt to
+RANGE = 1024  # numbers of a client in one range
+SHARD = 20_000  # rows of a shard of ranges, about
+SALTS = 64  # shards that repeats of a range's numbers are dealt to
 RUNS = 4  # runs beyond which they are merged
 _NEVER, _DAY_MS, _LAST_DAY = BATCHES + 2, 86_400_000, 2_900_000
-_INPUT = "client_id long, range long, salt int, n long, day int, change_id long, op string, city string, balance double, order string"
+_INPUT = "shard long, client_id long, range long, n long, day int, change_id long, op string, city string, balance double, order string, repeat boolean"
 _OUTPUT = "change_id long, client_id long, range long, status string, batch int, n long, missed long, op string, city string, city_set boolean, balance double, balance_set boolean"
-_HEAD = "next long, open boolean, alarm long, cursors array<int>, city string, city_set boolean, balance double, balance_set boolean"
 _Out = Row(*(f.split()[0] for f in _OUTPUT.split(", ")))
 
 
+class _Head:
+    """What a range of a client's numbers is at: the next number, whether all before the range are through, where its
+    rows in each stored run begin to be unread, and the values that its changes left."""
+
+    __slots__ = ("at", "city", "cursors", "earliest", "open", "balance")
+
+    def __init__(self, at: int, open_: bool):
+        self.at, self.open, self.cursors, self.earliest = at, open_, {}, None
+        self.city: tuple | None = None
+        self.balance: tuple | None = None
+
+    def __getstate__(self):
+        return tuple(getattr(self, x) for x in self.__slots__)
+
+    def __setstate__(self, values):
+        for x, v in zip(self.__slots__, values, strict=True):
+            setattr(self, x, v)
+
+
 class Applier(StatefulProcessor):
-    """Applies the changes of one range of a client's numbers in one batch; at the end all that is held.
+    """Applies the changes of one shard of ranges in one batch; at the end all that is held.
 
-    Rows of the order "jump" or "open" say that a jump passes the whole range at the start of this batch, or that in it
-    all numbers before are through. The watermark is the largest day of all batches before.
+    A shard is a bounded number of rows, so that a call of the state store, which costs far more than a change, serves
+    many. Its list state has a run a batch: for each range that kept rows, these in order of number. Rows of the order
+    "jump" or "open" say that a jump passes a whole range at the start of this batch, or that in it all numbers before
+    are through. The watermark is the largest day of all batches before; a shard's timer rings when the first row of any
+    of its ranges has waited too long, or early.
     """
 
     def __init__(self, batch: int, last: bool = False, size: int = RANGE):
@@ -46,141 +68,147 @@ class Applier(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", _HEAD)
+        self.heads = handle.getValueState("heads", "heads binary, alarm long, runs array<int>")
         self.runs = handle.getListState("runs", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[2]:  # not the earliest of its number
-            for r in rows:
-                yield self._rejected(key, r)
-            return
-        fresh = list(rows)
-        orders = {r.order for r in fresh if r.order}
-        fresh = sorted((r for r in fresh if r.n is not None), key=lambda r: (r.day, r.change_id, r.n))
+        fresh: dict[tuple, list] = {}
+        orders: dict[tuple, set] = {}
+        for r in rows:
+            if r.repeat:  # not the earliest of its number
+                yield self._rejected(r.client_id, r.range, r.change_id, r.n, r.op)
+            elif r.order:
+                orders.setdefault((r.client_id, r.range), set()).add(r.order)
+            elif r.n is not None:
+                fresh.setdefault((r.client_id, r.range), []).append((r.n, r.day, r.change_id, r.op, r.city, r.balance))
         if fresh or orders:
-            yield from self._turn(key, fresh, orders, timerValues)
+            yield from self._turn(fresh, orders, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._turn(key, [], set(), timerValues, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self._turn({}, {}, timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
-    def _rejected(self, key: tuple, r: Row) -> Row:
-        return _Out(r.change_id, key[0], key[1], "rejected", self.batch, r.n, 0, r.op, None, False, None, False)
-
-    def _turn(self, key: tuple, fresh: list[Row], orders: set[str], timers, fired: int = -1) -> Iterator[Row]:
-        low = key[1] * self.size + 1
-        at, is_open, alarm, cursors, *values = self.head.get() or (low, key[1] == 0, -1, [], None, False, None, False)
-        if fired >= 0 and fired != alarm:
-            return
-        stored = [pickle.loads(x[0]) for x in self.runs.get()] if cursors else []
-        runs = [run[i:] for run, i in zip(stored, cursors, strict=True)]
-        merge = _Merge(runs)
+    def _rejected(self, client: int | None, range_: int, change_id: int, n: int, op: str | None) -> Row:
+        return _Out(change_id, client, range_, "rejected", self.batch, n, 0, op, None, False, None, False)
+
+    def _turn(self, fresh: dict[tuple, list], orders: dict[tuple, set], timers, fired: int = -1) -> Iterator[Row]:
+        """The start of the batch for ranges with something due, then the batch's rows."""
+        packed, alarm, names = self.heads.get() or (None, -1, [])
+        if fired >= 0:
+            if fired != alarm:
+                return
+            alarm = -1
+        heads: dict[tuple, _Head] = pickle.loads(packed) if packed else {}
+        stored = dict(zip(names, (pickle.loads(x[0]) for x in self.runs.get()), strict=True)) if names else {}
+        expired, new_run, kept = timers.getCurrentWatermarkInMs() // _DAY_MS - PATIENCE, {}, False
+        due = {k for k, h in heads.items() if h.earliest is not None and (self.last or h.earliest <= expired)}
+        for key in due | fresh.keys() | orders.keys():
+            head = heads.get(key) or heads.setdefault(key, _Head(key[1] * self.size + 1, key[1] == 0))
+            merge = _Merge({run: stored[run][key][i:] for run, i in head.cursors.items()})
+            yield from self._range(key, head, merge, fresh.get(key, []), orders.get(key, ()), expired)
+            left = merge.rest(self.batch)
+            if left:
+                new_run[key] = left
+            cursors = {run: i + merge.used[run] for run, i in head.cursors.items()}
+            head.cursors = {run: i for run, i in cursors.items() if i < len(stored[run][key])}
+            if left:
+                head.cursors[self.batch] = 0
+            days = [r[1] for run in merge.runs for r in merge.rest(run)]
+            head.earliest = min(days, default=None)
+        names = self._keep(heads, stored, new_run)
+        wake = min((h.earliest for h in heads.values() if h.earliest is not None), default=None)
+        if wake is not None:
+            ms = (wake + PATIENCE) * _DAY_MS - 1
+            if alarm < 0 or ms < alarm:
+                self.handle.registerTimer(ms)
+                alarm = ms
+        self.heads.update((pickle.dumps(heads), alarm, names))
+
+    def _range(self, key: tuple, head: _Head, merge: _Merge, fresh: list, orders, expired: int) -> Iterator[Row]:
         # the start of the batch: what has waited too long, here or in a later range
-        until = -1
-        if self.last or "jump" in orders:
-            until = low + self.size - 1
-        elif merge.left:
-            expired = timers.getCurrentWatermarkInMs() // _DAY_MS - PATIENCE
-            until = max((r[0] for run in runs for r in run if r[1] <= expired), default=-1)
-        is_open |= until >= 0
-        for r in merge.drain(at, until, is_open):
-            yield self._applied(key, r, at, values)
-            at = r[0] + 1
+        end = (key[1] + 1) * self.size
+        until = max((r[0] for run in merge.runs for r in merge.rest(run) if self.last or r[1] <= expired), default=-1)
+        if "jump" in orders:
+            until = end
+        head.open |= until >= 0
+        yield from self._drained(key, head, merge, until)
         if "jump" in orders:
-            at = low + self.size
-        # the batch's rows
-        held, run = merge.numbers(), []
-        for r in fresh:
-            if r.n < at or r.n in held:
-                yield self._rejected(key, r)
+            head.at = end + 1
+        # the batch's rows, in order of day and id
+        held, run = {r[0] for old in merge.runs for r in merge.rest(old)}, []
+        for r in sorted(fresh, key=lambda r: (r[1], r[2])):
+            if r[0] < head.at or r[0] in held:
+                yield self._rejected(key[0], key[1], r[2], r[0], r[3])
             else:
-                held.add(r.n)
-                run.append((r.n, r.day, r.change_id, r.op, r.city, r.balance))
+                held.add(r[0])
+                run.append(r)
         if run:
-            run.sort()
-            merge.add(run)
-        is_open |= "open" in orders
-        for r in merge.drain(at, -1, is_open):
-            yield self._applied(key, r, at, values)
-            at = r[0] + 1
-        cursors = self._keep(stored, cursors, run, merge.used)
-        earliest = min((r[1] for r in merge.rest()), default=None)
-        wake = -1 if earliest is None else (earliest + PATIENCE) * _DAY_MS - 1
-        if wake != alarm:
-            if alarm >= 0 and fired < 0:
-                self.handle.deleteTimer(alarm)
-            if wake >= 0:
-                self.handle.registerTimer(wake)
-        elif fired >= 0:
-            self.handle.registerTimer(wake)
-        self.head.update((at, is_open, wake, cursors, *values))
-
-    def _applied(self, key: tuple, r: tuple, at: int, values: list) -> Row:
-        n, _, change_id, op, city, balance = r
-        if op in ("I", "D"):
-            values[:] = [city, True, balance, True] if op == "I" else [None, True, None, True]
-        elif op == "U":
-            if city is not None:
-                values[:2] = [city, True]
-            if balance is not None:
-                values[2:] = [balance, True]
-        return _Out(change_id, key[0], key[1], "applied", self.batch, n, n - at, op, *values)
-
-    def _keep(self, stored: list[list], cursors: list[int], run: list, used: list[int]) -> list[int]:
-        """Cursors of the runs that are stored now: the batch's run is appended if something of it stays; runs are merged
-        when there are more than RUNS, and go when nothing is left of any."""
-        cursors = [i + n for i, n in zip(cursors, used, strict=False)]
-        left = [r[i:] for r, i in zip(stored, cursors, strict=True)]
-        new = run[used[len(stored)] :] if run else []
-        if not new and not any(left):
-            if stored:
-                self.runs.clear()
-            return []
-        if new and len(stored) + 1 > RUNS:
-            self.runs.put([(pickle.dumps(list(heapq.merge(*left, new))),)])
-            return [0]
-        if new:
-            self.runs.appendValue((pickle.dumps(new),))
-            cursors.append(0)
-        return cursors
+            merge.add(self.batch, sorted(run, key=lambda r: r[0]))
+        head.open |= "open" in orders
+        yield from self._drained(key, head, merge, -1)
+
+    def _drained(self, key: tuple, head: _Head, merge: _Merge, until: int) -> Iterator[Row]:
+        for n, _, change_id, op, city, balance in merge.drain(head.at, until, head.open):
+            if op in ("I", "D"):
+                head.city, head.balance = ((city,), (balance,)) if op == "I" else ((None,), (None,))
+            elif op == "U":
+                head.city = head.city if city is None else (city,)
+                head.balance = head.balance if balance is None else (balance,)
+            yield _Out(change_id, key[0], key[1], "applied", self.batch, n, n - head.at, op, *(head.city or (None,)), head.city is not None, *(head.balance or (None,)), head.balance is not None)
+            head.at = n + 1
+
+    def _keep(self, heads: dict[tuple, _Head], stored: dict[int, dict], new_run: dict) -> list[int]:
+        """Names of the runs that are stored now. The batch's run is appended; a run that no cursor points to goes, and
+        when more than RUNS are left, their unread rows are merged into one."""
+        used = {run for h in heads.values() for run in h.cursors if run in stored}
+        if used == stored.keys() and len(used) + bool(new_run) <= RUNS:
+            if new_run:
+                self.runs.appendValue((pickle.dumps(new_run),))
+            return [*stored, *([self.batch] if new_run else [])]
+        if len(used) + bool(new_run) > RUNS:
+            one = {}
+            for key, h in heads.items():
+                if h.cursors:
+                    one[key] = list(heapq.merge(*((new_run[key] if run == self.batch else stored[run][key][i:]) for run, i in h.cursors.items())))
+                    h.cursors = {self.batch: 0}
+            runs = {self.batch: one}
+        else:
+            runs = {run: rows for run, rows in stored.items() if run in used} | ({self.batch: new_run} if new_run else {})
+        if runs:
+            self.runs.put([(pickle.dumps(rows),) for rows in runs.values()])
+        else:
+            self.runs.clear()
+        return list(runs)
 
 
 class _Merge:
     """Rows of sorted runs in turn, by a heap with one cursor a run."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.used = runs, [0] * len(runs)
-        self.heap = [(run[0][0], k) for k, run in enumerate(runs) if run]
+    def __init__(self, runs: dict[int, list[tuple]]):
+        self.runs, self.used = dict(runs), dict.fromkeys(runs, 0)
+        self.heap = [(rows[0][0], run) for run, rows in self.runs.items() if rows]
         heapq.heapify(self.heap)
 
-    @property
-    def left(self) -> bool:
-        return bool(self.heap)
-
-    def add(self, run: list[tuple]) -> None:
-        self.runs.append(run)
-        self.used.append(0)
-        heapq.heappush(self.heap, (run[0][0], len(self.runs) - 1))
+    def add(self, run: int, rows: list[tuple]) -> None:
+        self.runs[run], self.used[run] = rows, 0
+        heapq.heappush(self.heap, (rows[0][0], run))
 
     def drain(self, at: int, until: int, is_open: bool) -> Iterator[tuple]:
         """All rows up to the number `until`, and those that follow without a gap."""
-        while self.heap and (self.heap[0][0] <= until or is_open and self.heap[0][0] == at):
-            n, k = heapq.heappop(self.heap)
-            row = self.runs[k][self.used[k]]
-            self.used[k] += 1
-            if self.used[k] < len(self.runs[k]):
-                heapq.heappush(self.heap, (self.runs[k][self.used[k]][0], k))
+        while self.heap and (self.heap[0][0] <= until or (is_open and self.heap[0][0] == at)):
+            n, run = heapq.heappop(self.heap)
+            row = self.runs[run][self.used[run]]
+            self.used[run] += 1
+            if self.used[run] < len(self.runs[run]):
+                heapq.heappush(self.heap, (self.runs[run][self.used[run]][0], run))
             yield row
             at = n + 1
 
-    def rest(self) -> Iterator[tuple]:
-        for run, i in zip(self.runs, self.used, strict=True):
-            yield from run[i:]
-
-    def numbers(self) -> set[int]:
-        return {r[0] for r in self.rest()}
+    def rest(self, run: int) -> list[tuple]:
+        """What is unread of a run."""
+        return self.runs[run][self.used[run] :] if run in self.runs else []
 
 
 def _batch(day: Column) -> Column:
@@ -248,10 +276,12 @@ def _prepared(changes: DataFrame, folder: str, size: int) -> None:
     mine = F.struct("day", "change_id", "op", "city", "balance").eqNullSafe(F.col("lead"))
     numbered = rows.where("stays").join(numbers, F.col("client_id").eqNullSafe(F.col("c")) & F.col("seq").eqNullSafe(F.col("s")))
     salt = F.when(mine, 0).otherwise(1 + F.pmod(F.xxhash64("change_id"), F.lit(SALTS))).cast("int")
-    kept = numbered.select("client_id", F.floor((F.col("n") - 1) / size).alias("range"), salt.alias("salt"), "n", "day", "change_id", "op", "city", "balance", F.lit(None).cast("string").alias("order"), _batch(F.col("day")).alias("batch"))
-    days = rows.where("stays").groupBy(_batch(F.col("day")).alias("batch")).agg(F.max("day").alias("day")).collect()  # a row a batch
+    kept = numbered.select("client_id", F.floor((F.col("n") - 1) / size).alias("range"), salt.alias("salt"), mine.alias("first"), "n", "day", "change_id", "op", "city", "balance", F.lit(None).cast("string").alias("order"), _batch(F.col("day")).alias("batch"))
+    days = rows.where("stays").groupBy(_batch(F.col("day")).alias("batch")).agg(F.max("day").alias("day"), F.count(F.lit(1)).alias("n")).collect()  # a row a batch
     orders = _orders(numbers.withColumnsRenamed({"c": "client_id", "s": "seq"}), {r.batch: r.day for r in days}, size)
-    kept.unionByName(orders.withColumn("salt", F.lit(0)), allowMissingColumns=True).write.partitionBy("batch").parquet(folder)
+    every = kept.unionByName(orders.withColumns({"salt": F.lit(0), "first": F.lit(True)}), allowMissingColumns=True)
+    shard = F.pmod(F.xxhash64("client_id", "range", "salt"), F.lit(1 + sum(r.n for r in days) // SHARD))
+    every.withColumns({"shard": shard, "repeat": ~F.col("first")}).drop("salt", "first").write.partitionBy("batch").parquet(folder)
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -261,6 +291,7 @@ def _session(spark: SparkSession) -> SparkSession:
         own.conf.set(name, spark.conf.get(name))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each small store takes MB of disk ahead
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
@@ -271,7 +302,7 @@ def _feed(spark: SparkSession, folder: str, batch: int, size: int, last: bool =
     """Start the query on what is new in the input folder, and wait until it has run."""
     rows = spark.readStream.schema(_INPUT).parquet(f"{folder}/in")
     rows = rows.withColumn("at", F.timestamp_seconds(F.col("day").cast("long") * 86400)).withWatermark("at", "0 seconds")
-    out = rows.groupBy("client_id", "range", "salt").transformWithState(Applier(batch, last, size), _OUTPUT, "append", "EventTime")
+    out = rows.groupBy("shard").transformWithState(Applier(batch, last, size), _OUTPUT, "append", "EventTime")
     stream = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
     stream.trigger(availableNow=True).start().awaitTermination()
 
@@ -313,7 +344,7 @@ def apply_changes(changes: DataFrame, size: int = RANGE) -> DataFrame:
     operations count as applied and change nothing. A null client_id is a client. Rows that are equal but for other
     columns are rows of their own, of which one is applied. A lost executor costs a rerun of its tasks; a query that fails
     goes on from its checkpoint. A new folder is used at every call.
-    size: numbers of a client that one group of the state holds; the result does not depend on it.
+    size: numbers of a client in one range; the result does not depend on it.
     """
     spark = changes.sparkSession
     folder = new_folder(spark, "changes")
@@ -323,7 +354,7 @@ def apply_changes(changes: DataFrame, size: int = RANGE) -> DataFrame:
     for batch in range(1, BATCHES + 1):
         prepared.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{folder}/in")
         _feed(own, folder, batch, size)
-    tick = own.range(1).select(F.lit(-1).cast("long").alias("range"), F.lit(_LAST_DAY).alias("day"), F.lit(0).alias("salt"))
+    tick = own.range(1).select(F.lit(-1).cast("long").alias("shard"), F.lit(_LAST_DAY).alias("day"))
     own.createDataFrame([], _INPUT).unionByName(tick, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     _feed(own, folder, BATCHES + 1, size, last=True)

@@ -28,7 +28,8 @@ def _rows(n: int, seed: int) -> list[tuple]:
 
 
 @pytest.mark.parametrize(("size", "seed"), [(4, 1)])
-def test_against_a_plain_loop(spark, size, seed):
+def test_against_a_plain_loop(spark, size, seed, monkeypatch):
+    monkeypatch.setattr(change_applier, "SHARD", 200)
     rows = _rows(900, seed)
     got = change_applier.apply_changes(spark.createDataFrame(rows, SCHEMA).repartition(3), size=size)
     assert got.columns == ["change_id", "client_id", "status", "batch", "missed", "city", "cents", "current"]
@@ -40,11 +41,10 @@ def test_empty(spark):
 
 
 def test_runs_are_merged():
-    runs = [[(1, 5, 0), (4, 6, 0)], [(2, 3, 0)], [(7, 1, 0)]]
-    merge = change_applier._Merge([list(r) for r in runs])
+    merge = change_applier._Merge({1: [(1, 5, 0), (4, 6, 0)], 2: [(2, 3, 0)], 3: [(7, 1, 0)]})
     assert [r[0] for r in merge.drain(1, -1, True)] == [1, 2]
     assert [r[0] for r in merge.drain(3, -1, True)] == []
-    merge.add([(3, 9, 0), (5, 9, 0)])
+    merge.add(4, [(3, 9, 0), (5, 9, 0)])
     assert [r[0] for r in merge.drain(3, -1, False)] == []
     assert [r[0] for r in merge.drain(3, -1, True)] == [3, 4, 5]
-    assert [r[0] for r in merge.drain(6, 7, False)] == [7] and not merge.left
+    assert merge.rest(3) == [(7, 1, 0)] and [r[0] for r in merge.drain(6, 7, False)] == [7] and not merge.heap
