@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions import dates, numbers, text
-from reelgrid.operators import catalog, clustering, dating, duplicates, films, intervals, people, search, state, tags, timeline
+from reelgrid.operators import catalog, clustering, dating, duplicates, films, intervals, people, search, state, tags, timeline, vector_blocks
 from reelgrid.operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,6 +321,26 @@ def vector_search_band(spark, sf_dir):
     return search.bands_of(asked, e, "asked", "v", "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings) SELECT q.vec_id AS asked, e.vec_id, round(list_inner_product(q.v, e.v), 6) AS score FROM e JOIN e q ON q.vec_id % 20 = 0 WHERE list_inner_product(q.v, e.v) >= 0.35::DOUBLE""")
+def vectors_above(spark, sf_dir):
+    """All pairs of an asked vector and a vector at a threshold, from blocks of vectors that can reach it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vector_blocks.build(e, ["vec_id"], "embedding")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("v"))
+    found, _ = vector_blocks.above(index, asked, "asked", "v", 0.35)
+    return found.select("asked", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), s AS (SELECT e.vec_id, list_inner_product(q.v, e.v) AS s FROM e JOIN e q ON q.vec_id = (SELECT min(vec_id) FROM e))
+SELECT vec_id, round(s, 6) AS score FROM s WHERE s >= greatest(0.075::DOUBLE, (SELECT max(s) FROM s) - 0.8::DOUBLE)""")
+def vector_band_of_blocks(spark, sf_dir):
+    """Vectors within the band of the best for one vector, without the blocks that can't come near it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.select(F.min_by("embedding", "vec_id")).first()[0]
+    found, _ = vector_blocks.in_band(vector_blocks.build(e, ["vec_id"], "embedding"), list(q), 0.075, 0.8)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
 def _catalog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderstatus").alias("tape_id"), F.col("o_orderkey").cast("string").alias("scene_id"), F.lit("default").alias("workspace"), F.when(F.col("o_orderkey") % 2 == 0, "dv").otherwise("photo").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("time"), F.lit(20.0).alias("duration"))
