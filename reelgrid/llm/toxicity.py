@@ -25,8 +25,8 @@ from reelgrid.llm.words import Block, blocks, small_batches
 ORDER, SPAN, DECAY = 4, 7, 0.6
 LONGEST, STRIDE = 26, 18  # letters of a word looked at together; longer ones in overlapping pieces
 SENTENCE = 32  # words at most
-TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 2000, 3000, 16384  # the bounded sample that is learned from
-ENRICHED, COMMON = 160, 32  # landmarks
+TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 1000, 1500, 8192  # the bounded sample that is learned from
+ENRICHED, COMMON = 128, 32  # landmarks
 _START, _END, _SYMBOLS = 30, 31, 32
 _GAPS = [(*x, DECAY ** (x[-1] - ORDER + 1)) for x in combinations(range(1, SPAN), ORDER - 1)]
 
@@ -90,6 +90,9 @@ class Pieces:
         columns[size + 1, np.arange(len(word))] = np.where(left <= LONGEST, _END, 29)
         return cls(word, size + 2, columns)
 
+    def only(self, these: np.ndarray) -> Pieces:
+        return Pieces(self.word[these], self.size[these], self.columns[:, these])
+
     def features(self, step: int = 8192) -> Iterator[tuple[slice, np.ndarray, float]]:
         """Each feature of each piece: a range of pieces, the feature's code (0-padded pieces give codes with a 0), its weight."""
         lo = 0
@@ -265,11 +268,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
     pairs = np.unique(word.astype(np.int64) * len(texts) + row)
     df = np.zeros((n_words, 2))
     np.add.at(df, (pairs // len(texts), toxic[pairs % len(texts)].astype(int)), 1)
+    del pairs
     whole = np.bincount(pieces.word, minlength=n_words) == 1
     letters = np.zeros(n_words, np.int64)
     letters[pieces.word] = pieces.size - 2
     marks = _landmarks(df * whole[:, None], letters * whole, np.array([(~toxic).sum(), toxic.sum()]))
-    # features of landmarks, and the kernel of every word with each
+    # features of landmarks, the kernel of landmarks with each other, and every word in the space they span
     column = np.full(n_words, -1)
     column[marks] = np.arange(len(marks))
     parts = [(code[hit], column[pieces.word[part]][hit], np.full(hit.sum(), weight)) for part, code, weight in pieces.features() if (hit := (column[pieces.word[part]] >= 0) & _whole(code)).any()]
@@ -281,23 +285,23 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
     np.add.at(features, (at.reshape(-1), mark), weight * scale[marks][mark])
     place = np.full(len(table), -1, np.int32)
     place[codes] = np.arange(len(codes))
-    by_piece = np.zeros((len(pieces.word), len(marks)), np.float32)
-    for part, code, weight in pieces.features():
-        where = place[code]
-        hit = np.flatnonzero(where >= 0)
-        by_piece[part][hit] += features[where[hit]] * np.float32(weight)
-    kernel = np.zeros((n_words, len(marks)), np.float32)
-    np.add.at(kernel, pieces.word, by_piece * _SCALE[pieces.size][:, None])
-    values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
+    own = np.zeros((n_words, len(marks)), np.float32)
+    for words, rows in _kernel(pieces.only(np.isin(pieces.word, marks)), place, features):
+        np.add.at(own, words, rows)
+    values, vectors = np.linalg.eigh(own[marks].astype(np.float64))
+    del own
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (kernel @ root).astype(np.float32)
+    mapped = np.zeros((n_words, root.shape[1]), np.float32)
+    for words, rows in _kernel(pieces, place, features):
+        np.add.at(mapped, words, rows @ root.astype(np.float32))
     x = np.ones((len(begin), mapped.shape[1] + 1), np.float32)
     word, at = _once(word, begin)
     for lo in range(0, len(at), 8192):
         hi = min(lo + 8192, len(at))
         stop = at[hi] if hi < len(at) else len(word)
         x[lo:hi, :-1] = np.add.reduceat(mapped[word[at[lo] : stop]], at[lo:hi] - at[lo])
+    del mapped
     owner = row[begin]
     bad = toxic[owner]
     chosen, w = bad, None
@@ -320,6 +324,19 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
     return model
 
 
+def _kernel(pieces: Pieces, place: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some words at a time and their kernel with each landmark; place: the row of features that each code has, or -1."""
+    part, rows = slice(0, 0), np.zeros((0, features.shape[1]), np.float32)
+    for now, code, weight in pieces.features():
+        if now != part:
+            yield pieces.word[part], rows * _SCALE[pieces.size[part]][:, None]
+            part, rows = now, np.zeros((now.stop - now.start, features.shape[1]), np.float32)
+        where = place[code]
+        hit = np.flatnonzero(where >= 0)
+        rows[hit] += features[where[hit]] * np.float32(weight)
+    yield pieces.word[part], rows * _SCALE[pieces.size[part]][:, None]
+
+
 def _whole(code: np.ndarray) -> np.ndarray:
     """Codes without a 0, that is, not of padding."""
     return ((code & 31) > 0) & ((code >> 5 & 31) > 0) & ((code >> 10 & 31) > 0) & (code >> 15 > 0)
