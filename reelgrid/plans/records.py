@@ -96,13 +96,17 @@ def utc_clocks(spark, sf_dir):
     return _orders(spark, sf_dir, dates.local_to_utc(d, "Etc/GMT-2").alias("utc"), dates.local_to_utc(d, "No/Where").alias("odd"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 2) AS valid FROM orders""")
+@query("""WITH b AS (SELECT o_orderkey, substr(CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%-m-%-d') ELSE strftime(o_orderdate, '%Y-%m-%d') END, 1, 1 + o_orderkey % 10) AS b FROM orders)
+SELECT o_orderkey, regexp_full_match(b, '[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?') AS valid FROM b""")
 def date_bounds(spark, sf_dir):
-    b = F.when(_k() % 5 == 0, "2001").when(_k() % 5 == 1, "2001-02").when(_k() % 5 == 2, "2001-02-03").when(_k() % 5 == 3, "2001-2").otherwise("x")
-    return _orders(spark, sf_dir, dates.valid_bound(b).alias("valid"))
+    """Beginnings of the orders' dates: years, months and days are bounds, what breaks off between is none."""
+    text = F.when(_k() % 5 == 0, _day(f="yyyy-M-d")).otherwise(_day(f="yyyy-MM-dd"))
+    return _orders(spark, sf_dir, dates.valid_bound(F.substring(text, F.lit(1), (1 + _k() % 10).cast("int"))).alias("valid"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS taken FROM orders""")
+@query("""WITH t AS (SELECT o_orderkey, 'probe001-' || CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y.%m.%d_%H-%M-%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(o_orderdate, '%Y.%m.%d %H-%M-%S') ELSE 'no date' END || '.dv 12 ok' AS line FROM orders),
+m AS (SELECT o_orderkey, regexp_extract(line, '([0-9]{4})[.-]([0-9]{2})[.-]([0-9]{2})[_ ]([0-9]{2})[-:]([0-9]{2})[-:]([0-9]{2})', ['y', 'o', 'd', 'h', 'm', 's']) AS x FROM t)
+SELECT o_orderkey, CASE WHEN x.y <> '' THEN x.y || '-' || x.o || '-' || x.d || 'T' || x.h || ':' || x.m || ':' || x.s END AS taken FROM m""")
 def probed_dates(spark, sf_dir):
     """Recording times named by a probe's output."""
     form = F.when(_k() % 4 == 0, _day(f="yyyy.MM.dd_HH-mm-ss")).when(_k() % 4 == 1, _day(f="yyyy-MM-dd HH:mm:ss")).when(_k() % 4 == 2, _day(f="yyyy.MM.dd HH-mm-ss")).otherwise("no date")
@@ -632,19 +636,21 @@ def templates(spark, sf_dir):
     return people.template(v, ["label"]).select("label", F.posexplode("centroid").alias("i", "v")).select("label", (F.col("i") + 1).alias("i"), F.round("v", 8).alias("v"))
 
 
-_SUGGEST = f"""tr AS (SELECT vec_id AS id, vec_id % 40 AS p, {_UNIT} AS e, vec_id % 4 <> 0 AS core FROM embeddings), an AS (SELECT p, bool_or(core) AS has FROM tr GROUP BY p),
+_SUGGEST = f"""tr AS (SELECT vec_id AS id, vec_id % 25 AS p, {_UNIT} AS e, vec_id % 4 <> 0 AS core FROM embeddings), an AS (SELECT p, bool_or(core) AS has FROM tr GROUP BY p),
 m AS (SELECT p, list(a ORDER BY i) AS e FROM (SELECT p, i, avg(e[i]) AS a FROM tr JOIN an USING (p), range(1, 65) g(i) WHERE core OR NOT has GROUP BY p, i) GROUP BY p),
-s AS (SELECT u.p AS id, n.p AS suggested, list_inner_product(u.e, n.e) AS s FROM m u JOIN m n ON u.p >= 10 AND n.p < 10 WHERE NOT (u.p % 10 = n.p AND u.p < 20)),
+s AS (SELECT u.p AS id, n.p AS suggested, y.n_name AS name, list_inner_product(u.e, n.e) AS s FROM m u JOIN nation x ON x.n_nationkey = u.p AND x.n_regionkey >= 2 JOIN m n ON true JOIN nation y ON y.n_nationkey = n.p AND y.n_regionkey < 2 WHERE u.p % 5 <> n.p % 5),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, suggested) AS r, coalesce(lead(s) OVER (PARTITION BY id ORDER BY s DESC, suggested), -1) AS second FROM s)"""
 
 
-@query(f"""WITH {_SUGGEST} SELECT id, suggested, 'n' || suggested::VARCHAR AS name, round_even(s, 3) AS score FROM r WHERE r = 1 AND s >= 0.002::DOUBLE AND s - second >= 0.0005::DOUBLE""")
+@query(f"""WITH {_SUGGEST} SELECT id, suggested, name, round_even(s, 3) AS score FROM r WHERE r = 1 AND s >= 0.002::DOUBLE AND s - second >= 0.0005::DOUBLE""")
 def name_suggestions(spark, sf_dir):
-    """Who unnamed people most likely are, never whom the operator said no to."""
+    """Who unnamed people (nations) most likely are, never whom the operator said no to."""
     e = table(spark, sf_dir, "embeddings")
-    t = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 40).alias("person_id"), F.transform("embedding", lambda x: x.cast("double")).alias("arc"), F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.8).alias("frontal"))
-    p = spark.range(40).select("id", F.when(F.col("id") < 10, F.concat(F.lit("n"), F.col("id").cast("string"))).alias("name"), F.lit(False).alias("hidden"))
-    no = spark.range(10, 20).select(F.lit("diff").alias("kind"), F.col("id").alias("a"), (F.col("id") % 10).alias("b"))
+    t = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 25).alias("person_id"), F.transform("embedding", lambda x: x.cast("double")).alias("arc"), F.when(F.col("vec_id") % 4 == 0, 0.1).otherwise(0.8).alias("frontal"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", F.col("n_regionkey") < 2)
+    n = n.toDF("id", "n_name", "named").withColumn("fifth", F.col("id") % 5)
+    p = n.select("id", F.when(F.col("named"), F.col("n_name")).alias("name"), F.lit(False).alias("hidden"))
+    no = n.where("not named").select(F.col("id").alias("a"), "fifth").join(n.where("named").select(F.col("id").alias("b"), "fifth"), "fifth").select(F.lit("diff").alias("kind"), "a", "b")
     return people.suggestions(t, p, no, least=0.002, margin=0.0005)
 
 
@@ -1043,14 +1049,18 @@ def basket_of_workspace(spark, sf_dir):
     return intervals.basket(table(spark, sf_dir, "events").select(F.when(k % 2 == 0, "w").otherwise("x").alias("workspace"), k.alias("id")), "w").select("id")
 
 
-@query("""WITH b AS (SELECT event_id AS id, (event_id % 50)::VARCHAR AS scene_id, event_id % 20 AS s, event_id % 20 + 3 AS e FROM events) SELECT id, scene_id::INT >= 40 AS missing, CASE WHEN scene_id::INT >= 40 THEN '' ELSE '2001-01-01' END AS data, printf('%.1f', greatest(0, s - 1)::DOUBLE) AS "od [s]", printf('%.1f', CASE WHEN scene_id::INT < 40 THEN least(15, e + 1) ELSE e + 1 END::DOUBLE) AS "do [s]",
-CASE WHEN greatest(0, s - 1) <= 5 AND CASE WHEN scene_id::INT < 40 THEN least(15, e + 1) ELSE e + 1 END >= 5 AND scene_id::INT % 2 = 0 AND scene_id::INT < 40 THEN 'Ann' ELSE '' END AS osoby FROM b""")
+@query("""WITH b AS (SELECT event_id AS id, event_id % 300 AS scene, event_id % 20 AS s, event_id % 20 + 3 AS e FROM events),
+c AS (SELECT o_custkey AS scene, strftime(min(o_orderdate), '%Y-%m-%d') AS date, max(o_orderkey % 20)::DOUBLE AS length FROM orders GROUP BY 1), w AS (SELECT c_custkey AS scene, c_mktsegment AS name FROM customer WHERE c_custkey % 2 = 0),
+m AS (SELECT b.id, c.scene IS NULL AS missing, coalesce(c.date, '') AS data, greatest(0, s - 1)::DOUBLE AS lo, CASE WHEN c.length > 0 THEN least(c.length, e + 1) ELSE e + 1 END::DOUBLE AS hi, w.name FROM b LEFT JOIN c USING (scene) LEFT JOIN w ON w.scene = c.scene)
+SELECT id, missing, data, printf('%.1f', lo) AS "od [s]", printf('%.1f', hi) AS "do [s]", CASE WHEN lo <= 5 AND hi >= 5 THEN coalesce(name, '') ELSE '' END AS osoby FROM m""")
 def basket_rows(spark, sf_dir):
-    """The basket's list: moments widened, with who is seen; scenes that have gone are marked."""
+    """The basket's list: moments (events) widened, with who is seen; scenes (customers' orders) that have gone are marked."""
     k = F.col("event_id")
-    b = table(spark, sf_dir, "events").select(F.lit("w").alias("workspace"), F.lit("t").alias("tape_id"), (k % 50).cast("string").alias("scene_id"), k.alias("id"), (k % 20).cast("double").alias("start"), (k % 20 + 3).cast("double").alias("end"))
-    cat = spark.range(40).select(F.lit("t").alias("tape_id"), F.col("id").cast("string").alias("scene_id"), F.lit("dv").alias("kind"), F.lit("2001-01-01").alias("date"), F.lit("10:00:00").alias("time"), F.lit("l").alias("label"), F.lit(None).cast("string").alias("name"), F.lit(15.0).alias("duration"))
-    who = spark.range(0, 40, 2).select(F.lit("t").alias("tape_id"), F.col("id").cast("string").alias("scene_id"), F.lit("Ann").alias("name"), F.array(F.lit(5)).alias("times"))
+    b = table(spark, sf_dir, "events").select(F.lit("w").alias("workspace"), F.lit("t").alias("tape_id"), (k % 300).cast("string").alias("scene_id"), k.alias("id"), (k % 20).cast("double").alias("start"), (k % 20 + 3).cast("double").alias("end"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("scene_id")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("date"), F.max(F.col("o_orderkey") % 20).cast("double").alias("duration"))
+    cat = o.select(F.lit("t").alias("tape_id"), "scene_id", F.lit("dv").alias("kind"), "date", F.lit("10:00:00").alias("time"), F.lit("l").alias("label"), F.lit(None).cast("string").alias("name"), "duration")
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("scene_id"), F.col("c_mktsegment").alias("name"))
+    who = c.join(o, "scene_id", "left_semi").select(F.lit("t").alias("tape_id"), "scene_id", "name", F.array(F.lit(5)).alias("times"))
     none = spark.createDataFrame([], "tape_id string, scene_id string, tag string, t0 double, t1 double")
     return sinks.basket_list(b, cat, who, none).select("id", "missing", "data", "od [s]", "do [s]", "osoby")
 
