@@ -85,17 +85,25 @@ def test_lines_against_brute_force(spark):
     rows += [(500, None), (501, ""), (502, "\n\n"), *rows[5:8]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keys = [r.k for r in df.select(F.xxhash64("doc_id", "text").alias("k")).collect()]
-    groups, gone = defaultdict(list), defaultdict(set)
+    groups, gone, stay = defaultdict(list), defaultdict(set), defaultdict(set)
     for n, (_, text) in enumerate(rows):
-        cut, lines = line_chunks.chunk_edges(line_chunks.line_hashes((text or "").encode()), 2, 3), (text or "").split("\n")
-        for a, b in zip(cut, cut[1:], strict=False):
-            if b - a >= 2 and any(x.strip() for x in lines[a:b]):
-                groups["\n".join(lines[a:b])].append((n, int(a), int(b)))
+        cut, lines = line_chunks.boundaries(line_chunks.line_hashes((text or "").encode()), 4).tolist(), (text or "").split("\n")
+        spans = {(a, next(b for b in cut if b >= a + 2)) for a in cut if a + 2 <= len(lines)}
+        if spans:
+            spans.add((max(a for a, _ in spans), len(lines)))
+        for a, b in spans:
+            if any(x.strip() for x in lines[a:b]):
+                groups["\n".join(lines[a:b])].append((n, a, b))
     # the first of equal rows comes before the others in all groups
     for places in groups.values():
         places.sort(key=lambda p: (rows[p[0]][0] is not None, rows[p[0]][0] or 0, keys[p[0]], p[1]))
         for n, a, b in places[1:]:
             gone[n] |= set(range(a, b))
+        if len(places) > 1:
+            n, a, b = places[0]
+            stay[n] |= set(range(a, b))
+    for n in stay:
+        gone[n] -= stay[n]
     want = []
     for n, (i, text) in enumerate(rows):
         lines = text.split("\n") if text else []
@@ -117,9 +125,9 @@ def test_equal_rows_are_deduplicated(spark):
 
 def test_boundaries_move_with_the_text():
     lines = [f"line {i}".encode() for i in range(200)]
-    one = line_chunks.chunk_edges(line_chunks.line_hashes(b"\n".join(lines)), 2, 3)
-    two = line_chunks.chunk_edges(line_chunks.line_hashes(b"\n".join([b"new", b"more", *lines])), 2, 3)
-    assert len(set((one + 2).tolist()) - set(two.tolist())) <= 1
+    one = line_chunks.boundaries(line_chunks.line_hashes(b"\n".join(lines)), 4)
+    two = line_chunks.boundaries(line_chunks.line_hashes(b"\n".join([b"new", b"more", *lines])), 4)
+    assert set((one + 2).tolist()) - {2} <= set(two.tolist())
 
 
 def test_band_plan():
