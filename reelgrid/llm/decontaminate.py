@@ -1,7 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-1. the items' n-grams are a table; documents are scanned for them and their counts in all documents joined to it. A
-   bitmap of fixed size tells the scan which n-grams can't be an item's: others never leave it;
+1. the items' n-grams, whole or with one word left out between any two of their words, are a table; documents are
+   scanned for them and their counts in all documents joined to it. An n-gram has the same hash with a gap and without,
+   so that it is found over a word that was changed, put in or taken out. A bitmap of fixed size tells the scan which
+   n-grams can't be an item's: others never leave it;
 2. an item's seeds are its n-grams that are rare: counted at most `floor` times, `rate` a position, or as often as half
    of the item's n-grams. So an item copied a million times keeps its seeds, and every item has some;
 3. a second scan finds the seeds' places, which a join by n-gram hash brings together with the items. Hits of a document
@@ -9,6 +11,10 @@
 4. documents with passages (joined by key; Spark broadcasts the passages where their table is small and shuffles beyond)
    are aligned with the items: match 1, mismatch and gap -0.5, best local score by the item's length.
 
+With n = 3 no passage that scores more than 0.5 + 1 / words of the item is without a shared n-gram: where no two
+neighbouring steps between matched words are in one, each step costs 0.5, save a last one. What can be lost is a passage
+whose shared n-grams are all among the more frequent half of its item's and frequent beyond the limits of 2.
+
 No table but the bitmap reaches the driver. Words are runs of letters, digits and non-ASCII characters, in lower case.
 """
 
@@ -23,11 +29,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reelgrid.llm.words import PUNCTUATION, as_long, blocks, run_hashes, small_batches
+from reelgrid.llm.words import PUNCTUATION, as_long, blocks, mix, small_batches
 from reelgrid.plans.scratch import materialise
 
 MISS, GAP = 0.5, 0.5
 _BITS, _PART = 24, 16
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shapes(k: int, n: int) -> list[list[int]]:
+    """Where the k words of an n-gram may lie: in a row and, if it isn't a short item's, with one word between two."""
+    return [list(range(k))] + [[j + (j >= gap) for j in range(k)] for gap in range(1, k) if k == n]
+
+
+def shaped_hashes(x: np.ndarray, shape: list[int]) -> np.ndarray:
+    """The hash of the neighbours of each place in x that the shape names, whatever lies between them."""
+    out = np.zeros(max(0, len(x) - shape[-1]), np.uint64)
+    for j in shape:
+        out = (out + x[j : j + len(out)]) * _BASE
+    return mix(out + np.uint64(len(shape)))
 
 
 def _items(n: int):
@@ -47,13 +67,18 @@ def _items(n: int):
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: the n-grams of each item with their places."""
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("no", "words", "k")), strict=True)
-        for no, words, k in rows:
-            h = run_hashes(np.frombuffer(words, np.uint64), k)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(np.full(len(h), no)), pa.array(np.arange(len(h)))], names=["h", "no", "place"])
+def _grams(n: int):
+    """mapInArrow: the n-grams of each item, with gaps and without, and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("no", "words", "k")), strict=True)
+            for no, words, k in rows:
+                each = [shaped_hashes(np.frombuffer(words, np.uint64), s) for s in shapes(k, n)]
+                h, place = np.concatenate(each), np.concatenate([np.arange(len(e)) for e in each])
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(np.full(len(h), no)), pa.array(place)], names=["h", "no", "place"])
+
+    return run
 
 
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,18 +110,18 @@ def hash_filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(np.unpackbits(out.ravel()).astype(bool))
 
 
-def _found(column: pa.Array, sizes: list[int], mask: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row, word, hash) of n-grams that the mask lets pass, by block of texts; every size in turn."""
+def _found(column: pa.Array, of: list[list[int]], mask: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row, word, hash) of n-grams that the mask lets pass, by block of texts; every shape in turn."""
     for b in blocks(column, apart=PUNCTUATION):
         x, row = b.hashes(), b.row_of_word()
-        for k in sizes:
-            h = run_hashes(x, k)
+        for shape in of:
+            h = shaped_hashes(x, shape)
             at = np.flatnonzero(mask[(h & np.uint64(len(mask) - 1)).astype(np.int64)])
-            at = at[at + k <= b.first[row[at] + 1]]
+            at = at[at + shape[-1] < b.first[row[at] + 1]]
             yield b.lo, row[at], at - b.first[row[at]], h[at]
 
 
-def _count(shared, sizes: list[int]):
+def _count(shared, of: list[list[int]]):
     """mapInArrow: how often n-grams that may be an item's occur, and (h null) the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +132,7 @@ def _count(shared, sizes: list[int]):
             return pa.RecordBatch.from_arrays([pa.array([*as_long(h).tolist(), None], pa.int64()), pa.array(np.append(c, total))], names=["h", "c"])
 
         for batch in batches:
-            for _, _, _, h in _found(batch.column("text"), sizes, shared.value):
+            for _, _, _, h in _found(batch.column("text"), of, shared.value):
                 held.append(h)
             total += sum(len(b.starts) for b in blocks(batch.column("text"), apart=PUNCTUATION))
             if sum(map(len, held)) > 1 << 21:
@@ -119,12 +144,12 @@ def _count(shared, sizes: list[int]):
     return run
 
 
-def _places(shared, sizes: list[int]):
+def _places(shared, of: list[list[int]]):
     """mapInArrow: where n-grams that may be seeds occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, row, at, h in _found(batch.column("text"), sizes, shared.value):
+            for lo, row, at, h in _found(batch.column("text"), of, shared.value):
                 which = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), batch.column("id").take(which), batch.column("key").take(which), pa.array(at)], names=["h", "id", "key", "at"])
 
@@ -229,8 +254,9 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, start, end: documents that hold an exact, edited or paraphrased copy of a test item.
 
-    A row for each pair of document row and item with a passage of score `threshold` or more; score 1 is an exact copy;
-    start and end are the passage's words in the document. Null and wordless texts and items match nothing. Repeated
+    A row for each pair of document row and item with a passage of score `threshold` or more that shares a rare n-gram,
+    with a gap or without (see above for what that leaves out); score 1 is an exact copy; start and end are the
+    passage's words in the document. Items of fewer than `n` words are found by all their words in a row. Null and wordless texts and items match nothing. Repeated
     rows of documents each give their rows; repeated items, their own. Ids may be of any type. Other columns are left
     aside. Empty tables give an empty result.
     """
@@ -239,9 +265,10 @@ def find_leaks(
     items = materialise(benchmark.select(F.col(item_col).alias("item"), F.lower(F.col(item_text_col)).alias("text"), F.monotonically_increasing_id().alias("no")).where("text is not null"), "items")
     items = materialise(items.mapInArrow(_items(n), f"item {item_kind}, no long, words binary, size long, k long").where("size > 0"), "words")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # n at most
-    grams = materialise(items.mapInArrow(_grams, "h long, no long, place long"), "grams")
+    of = [s for k in sizes for s in shapes(k, n)]
+    grams = materialise(items.mapInArrow(_grams(n), "h long, no long, place long"), "grams")
 
-    counts = docs.mapInArrow(_count(hash_filter(grams), sizes), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = docs.mapInArrow(_count(hash_filter(grams), of), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "counts")
     total = counts.where("h is null").agg(F.sum("c")).first()[0] or 0
     counted = grams.join(counts.where("h is not null"), "h")
@@ -249,7 +276,7 @@ def find_leaks(
     rare = F.col("c") <= F.greatest(F.lit(max(float(floor), rate * total)), F.ceil("half"))
     seeds = materialise(counted.join(half, "no").where(rare).select("h", "no", "place"), "seeds")
 
-    places = docs.mapInArrow(_places(hash_filter(seeds), sizes), f"h long, id {kind}, key long, at long")
+    places = docs.mapInArrow(_places(hash_filter(seeds), of), f"h long, id {kind}, key long, at long")
     hits = places.join(seeds, "h").join(items.select("no", "size"), "no")
     start = F.floor((F.col("at") - F.col("place")) / F.greatest(F.lit(1), F.floor(F.col("size") / 2))).cast("long")
     asked = hits.groupBy("id", "key", "no").agg(F.collect_set(start).alias("starts"))
