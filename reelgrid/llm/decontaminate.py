@@ -194,6 +194,18 @@ def windows(starts: list[int], size: int, words: int, threshold: float, wide: in
     return [(at, min(hi, at + most)) for lo, hi in out for at in range(lo, max(lo + 1, hi - span), most - span)]
 
 
+def can_score(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """Whether text shares so many words with item, within what an alignment can span, that it could score the threshold."""
+    words, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    hit, need = words[at] == text, threshold * len(item) - 1e-9
+    if np.minimum(np.bincount(at[hit], minlength=len(words)), times).sum() < need:
+        return False
+    span = int(np.ceil(len(item) * (1 + (1 - threshold) / GAP)))
+    sums = np.concatenate(([0], np.cumsum(hit)))
+    return len(text) <= span or (sums[span:] - sums[:-span]).max() >= need
+
+
 def _batched(texts: list[tuple[int, np.ndarray]], cells: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """texts by rising length, in batches whose padded area is at most `cells`, or one text."""
     out: list[tuple[int, np.ndarray]] = []
@@ -223,7 +235,7 @@ def _align(threshold: float, kind: pa.DataType, cells: int = 1 << 20, wide: int
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for no, texts in by_item.items():
                     item = np.frombuffer(of[no]["words"], np.uint64)
-                    for part in _batched(texts, cells):
+                    for part in _batched([t for t in texts if can_score(item, t[1], threshold)], cells):
                         score, end = smith_waterman(item, [t for _, t in part])
                         for k in np.flatnonzero(score >= threshold * len(item) - 1e-9):
                             (r, lo), text = part[k]
