@@ -1128,3 +1128,22 @@ def scene_tracks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     f = e.select(F.lit("t").alias("tape_id"), F.col("label").cast("string").alias("scene_id"), F.floor(F.col("vec_id") / 2).cast("int").alias("second"), (F.col("vec_id") % 2).cast("int").alias("detection"), F.col("embedding"), F.lit(1.0).alias("quality"))
     return clustering.scene_tracks(f, 0.3).select("tape_id", "scene_id", "track", "times", "quality")
+
+
+# ---- logs and sound ----------------------------------------------------------------------------------------------
+@query("""WITH l AS (SELECT user_id, event_id, event_type, abs(value)::DECIMAL(18, 2)::DOUBLE AS x FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL),
+p AS (SELECT user_id, event_type, x, lag(event_type) OVER w AS before, lag(x) OVER w AS t FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, t, x AS strength FROM p WHERE event_type = 'click' AND before = 'view'""")
+def logged_cuts(spark, sf_dir):
+    """Cuts from a detector's log: views stand in for lines with a time, clicks for scores, other events for other lines."""
+    x = F.abs("value").cast("decimal(18,2)").cast("string")
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("frame:7 pts:9 pts_time:"), x)).when(F.col("event_type") == "click", F.concat(F.lit("lavfi.scene_score="), x)).otherwise(F.concat(F.lit("size="), x))
+    return films.shot_cuts(table(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line")), "user_id", "line", "event_id")
+
+
+@query("""WITH w AS (SELECT vec_id, vec_id / 10.0::DOUBLE AS near, list_transform(range(0, len(embedding) // 4), lambda i: list_sum(list_transform(embedding[i * 4 + 1 : i * 4 + 4], lambda x: x::DOUBLE * x::DOUBLE))) AS p FROM embeddings)
+SELECT vec_id, CASE WHEN len(p) < 3 THEN near ELSE round(greatest(0::DOUBLE, near - 0.8::DOUBLE) + (list_position(p, list_min(p)) - 1) * 0.04::DOUBLE, 3) END AS quiet FROM w""")
+def quiet_starts(spark, sf_dir):
+    """Where sound is quietest near a cut: vectors stand in for samples, a hundred a second."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", films.quiet_start(F.col("embedding"), F.col("vec_id") / F.lit(10.0), 0.8, 100).alias("quiet"))
