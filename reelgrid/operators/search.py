@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.config import DEFAULTS
 from reelgrid.functions.dates import within
 from reelgrid.functions.numbers import dot
+from reelgrid.operators import vector_blocks
 from reelgrid.operators.intervals import islands
 from reelgrid.plans.scratch import materialise
 
@@ -78,19 +80,31 @@ def similar_frames(frames: DataFrame, rows: DataFrame, vector: tuple[float, ...]
     return in_band(own.select(*KEY, "t", "t_end", dot(F.col("emb"), q).alias("score")), floor=floor, band=band)
 
 
-def bands_of(asked: DataFrame, rows: DataFrame, asked_id: str, asked_vector: str, row_id: str, vector: str, block: int = 4096, floor: float = DEFAULTS.search_floor, band: float = DEFAULTS.search_band) -> DataFrame:
-    """(asked_id, row_id, score) in the band of each asked vector's best; the asked are broadcast in blocks of about `block`."""
-    blocks = -(-asked.count() // block) or 1
-    out = None
-    for k in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64(asked_id), F.lit(blocks)) == k)
-        scored = rows.join(F.broadcast(part)).select(asked_id, row_id, dot(F.col(vector), F.col(asked_vector)).alias("score"))
-        best = scored.groupBy(asked_id).agg(F.max("score").alias("__best"))
-        hits = scored.where(F.col("score") >= floor).join(F.broadcast(best), asked_id).where(F.col("score") >= F.col("__best") - band).drop("__best")
-        out = hits if out is None else out.unionByName(hits)
+def bands_of(asked: DataFrame, rows: DataFrame, asked_id: str, asked_vector: str, row_id: str, vector: str, block: int = vector_blocks.ASKED, floor: float = DEFAULTS.search_floor, band: float = DEFAULTS.search_band) -> DataFrame:
+    """(asked_id, row_id, score) in the band of each asked vector's best. The asked come in blocks of about `block`; their
+    products with all rows are taken by matrices twice: for the best of each, then for what can lie in its band."""
+    whole = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(row_id, vector, F.size(vector).alias("__width"))
+    kind, out = asked.schema[asked_id].dataType.simpleString(), None
+    for width in sorted(r[0] for r in asked.select(F.size(asked_vector)).distinct().collect() if r[0] and r[0] > 0):  # one, as a rule
+        own = whole.where(F.col("__width") == width).drop("__width")
+        own = materialise(own.repartition(spread(own.sparkSession, own.count() * asked.count())), "vectors")
+        for ids, q in vector_blocks.asked_blocks(asked, asked_id, asked_vector, width, block):
+            least = np.maximum(floor, vector_blocks.best_of_all(own, vector, q) - band)
+            hits = materialise(vector_blocks.scored_above(own, [row_id], vector, asked_id, kind, ids, q, least), "scores")
+            best = hits.groupBy(asked_id).agg(F.max("score").alias("__best"))
+            hits = hits.join(best, asked_id).where(F.col("score") >= F.greatest(F.lit(floor), F.col("__best") - band)).drop("__best")
+            out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        none = asked.select(asked_id).where(F.lit(False)).join(whole.select(row_id), F.lit(True))
+        return none.withColumn("score", F.lit(0.0))
     return out
 
 
+def spread(spark: SparkSession, products: int, each: int = 1 << 30) -> int:
+    """Tasks for that many products of vectors: one a billion, and no fewer than run at once where there is work for them."""
+    return max(1, -(-products // each), min(spark.sparkContext.defaultParallelism, -(-products // (1 << 22))))
+
+
 def moments_of(spans: DataFrame, gap: float, most: int = 12) -> DataFrame:
     """(tape_id, scene_id, score, moments): a scene's spans (t, t_end, score) merged, the first `most`, to a tenth."""
     merged = islands(spans, KEY, "t", "t_end", gap, "score")
