@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.config import DEFAULTS
@@ -47,6 +47,8 @@ def having_all(rows: DataFrame, facts: DataFrame, keys: list[str], value: str, w
     """rows whose key has every wanted value in facts (division), by one aggregation of the wanted facts only."""
     if not wanted:
         return rows
+    if len(wanted) == 1:  # no value needs to be counted
+        return rows.join(facts.where(F.col(value).isin(*wanted)).select(*keys), keys, "left_semi")
     held = facts.where(F.col(value).isin(*wanted)).groupBy(*keys).agg(F.countDistinct(value).alias("__n")).where(F.col("__n") == len(wanted))
     return rows.join(held.select(*keys), keys, "left_semi")
 
@@ -87,7 +89,7 @@ def bands_of(asked: DataFrame, rows: DataFrame, asked_id: str, asked_vector: str
     kind, out = asked.schema[asked_id].dataType.simpleString(), None
     for width in sorted(r[0] for r in asked.select(F.size(asked_vector)).distinct().collect() if r[0] and r[0] > 0):  # one, as a rule
         own = whole.where(F.col("__width") == width).drop("__width")
-        own = materialise(own.repartition(spread(own.sparkSession, own.count() * asked.count())), "vectors")
+        own = materialise(own.repartition(vector_blocks.spread(own.sparkSession, own.count() * asked.count())), "vectors")
         for ids, q in vector_blocks.asked_blocks(asked, asked_id, asked_vector, width, block):
             least = np.maximum(floor, vector_blocks.best_of_all(own, vector, q) - band)
             hits = materialise(vector_blocks.scored_above(own, [row_id], vector, asked_id, kind, ids, q, least), "scores")
@@ -100,11 +102,6 @@ def bands_of(asked: DataFrame, rows: DataFrame, asked_id: str, asked_vector: str
     return out
 
 
-def spread(spark: SparkSession, products: int, each: int = 1 << 30) -> int:
-    """Tasks for that many products of vectors: one a billion, and no fewer than run at once where there is work for them."""
-    return max(1, -(-products // each), min(spark.sparkContext.defaultParallelism, -(-products // (1 << 22))))
-
-
 def moments_of(spans: DataFrame, gap: float, most: int = 12) -> DataFrame:
     """(tape_id, scene_id, score, moments): a scene's spans (t, t_end, score) merged, the first `most`, to a tenth."""
     merged = islands(spans, KEY, "t", "t_end", gap, "score")
@@ -120,9 +117,12 @@ def search(catalog: DataFrame, frames: DataFrame, tags: DataFrame, people: DataF
     people: (tape_id, scene_id, person_id, times); tags: (tape_id, scene_id, tag, t0, t1, score).
     """
     rows = allowed(catalog, people, tags, q)
-    step = q.config.vision_step
     if not q.asks():
         rows = rows.where(F.lit(False))
+    rows = materialise(rows, "rows")
+    tags = materialise(tags.join(rows.select(*KEY), KEY, "left_semi"), "tags")  # no scene that can't be returned is looked at again
+    people = people.join(rows.select(*KEY), KEY, "left_semi")
+    step = q.config.vision_step
     if q.vector:
         hits = moments_of(similar_frames(frames, rows, q.vector, q.config.search_floor, q.config.search_band), step)
         found = rows.join(hits, KEY)
