@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from reelgrid.functions.numbers import dot
 
@@ -15,11 +16,20 @@ def sharp_frames(frames: DataFrame, keys: list[str], threshold: float = 40.0) ->
     return good.groupBy(*keys, "second").agg(F.min_by(F.struct(*rest), F.col("i")).alias("f")).select(*keys, "second", "f.*")
 
 
-def frame_numbers(seconds: DataFrame, keys: list[str], fps: Column, every: int = 1) -> DataFrame:
-    """(keys, frame): every so many frames of the seconds asked for; seconds: keys, times (array)."""
-    s = seconds.select(*keys, fps.alias("fps"), F.explode(F.array_distinct("times")).alias("s"))
+def frame_numbers(seconds: DataFrame, keys: list[str], fps: Column | float, every: int = 1, rows: int = 500_000) -> DataFrame:
+    """(keys, frame): every so many frames of the seconds asked for; seconds: keys, times (array).
+
+    Frames of different whole seconds at one rate are different, so repeats are dropped among seconds, which are fewer;
+    only mixed rates and parts of seconds need it among frames. A task has about `rows` of the rows.
+    """
+    whole = not isinstance(fps, Column) and isinstance(seconds.schema["times"].dataType.elementType, IntegralType)
+    rate = fps if isinstance(fps, Column) else F.lit(float(fps))
+    if (parts := -(-seconds.count() // rows)) > 1:
+        seconds = seconds.repartition(parts, *keys)
+    s = seconds.select(*keys, rate.alias("fps"), F.explode(F.array_distinct("times")).alias("s")).distinct()
     first, last = F.ceil(F.col("s") * F.col("fps")).cast("long"), (F.ceil((F.col("s") + 1) * F.col("fps")) - 1).cast("long")
-    return s.where(first <= last).select(*keys, F.explode(F.sequence(first, last)).alias("frame")).where(F.col("frame") % every == 0).distinct()
+    out = s.where(first <= last).select(*keys, F.explode(F.sequence(first, last)).alias("frame")).where(F.col("frame") % every == 0)
+    return out if whole else out.distinct()
 
 
 def nearest_track(detections: DataFrame, tracks: DataFrame, least: float = 0.25) -> DataFrame:
