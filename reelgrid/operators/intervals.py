@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,24 +133,41 @@ def add_to_basket(moments: DataFrame) -> DataFrame:
 
     A moment that overlaps one of its scene already there widens the first such; else it becomes one of its own, with
     its seq as id. Not transitive: two stored moments that come to overlap stay two, so the order matters and a scene's
-    moments, which people picked by hand, are taken in turn in one group.
+    moments, which people picked by hand, are taken in turn in one task, scene after scene.
     """
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for m in group.sort_values("seq").itertuples():
-            a, b = max(0.0, min(m.start, m.end)), max(m.start, m.end)
-            held = next((k for k in kept if a <= k[2] and b >= k[1]), None)
-            if held:
-                held[1], held[2] = min(held[1], a), max(held[2], b)
-            else:
-                kept.append([m.seq, a, b])
-        head = group.iloc[0]
-        return pd.DataFrame([(head.workspace, head.tape_id, head.scene_id, *k) for k in kept], columns=[c.split()[0] for c in BASKET.split(", ")])
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.float64(), pa.float64()]
+    names = [c.split()[0] for c in BASKET.split(", ")]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scenes one after the other, each with its moments in order of seq; a scene may go on in the next batch."""
+        scene, kept = None, []
+
+        def full(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            done: list[tuple] = []
+            for *key, seq, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != scene:
+                    done += [(*scene, *k) for k in kept] if scene else []
+                    scene, kept = key, []
+                a, b = max(0.0, min(start, end)), max(start, end)
+                for k in kept:
+                    if a <= k[2] and b >= k[1]:
+                        k[1], k[2] = min(k[1], a), max(k[2], b)
+                        break
+                else:
+                    kept.append([seq, a, b])
+            if done:
+                yield full(done)
+        if kept:
+            yield full([(*scene, *k) for k in kept])
 
     named = moments.withColumn("workspace", F.coalesce(F.nullif("workspace", F.lit("")), F.lit("default")))
     named = named.select("workspace", "tape_id", "scene_id", "seq", F.col("start").cast("double"), F.col("end").cast("double")).where("start is not null and end is not null")
-    return named.groupBy("workspace", "tape_id", "scene_id").applyInPandas(fill, BASKET)
+    keys = ["workspace", "tape_id", "scene_id"]
+    return named.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("seq")).mapInArrow(fill, BASKET)
 
 
 def basket(stored: DataFrame, workspace: str) -> DataFrame:

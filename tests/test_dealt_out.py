@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.operators import duplicates, frames, people, search, vector_blocks
+from reelgrid.operators import duplicates, frames, intervals, people, search, vector_blocks
 
 
 def test_pairs_of_a_group_have_many_tasks(spark, monkeypatch):
@@ -43,3 +43,29 @@ def test_one_wanted_value_is_not_counted(spark):
     assert [r.k for r in one.collect()] == [1]
     assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
     assert search.having_all(rows, facts.unionByName(facts.withColumn("tag", F.lit("N"))), ["k"], "tag", frozenset({"R", "N"})).collect()[0].k == 1
+
+
+def test_baskets_go_on_across_batches(spark):
+    """Scenes are filled one after the other, not in a pandas table each, and batches may end within one."""
+    rows = [("" if k % 2 else "w", f"t{k % 3}", "s" if k % 5 else None, 997 * k % 400, float(k * 37 % 500), float(k * 37 % 500 + k % 9 - 4)) for k in range(400)]
+    rows += [("w", "t0", "s", 900, None, 1.0), ("w", "t9", "s", 901, 5.0, 1.0)]
+    want = {}
+    for w, t, s, q, a, b in sorted(rows, key=lambda r: r[3]):
+        if a is None:
+            continue
+        held, a, b = want.setdefault((w or "default", t, s), []), max(0.0, min(a, b)), max(a, b)
+        for k in held:
+            if a <= k[2] and b >= k[1]:
+                k[1:] = [min(a, k[1]), max(b, k[2])]
+                break
+        else:
+            held.append([q, a, b])
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "7")
+    try:
+        got = intervals.add_to_basket(spark.createDataFrame(rows, "workspace string, tape_id string, scene_id string, seq long, start double, end double"))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*k, *m)) for k, ms in want.items() for m in ms)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        conf.set(name, before)
