@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,19 @@ def test_baskets_go_on_across_batches(spark):
         assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     finally:
         conf.set(name, before)
+
+
+def test_nearest_tracks_by_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(160, 6))
+    v[40:60] = v[20:40]  # equal tracks: the first stands
+    d = [(k, "t", f"s{k % 2}", k % 4, v[k].tolist() if k != 9 else None) for k in range(160)]
+    t = [(k, "t", f"s{k % 2}", [k % 4, k % 4, 7], v[k].tolist() if k != 30 else v[k].tolist()[:3] + [None] * 3) for k in range(0, 160, 2)]
+    got = frames.nearest_track(spark.createDataFrame(d, "detection long, tape_id string, scene_id string, second int, embedding array<double>"), spark.createDataFrame(t, "track long, tape_id string, scene_id string, times array<int>, embedding array<double>"), 0.25, 8)
+    want = []
+    for k, _, scene, second, x in d:
+        near = [(-float(np.cumsum(np.multiply(x, y))[-1]), n) for n, _, s, times, y in t if x and None not in y and s == scene and any(abs(second - w) <= 1 for w in times)]
+        if near and -min(near)[0] >= 0.25:
+            want.append((k, min(near)[1], -min(near)[0]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
