@@ -64,3 +64,33 @@ def test_large_workspaces_are_grouped_like_small_ones(spark):
 
     one, other = groups(), groups(matrix=10)
     assert one == other and len(one) > 5
+
+
+def test_equal_vectors_take_few_rounds(spark, monkeypatch):
+    """Copies are all equally near: they pair off, instead of each looking at the one with the smallest id."""
+    from reelgrid.operators import linkage as module
+
+    asked, nearest = [], module.nearest
+    monkeypatch.setattr(module, "nearest", lambda *a: asked.append(1) or nearest(*a))
+    rows = [("w", i, 1, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(48)]
+    units = spark.createDataFrame(rows, "workspace string, id long, n long, total array<double>")
+    got = linkage(units, spark.createDataFrame([], "workspace string, a long, b long"), 0.5, 16).collect()
+    assert {(r.id, r.cluster) for r in got} == {(i, i % 2) for i in range(48)}
+    assert len(asked) <= 14
+
+
+@pytest.mark.parametrize("block", [16, 200])
+def test_shared_cells_keep_units_apart(spark, block):
+    """Cells bar the same merges as a row for each pair of units does."""
+    n = 60
+    x, size, _ = _data(n, 4)
+    cells = [[i % 7, 100 + i % 11] if i % 3 else [] for i in range(n)]
+    apart = [(i, j) for i in range(n) for j in range(i) if set(cells[i]) & set(cells[j])]
+    labels = clustering.average_linkage(x @ x.T, 0.3, size, apart)
+    want = {frozenset(np.flatnonzero(labels == v).tolist()) for v in set(labels.tolist())}
+    rows = [("w", i, int(size[i]), (x[i] * size[i]).tolist(), cells[i]) for i in range(n)]
+    units = spark.createDataFrame(rows, "workspace string, id long, n long, total array<double>, cells array<long>").repartition(3)
+    groups = {}
+    for r in linkage(units, spark.createDataFrame([], "workspace string, a long, b long"), 0.3, block).collect():
+        groups.setdefault(r.cluster, set()).add(r.id)
+    assert {frozenset(g) for g in groups.values()} == want
