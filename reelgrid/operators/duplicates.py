@@ -58,7 +58,7 @@ def hamming_pairs(hashes: DataFrame, key: str = "key", bits: int = DEFAULTS.hamm
     the other under it and its neighbours of one bit, so keys meet about as rarely as long hashes agree by chance. These
     are all pairs; where many keys have equal hashes, hamming_edges says the same in as many rows as there are keys.
     """
-    return _near(_lists(hashes, key), bits, least)
+    return _near(materialise(_lists(hashes, key), "lists"), bits, least)
 
 
 def _classes(rows: DataFrame, by: list[str], touched: DataFrame | None) -> DataFrame:
@@ -77,8 +77,9 @@ def _classes(rows: DataFrame, by: list[str], touched: DataFrame | None) -> DataF
 def hamming_edges(hashes: DataFrame, key: str = "key", bits: int = DEFAULTS.hamming_bits, least: int = DEFAULTS.least_positions, touched: DataFrame | None = None) -> DataFrame:
     """(a, b) with the components of hamming_pairs: keys with equal hashes are a class, joined to its smallest key, and
     only these keys are paired. A blank picture of a million scenes is a million edges. touched: keys (column k) that
-    must keep all their own pairs, as the operator told some of them apart; they stand outside the classes."""
-    lists = _classes(_lists(hashes, key), ["all"], touched)
+    must keep all their own pairs, as the operator told some of them apart; they stand outside the classes. Lists and
+    classes are written, as bands and stars read them several times."""
+    lists = materialise(_classes(materialise(_lists(hashes, key), "lists"), ["all"], touched), "classes")
     stars = lists.where((F.col("k") != F.col("rep")) & (F.size("all") >= least)).select(F.col("rep").alias("a"), F.col("k").alias("b"))
     return stars.unionByName(_near(lists.where("k = rep").select("k", "all"), bits, least))
 
