@@ -102,12 +102,14 @@ def same_recording(scenes: DataFrame, bits: int = DEFAULTS.hamming_bits, slack:
 def recording_edges(scenes: DataFrame, bits: int = DEFAULTS.hamming_bits, slack: int = DEFAULTS.frame_slack, touched: DataFrame | None = None) -> DataFrame:
     """(a, b) with the components of same_recording, in about as many rows as scenes: those alike in a rule's fields are
     a class, joined to its smallest key; among classes of equal timecodes only neighbours by number of frames meet. All
-    pairs of touched scenes (column k) are kept."""
+    pairs of touched scenes (column k) are kept. Classes are written, as stars, chains and touched scenes read them."""
     fp = F.col("fingerprint")
     hashes = scenes.select("key", F.posexplode("fingerprint.frame_hashes").alias("position", "digits")).select("key", "position", hash_bits("digits").alias("bits"))
     s = scenes.select(F.col("key").alias("k"), F.nullif(fp["datetime"], F.lit("")).alias("dt"), F.nullif(fp["tc_start"], F.lit("")).alias("tc"), fp["tc_end"].alias("te"), F.coalesce(fp["frame_count"], F.lit(0)).alias("n")).where("tc is not null")
+    s = materialise(s, "timecodes")
     timed = _classes(s.where(F.substring("dt", 1, 10).rlike(SANE_DATE)).select("k", "tc", "dt"), ["tc", "dt"], touched)
     framed = _classes(s.select("k", "tc", "te", "n"), ["tc", "te", "n"], touched)
+    timed, framed = materialise(timed, "timed"), materialise(framed, "framed")
     stars = [c.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")) for c in (timed, framed)]
     out = hamming_edges(hashes, bits=bits, touched=touched).unionByName(stars[0]).unionByName(stars[1])
     by = Window.partitionBy("tc", "te").orderBy("n", "k")
@@ -148,8 +150,9 @@ def duplicate_groups(scenes: DataFrame, dismissed: DataFrame | None = None, bits
     fp = F.col("fingerprint")
     probed = scenes.where((F.size(F.coalesce(fp["frame_hashes"], F.array().cast("array<string>"))) > 0) | (F.length(fp["tc_start"]) > 0) | (F.length(fp["datetime"]) > 0))
     touched = None
-    if dismissed is not None:
-        touched = dismissed.select(F.explode(F.array("scene_a", "scene_b")).alias("k"))
+    if dismissed is not None:  # written: its own pairs are worked out once, not at each use
+        dismissed = materialise(dismissed.select("scene_a", "scene_b"), "dismissed")
+        touched = materialise(dismissed.select(F.explode(F.array("scene_a", "scene_b")).alias("k")).distinct(), "touched")
     pairs = recording_edges(probed, bits, touched=touched)
     if dismissed is not None:
         pairs = without_dismissed(pairs, dismissed)

@@ -55,3 +55,22 @@ def test_a_blank_picture_in_very_many_scenes(spark):
     edges = duplicates.hamming_edges(blank.unionByName(near))
     assert edges.count() == n
     assert connected_components(edges).agg(F.count("*"), F.max("component")).first() == (n + 1, 0)
+
+
+def test_dismissed_pairs_are_worked_out_once(spark):
+    """What says which pairs were dismissed may be a join of all scenes: it runs once, not at each use."""
+    from pyspark.sql import functions as F
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(x: int) -> int:
+        asked.add(1)
+        return x
+
+    fp = "fingerprint struct<datetime string, tc_start string, tc_end string, frame_count long, frame_hashes array<string>>"
+    rows = [(i, "t", str(i), i, 5, 0, ("", str(i // 3), "9", 5, None)) for i in range(12)]
+    scenes = spark.createDataFrame(rows, f"key long, tape_id string, scene_id string, scene_index int, frame_count long, error_score int, {fp}")
+    once = F.udf(counted, "long").asNondeterministic()
+    dismissed = spark.createDataFrame([(0, 1)], "scene_a long, scene_b long").select(once("scene_a").alias("scene_a"), "scene_b")
+    got = {r.key: r.group for r in duplicates.duplicate_groups(scenes, dismissed).collect()}
+    assert got == {i: i // 3 * 3 for i in range(12)} and asked.value == 1
