@@ -813,7 +813,8 @@ def ended_captures(spark, sf_dir):
     last = spark.range(1).select(F.lit("~").alias("tape_id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"), F.lit(False).alias("blank"))
     folder, own = new_folder(spark, "captures"), captures.stateful(spark)
     rows.unionByName(last).write.parquet(f"{folder}/in")
-    captures.drained(captures.captures(own.readStream.schema(rows.schema).parquet(f"{folder}/in"), rules=captures.EndRules(longest=600)), folder)
+    stream, shards = own.readStream.schema(rows.schema).parquet(f"{folder}/in"), 1 + e.count() // 20_000
+    captures.drained(captures.captures(stream, rules=captures.EndRules(longest=600), shards=shards), folder)
     out = spark.read.schema(captures.ENDED).parquet(f"{folder}/out")
     return out.select("tape_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "frames", "blank", "reason")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -21,7 +23,10 @@ class EndRules:
 
 
 ENDED = "tape_id string, start timestamp, end timestamp, frames long, blank long, reason string"
-_Ended = Row(*(c.split()[0] for c in ENDED.split(", ")))
+_OUTPUT = "tape_id string, start long, end long, frames long, blank long, reason string"
+# times in pandas end in 2262: the watermark's column is kept within them, and what comes after 2200 waits for that year only
+_FIRST, _FAR, _LAST = -8_520_336_000, 7_258_118_400, 9_214_646_400
+_COLUMNS = [c.split()[0] for c in ENDED.split(", ")]
 
 
 def deadline(start: int, last: int, content: int, rules: EndRules) -> tuple[int, str]:
@@ -31,10 +36,12 @@ def deadline(start: int, last: int, content: int, rules: EndRules) -> tuple[int,
 
 
 class Capture(StatefulProcessor):
-    """Signal of one tape, in order of time whatever order it comes in: rows wait until the watermark has passed them.
+    """Signal of one shard of tapes, in order of time whatever order it comes in: rows wait until the watermark has passed
+    them.
 
-    The state is the capture that runs, as five numbers, and the rows that wait; one timer stands for the next moment at
-    which a row is due or the capture ends.
+    A call of the state store costs far more than a row, so one serves all tapes of a shard. The state is the captures
+    that run, as five numbers each, and a list of what waits, a packed entry a batch; one timer stands for the next moment
+    at which a row of any tape is due or a capture ends.
     """
 
     def __init__(self, rules: EndRules):
@@ -42,44 +49,49 @@ class Capture(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.running = handle.getValueState("running", "start long, last long, content long, frames long, blank long")
+        self.running = handle.getValueState("running", "tapes binary")
         self.wake = handle.getValueState("wake", "at long")
-        self.waiting = handle.getListState("waiting", "at long, blank boolean")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r.ms, bool(r.blank)) for r in rows]
-        self.waiting.appendList(new)
-        self._wake_by(min(at for at, _ in new))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([f[["tape_id", "ms", "blank"]] for f in rows], ignore_index=True)
+        self.waiting.appendValue((pickle.dumps(new),))
+        self._wake_by(min(int(new["ms"].min()), _FAR * 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = self.wake.get()
         if not at or at[0] != expiredTimerInfo.getExpiryTimeInMs():
             return
         self.wake.clear()
-        now, rows = timerValues.getCurrentWatermarkInMs(), sorted(self.waiting.get())
-        due, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        run = self.running.get()
-        for ms, blank in due:
+        now, packed, stored = timerValues.getCurrentWatermarkInMs(), list(self.waiting.get()), self.running.get()
+        rows = pd.concat([pickle.loads(x[0]) for x in packed], ignore_index=True) if packed else pd.DataFrame({"tape_id": [], "ms": [], "blank": []})
+        running = pickle.loads(stored[0]) if stored else {}
+        is_due, ended = rows["ms"].clip(upper=_FAR * 1000) <= now, []
+        due, rest = rows[is_due].sort_values(["tape_id", "ms", "blank"]), rows[~is_due]
+        for tape, ms, blank in zip(*(due[c].tolist() for c in ("tape_id", "ms", "blank")), strict=True):
+            run = running.get(tape)
             if run and ms > deadline(*run[:3], self.rules)[0]:
-                yield self._ended(key, run)
+                ended.append((tape, run))
                 run = None
             start, _, content, frames, blanks = run or (ms, ms, ms, 0, 0)
-            run = (start, ms, content if blank else ms, frames + 1, blanks + blank)
-        if run and deadline(*run[:3], self.rules)[0] < now:
-            yield self._ended(key, run)
-            run = None
-        if run:
-            self.running.update(run)
+            running[tape] = (start, ms, content if blank else ms, frames + 1, blanks + blank)
+        ends = {tape: min(deadline(*run[:3], self.rules)[0], _FAR * 1000) for tape, run in running.items()}
+        ended += [(tape, running.pop(tape)) for tape, end in ends.items() if end < now]
+        if running:
+            self.running.update((pickle.dumps(running),))
         else:
             self.running.clear()
-        if rest:
-            self.waiting.put(rest)
+        if len(rest):
+            self.waiting.put([(pickle.dumps(rest),)])
         else:
             self.waiting.clear()
-        ahead = [r[0] for r in rest[:1]] + ([deadline(*run[:3], self.rules)[0] + 1] if run else [])
+        ahead = [ends[tape] + 1 for tape in running] + ([min(int(rest["ms"].min()), _FAR * 1000)] if len(rest) else [])
         if ahead:
             self._wake_by(min(ahead))
+        if ended:
+            out = [(tape, run[0], end, run[3], run[4], why) for tape, run in ended for end, why in [deadline(*run[:3], self.rules)]]
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -93,27 +105,21 @@ class Capture(StatefulProcessor):
         self.handle.registerTimer(ms)
         self.wake.update((ms,))
 
-    def _ended(self, key: tuple, run: tuple) -> Row:
-        end, reason = deadline(*run[:3], self.rules)
-        return _Ended(key[0], _time(run[0]), _time(end), run[3], run[4], reason)
 
-
-def _time(ms: int):
-    from datetime import datetime, timezone
-
-    return datetime.fromtimestamp(ms / 1000, timezone.utc)
-
-
-def captures(signal: DataFrame, late: str = "10 minutes", rules: EndRules | None = None) -> DataFrame:
+def captures(signal: DataFrame, late: str = "10 minutes", rules: EndRules | None = None, shards: int = 256) -> DataFrame:
     """(tape_id, start, end, frames, blank, reason): each capture of a tape once it is over.
 
     signal: a stream of (tape_id, ts timestamp, blank). A capture starts with the first signal after the one before; it
     ends when nothing came for `no_signal`, only blank frames for `blank_tail`, nothing for `idle`, or `longest` after
-    its start, whichever is first. Rows that come later than `late` are left out; late_rows tells how many. The session
-    needs the RocksDB state store.
+    its start, whichever is first. Rows that come later than `late` are left out; late_rows tells how many. Tapes are
+    dealt to `shards` states, a number that a checkpoint keeps; the result does not depend on it. Of rows after
+    the year 2200 those that come in one batch are in order. The session needs the RocksDB state store.
     """
-    rows = signal.select("tape_id", "ts", F.unix_millis("ts").alias("ms"), "blank").where("tape_id is not null and ts is not null")
-    return rows.withWatermark("ts", late).groupBy("tape_id").transformWithState(Capture(rules or EndRules()), ENDED, "append", "EventTime")
+    shard, blank = F.pmod(F.xxhash64("tape_id"), F.lit(shards)).alias("shard"), F.coalesce("blank", F.lit(False)).alias("blank")
+    at = F.least(F.greatest("ts", F.timestamp_seconds(F.lit(_FIRST))), F.timestamp_seconds(F.lit(_LAST))).alias("at")
+    rows = signal.where("tape_id is not null and ts is not null").select(shard, "tape_id", F.unix_millis("ts").alias("ms"), blank, at)
+    out = rows.withWatermark("at", late).groupBy("shard").transformWithStateInPandas(Capture(rules or EndRules()), _OUTPUT, "append", "EventTime")
+    return out.withColumns({c: F.timestamp_millis(c) for c in ("start", "end")})
 
 
 def late_rows(query: StreamingQuery) -> int:
