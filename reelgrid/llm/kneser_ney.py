@@ -1,10 +1,8 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of symbol n-grams, trained on trusted text.
+"""Quality classifier: interpolated modified Kneser-Ney model of word n-grams, trained on trusted text (word_model).
 
-A text is a row of symbols, one a byte, of an alphabet of 44: letters, and classes of capitals, digits, punctuation and
-bytes of other characters. What is gathered grows with the trusted documents, but distinct n-grams can't exceed 44 ** order a language: that bounds every table from there on. Counts are joined by n-gram hash
-with the counts of their contexts and the discounts, lower orders use continuation counts, and an n-gram's probability
-is joined with that of its suffix. The probabilities, of that proven bound, are broadcast, and each document's
-perplexity is summed in one pass without a shuffle of its n-grams.
+Every language of the trusted documents has a model and limits of its own; null languages and those without trusted text
+use a pooled one, which is only trained where a document needs it. N-grams, contexts, probabilities and scores meet in
+joins; nothing that grows with the input is gathered or broadcast.
 
 A document is rejected when its perplexity is above the quantile of the trusted documents of its language and length
 class (short texts scatter more). Four fifths of the trusted documents train the model, the others, which it has not
@@ -13,260 +11,35 @@ seen, set the limits. Both come from sums, which combine on the map side.
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
-
-from reelgrid.llm.words import small_batches, string_buffers
-from reelgrid.plans.scratch import materialise
-
-# The symbol of each byte.
-SYMBOLS = 44
-ALPHABET = np.full(256, 37, np.int32)
-ALPHABET[0x20], ALPHABET[[9, 10, 11, 12, 13]] = 0, 1
-ALPHABET[97:123], ALPHABET[65:91], ALPHABET[48:58] = np.arange(2, 28), 28, 29
-for _symbol, _bytes in ((30, b"."), (31, b","), (32, b";:!?"), (33, b"\"'`"), (34, b"-_/\\"), (35, b"()[]{}"), (36, b"#$%&*+<=>@^|~")):
-    ALPHABET[list(_bytes)] = _symbol
-ALPHABET[0x80:0xA0], ALPHABET[0xA0:0xC0] = 42, 43
-ALPHABET[0xC0:0xC4], ALPHABET[0xC4:0xE0], ALPHABET[0xE0:0xF0], ALPHABET[0xF0:] = 38, 39, 40, 41
-POOLED = "*"
-_BINS = 10_000
-_TABLES = 8
-_dense: dict = {}
-
-
-def _codes(column: pa.Array, order: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, n-gram codes, symbols of each text) for rows lo..hi; texts begin after line feeds."""
-    data, edge = string_buffers(column)
-    lo = 0
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + limit, "right")) - 1)
-        size = np.diff(edge[lo : hi + 1])
-        pad = order - 1
-        x = np.ones(int(size.sum()) + pad * (hi - lo), np.int32)
-        place = np.arange(int(size.sum())) + np.repeat(np.arange(1, hi - lo + 1) * pad, size)
-        x[place] = ALPHABET[data[edge[lo] : edge[hi]]]
-        code = x[place].copy()
-        for k in range(1, order):
-            code += x[place - k] * np.int32(SYMBOLS**k)
-        yield lo, hi, code, size
-        lo = hi
-
-
-def _languages(column: pa.Array, known: dict[str, int]) -> np.ndarray:
-    return np.array([known.get(v, known[POOLED]) for v in column.to_pylist()], np.int64)
-
-
-def _count(order: int):
-    """mapInArrow: n-gram counts by language of all texts of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str | None, np.ndarray] = {}
-
-        def drain() -> Iterator[pa.RecordBatch]:
-            for lang, counts in total.items():
-                code = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(counts[code])], names=["lang", "code", "c"]
-                )
-            total.clear()
-
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for lo, hi, code, size in _codes(batch.column("text"), order):
-                edge = np.concatenate(([0], np.cumsum(size)))
-                for i in range(lo, hi):
-                    if langs[i] not in total:
-                        if len(total) == 8:
-                            yield from drain()
-                        total[langs[i]] = np.zeros(SYMBOLS**order, np.int64)
-                    np.add.at(total[langs[i]], code[edge[i - lo] : edge[i - lo + 1]], 1)
-        yield from drain()
-
-    return run
-
-
-def train(trusted: DataFrame, order: int = 4) -> tuple[list[str], list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Languages, and for each and each order: seen codes, their probabilities, contexts, their weights of lower orders.
-
-    trusted: (lang, text). Each language gets a model of its own, those with most text first; a pooled one of all text
-    serves null languages and those without trusted text.
-    """
-    spark = trusted.sparkSession
-    grams = trusted.mapInArrow(_count(order), "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
-    grams = materialise(grams, "grams")
-    top = grams.where("lang is not null").groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").collect()
-    names = [r["lang"] for r in top if r["lang"] != POOLED]
-    pooled = grams.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "code", "c")
-    g = grams.where(F.col("lang").isNotNull() & (F.col("lang") != POOLED)).unionByName(pooled) if names else pooled
-    levels = {order: materialise(g, "counts")}
-    for n in range(order - 1, 0, -1):
-        levels[n] = levels[n + 1].groupBy("lang", (F.col("code") % SYMBOLS**n).alias("code")).agg(F.count("*").alias("c"))
-    names = [*names, POOLED]
-    model, lower = [], None
-    for n in range(1, order + 1):
-        lower = materialise(_probabilities(levels[n], lower, n), "probabilities")
-        got = lower.toArrow()  # 44 ** n rows a language at most
-        lang, code, p, ctx, w = (got.column(k).to_numpy() for k in ("lang", "code", "p", "ctx", "w"))
-        for i, name in enumerate(names):
-            here = lang == name
-            model.append((i, n, code[here], p[here], ctx[here], w[here]))
-    return names, sorted(model, key=lambda m: m[:2])
-
-
-def _probabilities(g: DataFrame, lower: DataFrame | None, n: int) -> DataFrame:
-    """(lang, code, p, ctx, w) of the n-grams counted in g (lang, code, c): w is what their context leaves to `lower`."""
-    y = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    d = [
-        F.least(F.lit(k * 0.95), F.greatest(F.lit(0.05 * k), F.when(F.col(f"n{k}") > 0, k - (k + 1) * share * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k))).alias(f"d{k}")
-        for k in (1, 2, 3)
-    ]
-    discount = g.groupBy("lang").agg(*y).select("lang", *d)
-    ctx = F.floor(F.col("code") / SYMBOLS).cast("long")
-    totals = g.groupBy("lang", ctx.alias("ctx")).agg(
-        F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("k1"), F.count_if(F.col("c") == 2).alias("k2"), F.count_if(F.col("c") > 2).alias("k3")
-    )
-    weight = (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total")
-    own = g.withColumn("ctx", ctx).join(totals.join(discount, "lang").withColumn("w", weight), ["lang", "ctx"])
-    less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    if lower is None:
-        own = own.withColumn("low", F.lit(1.0 / SYMBOLS))
-    else:
-        low = lower.select("lang", F.col("code").alias("suffix"), F.col("p").alias("low"))
-        own = own.withColumn("suffix", F.col("code") % SYMBOLS ** (n - 1)).join(low, ["lang", "suffix"])
-    return own.select("lang", "code", ((F.col("c") - less) / F.col("total") + F.col("w") * F.col("low")).alias("p"), "ctx", "w")
-
-
-def lookup(model: dict[int, tuple], order: int, code: np.ndarray) -> np.ndarray:
-    """The probabilities of n-grams under one language's model: those not seen from their context's weight and suffix."""
-    if order == 0:
-        return np.full(len(code), 1.0 / SYMBOLS)
-    seen, v, back, w = model[order]
-
-    def of(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, out: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-        hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-        out[hit] = values[at[hit]]
-        return hit
-
-    p = np.empty(len(code))
-    rest = np.flatnonzero(~of(seen, v, code, p))
-    if len(rest):
-        weight = np.ones(len(rest))
-        of(back, w, code[rest] // SYMBOLS, weight)
-        p[rest] = weight * lookup(model, order - 1, code[rest] % SYMBOLS ** (order - 1))
-    return p
-
-
-def sorted_model(model: list) -> dict[int, dict[int, tuple]]:
-    """For each language and order: seen codes with probabilities, contexts with weights, both in order."""
-    out: dict[int, dict[int, tuple]] = {}
-    for i, n, seen, v, ctx, w in model:
-        by, (back, first) = np.argsort(seen), np.unique(ctx, return_index=True)
-        out.setdefault(i, {})[n] = seen[by], v[by], back, w[first]
-    return out
-
-
-def log_table(model: list, languages: int, order: int) -> np.ndarray:
-    """-log2 of the probability of each n-gram, by language; a row of 44 ** order for each."""
-    out = np.empty((languages, SYMBOLS**order), np.float32)
-    p = np.zeros(0)
-    for i, k, seen, v, back, w in model:
-        size = SYMBOLS ** (k - 1)
-        weight = np.ones(size)
-        weight[back] = w
-        low = np.full((1, SYMBOLS), 1.0 / SYMBOLS) if k == 1 else np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS if k > 2 else 1, 1)) if k > 2 else np.broadcast_to(p, (SYMBOLS, SYMBOLS))
-        p = (weight[:, None] * low).ravel()
-        p[seen] = v
-        if k == order:
-            out[i] = -np.log2(np.maximum(p, 1e-12))
-    return out
-
-
-def _held(texts: pa.Array) -> np.ndarray:
-    """True for a fifth of all texts, by their bytes: equal texts are on one side."""
-    return np.array([zlib.crc32(t.as_buffer()) % 5 == 0 if t.is_valid else False for t in texts], bool)
-
-
-def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: the texts that are not held out."""
-    for batch in batches:
-        yield batch.filter(pa.array(~_held(batch.column("text"))))
-
-
-def _score(shared, order: int, limits):
-    """mapInArrow: bits a symbol of each text; with limits, only the rows that stay, as they were."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag, names, model = shared.value
-        if _dense.get("of") != tag:
-            # tables only for the languages with most text and the pooled model, the last; others are looked up
-            tabled = [*range(min(_TABLES, len(names) - 1)), len(names) - 1]
-            slot = np.full(len(names), -1)
-            slot[tabled] = np.arange(len(tabled))
-            table = log_table([(int(slot[m[0]]), *m[1:]) for m in model if slot[m[0]] >= 0], len(tabled), order)
-            _dense.update(of=tag, known={x: i for i, x in enumerate(names)}, slot=slot, table=table, rest=sorted_model([m for m in model if slot[m[0]] < 0]))
-        known, slot, table, rest = _dense["known"], _dense["slot"], _dense["table"].ravel(), _dense["rest"]
-        for batch in batches:
-            own, bits, count = _languages(batch.column("lang"), known), [], []
-            for lo, hi, code, size in _codes(batch.column("text"), order):
-                edge = np.concatenate(([0], np.cumsum(size)))
-                cost = table[code + np.repeat(np.maximum(slot[own[lo:hi]], 0), size) * SYMBOLS**order]
-                for i in np.unique(own[lo:hi][slot[own[lo:hi]] < 0]).tolist():
-                    here = np.repeat(own[lo:hi] == i, size)
-                    distinct, back = np.unique(code[here], return_inverse=True)
-                    cost[here] = -np.log2(np.maximum(lookup(rest[i], order, distinct), 1e-12))[back]
-                cost = np.concatenate(([0], np.cumsum(cost, dtype=np.float64)))
-                bits.append((cost[edge[1:]] - cost[edge[:-1]]) / np.maximum(size, 1))
-                count.append(size)
-            b, n = (np.concatenate(x) if x else np.zeros(0) for x in (bits, count))
-            model = pa.array(own.astype(np.int32))
-            if limits is None:
-                cols = [batch.column("row"), pa.array(_held(batch.column("text"))), model, pa.array(n.astype(np.int64)), pa.array(b)]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "held", "model", "n_symbols", "bits"])
-            else:
-                floor = np.array([limits.get((int(m), length_class(int(s))), np.inf) for m, s in zip(own, n, strict=True)])
-                keep = pa.array(np.floor(b * _BINS) <= floor)
-                yield pa.RecordBatch.from_arrays([batch.column("row")], names=["row"]).filter(keep)
-
-    return run
-
-
-def length_class(n: int) -> int:
-    """Texts of one class differ in length by less than a factor of two."""
-    return min(n, 1 << 20).bit_length()
 
+from reelgrid.llm import word_model
+from reelgrid.llm.mixing import word_count
+from reelgrid.llm.symbol_model import ALPHABET, SYMBOLS, log_table, lookup, sorted_model, train  # noqa: F401  the small form
+from reelgrid.llm.words import small_batches
+from reelgrid.plans.scratch import in_rounds, materialise, release
 
-SCORED = [StructField(n, t) for n, t in (("held", BooleanType()), ("model", IntegerType()), ("n_symbols", LongType()), ("bits", DoubleType()))]
+POOLED = "*"
+_BINS = 10_000
+#: bytes of text from which work is cut into rounds, and the most rounds; bytes of text for each shard of the scores
+ROUND_BYTES, ROUNDS, SHARD_BYTES = 24 << 20, 4, 8 << 20
 
 
-class Classifier:
-    """A fitted model with its limits; see fit()."""
+def _held() -> Column:
+    """True for a fifth of all texts, by their bytes: equal texts are on one side."""
+    return F.coalesce(F.crc32("text") % 5 == 0, F.lit(False))
 
-    def __init__(self, spark, names: list[str], model: list, order: int) -> None:
-        self.names, self.order = names, order
-        self.shared = spark.sparkContext.broadcast((uuid.uuid4().hex, names, model))
-        self.limits: dict[tuple[int, int], int] = {}
 
-    def _run(self, documents: DataFrame, carry: list[str], text_col: str, lang_col: str, limits, more: list[StructField]) -> DataFrame:
-        """The carried columns travel as one, so that no name of theirs clashes with others."""
-        src = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-        return src.mapInArrow(_score(self.shared, self.order, limits), StructType([src.schema["row"], *more]))
+def _has_words() -> Column:
+    return F.coalesce(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0, F.lit(False))
 
-    def score(self, documents: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-        """(row, held, model, n_symbols, bits); row: the carried columns; held: the text took no part in the training."""
-        return self._run(documents, carry, text_col, lang_col, None, SCORED)
 
-    def keep(self, documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-        """The documents that are not rejected, columns as they are: scored again in one pass, without a shuffle."""
-        return self._run(documents, documents.columns, text_col, lang_col, self.limits, []).select("row.*")
+def _length_class() -> Column:
+    """Texts of one class differ in length by less than a factor of two."""
+    return F.least(F.lit(21), F.length(F.bin("n_symbols"))).cast("int")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -276,73 +49,105 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return good.where("q = 1 and t = 0").select("trusted")
 
 
+def _keyed(documents: DataFrame, carry: list[str], known: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(row, text, model, key): the carried columns travel as one, so that no name of theirs clashes; equal keys score alike."""
+    src = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    src = src.join(known, F.col("lang") == F.col("known"), "left").select("row", "text", F.coalesce("known", F.lit(POOLED)).alias("model"))
+    return src.withColumn("key", F.xxhash64("text", "model"))
+
+
+@dataclass
+class Fitted:
+    """known: languages with a model of their own; scores: row, key, model, n_symbols, bits, limit of each document."""
+
+    known: DataFrame
+    scores: DataFrame
+
+    def rejected(self) -> Column:
+        return F.coalesce((F.col("n_symbols") > 0) & (F.floor(F.col("bits") * _BINS) > F.col("limit")), F.lit(False))
+
+
 def fit(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, quantile: float = 0.998,
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 2, quantile: float = 0.998,
     least: int = 200,
-) -> tuple[Classifier | None, DataFrame | None]:
-    """A classifier trained on four fifths of all documents that labels trust, and the scores of all documents; None without any.
+) -> Fitted | None:
+    """A model trained on four fifths of all documents that labels trust, and the scores of all documents; None without any.
 
     A limit is the quantile of the trusted documents held out of a model and length class, where there are `least` of
-    them, else of the model's, if any, else of all; null languages and those without trusted text use the pooled model.
-    Where no trusted text happens to be held out, the limits come from those that trained it.
+    them, else of the model's, if any, else of all. Where no trusted text happens to be held out, the limits come from
+    those that trained it.
     """
     spark = small_batches(documents).sparkSession
-    # dealt out by id at every size: the ids grow with the labels
-    ids = trusted_ids(labels, id_col).hint("merge")
-    texts = documents.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    trusted = texts.join(ids, F.col("id") == F.col("trusted"), "left_semi").select("lang", "text")
-    names, model = train(trusted.mapInArrow(_taught, "lang string, text string"), order)
-    if not any(len(m[2]) for m in model):
-        return None, None
-    out = Classifier(spark, names, model, order)
-    scores = materialise(out.score(documents, [id_col, lang_col], text_col, lang_col), "scores")
-    own = scores.where("n_symbols > 0").select(F.col(f"row.`{id_col}`").alias("id"), "held", "model", "n_symbols", "bits").join(ids, F.col("id") == F.col("trusted"), "left_semi")
-    own = materialise(own, "trusted")
-    bins = own.where("held") if not own.where("held").isEmpty() else own
-    size = F.least(F.lit(21), F.length(F.bin("n_symbols")))
-    bins = bins.groupBy("model", size.alias("size"), F.floor(F.col("bits") * _BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-    def limit(*by: str) -> dict[tuple, tuple[int, int]]:
+    texts = documents.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(_has_words())
+    languages = materialise(texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")), "languages")
+    size = languages.agg(F.sum("bytes")).first()[0] or 0
+    rounds = min(ROUNDS, 1 + size // ROUND_BYTES)
+    ids = materialise(trusted_ids(labels, id_col), "ids")
+
+    def taught(k: int) -> DataFrame:
+        # dealt out by id at every size: the ids grow with the labels
+        mine = ids.where(F.pmod(F.xxhash64("trusted"), F.lit(rounds)) == k).hint("merge")
+        some = texts.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k).where(~_held())
+        return some.join(mine, F.col("id") == F.col("trusted"), "left_semi").select("lang", "text")
+
+    trusted = in_rounds(spark, taught, rounds, "taught")
+    if trusted.isEmpty():
+        return None
+    own = trusted.where(F.col("lang") != POOLED)
+    known = materialise(own.select(F.col("lang").alias("known")).distinct(), "known")
+    if not languages.join(known, F.col("lang") == F.col("known"), "left_anti").isEmpty():
+        own = own.unionByName(trusted.withColumn("lang", F.lit(POOLED)))
+    model, unknown = word_model.train(own.select("lang", F.xxhash64("lang").alias("salt"), "text"), order, rounds)
+    release(trusted)
+
+    keyed = _keyed(documents, [id_col, lang_col], known, text_col, lang_col)
+    asked = keyed.where(F.length("text") > 0).select("key", F.xxhash64("model").alias("salt"), "text")
+    found = word_model.score(asked, model, order, rounds, max(1, size * order // (2 * SHARD_BYTES * rounds)))
+    scores = keyed.select("row", "key", "model", _held().alias("held")).join(found, "key", "left")
+    scores = scores.join(unknown.withColumnRenamed("lang", "model"), "model", "left")
+    bits = F.col("unknown") - F.col("v") / word_model.ONE / F.col("n")
+    scores = materialise(scores.select("row", "key", "model", "held", F.coalesce("n", F.lit(0)).cast("long").alias("n_symbols"), bits.alias("bits")), "scores")
+
+    trusted = scores.where("n_symbols > 0").select(F.col(f"row.`{id_col}`").alias("id"), "held", "model", "n_symbols", "bits")
+    trusted = materialise(trusted.join(ids.hint("merge"), F.col("id") == F.col("trusted"), "left_semi"), "trusted")
+    bins = trusted.where("held") if not trusted.where("held").isEmpty() else trusted
+    bins = materialise(bins.groupBy("model", _length_class().alias("size"), F.floor(F.col("bits") * _BINS).alias("bin")).agg(F.count("*").alias("n")), "bins")
+
+    def limit(name: str, *by: str) -> DataFrame:
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         h = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
         h = h.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
-        rows = h.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*by).agg(F.min("bin").alias("bin"), F.first("all").alias("all")).collect()
-        return {tuple(r[b] for b in by): (r["bin"], r["all"]) for r in rows}
+        return materialise(h.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy(*by).agg(F.min("bin").alias(name), F.first("all").alias("all")), name)
 
-    fine, coarse, one = limit("model", "size"), limit("model"), limit()
-    for m in range(len(names)):
-        for k in range(1, 22):
-            for found in (fine.get((m, k)), coarse.get((m,)), one.get(())):
-                if found and (found[1] >= least or found is not fine.get((m, k))):
-                    out.limits[m, k] = found[0]
-                    break
-    return out, scores
+    fine, coarse, one = limit("fine", "model", "size").where(F.col("all") >= least).drop("all"), limit("coarse", "model").drop("all"), limit("one").drop("all")
+    scores = scores.withColumn("size", _length_class()).join(fine, ["model", "size"], "left").join(coarse, "model", "left").crossJoin(F.broadcast(one))
+    return Fitted(known, scores.select("row", "key", "model", "n_symbols", "bits", F.coalesce("fine", "coarse", "one").alias("limit")))
 
 
 def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity (a symbol), threshold, kept of each document.
+    """doc_id, lang, n_symbols (words and the end), perplexity (a symbol), threshold, kept of each document.
 
-    null and empty texts have no perplexity and are kept; so is everything if labels trust no document with text. null
-    languages use the pooled model. labels: doc_id, quality, toxic; ids that it lacks, nulls and repeats are allowed;
-    a document is trusted if all rows of its id call it good and none toxic. Repeated rows of documents are documents
-    of their own. Other columns are left aside.
+    null texts and those without words have no perplexity and are kept; so is everything if labels trust no document
+    with words. null languages use the pooled model. labels: doc_id, quality, toxic; ids that it lacks, nulls and repeats
+    are allowed; a document is trusted if all rows of its id call it good and none toxic. Repeated rows of documents are
+    documents of their own. Other columns are left aside.
     """
-    model, scores = fit(documents, labels, id_col, text_col, lang_col, **options)
-    if model is None:
-        ids = [F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")]
-        n = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_symbols")
+    fitted = fit(documents, labels, id_col, text_col, lang_col, **options)
+    if fitted is None:
+        n = word_count(text_col).cast("long")
         none = F.lit(None).cast("double")
-        return documents.select(*ids, n, none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    limits = F.create_map(*(F.lit(x) for (m, k), v in model.limits.items() for x in (m * 100 + k, v)))
-    limit = limits[F.col("model") * 100 + F.least(F.lit(21), F.length(F.bin("n_symbols"))).cast("int")]
+        return documents.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.when(n > 0, n + 1).otherwise(0).alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     some = F.col("n_symbols") > 0
-    return scores.select(
-        F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{lang_col}`").alias("lang"), "n_symbols", F.when(some, F.pow(F.lit(2.0), "bits")).alias("perplexity"), F.when(some, F.pow(F.lit(2.0), (limit + 1) / F.lit(float(_BINS)))).alias("threshold"),
-        (~some | F.coalesce(F.floor(F.col("bits") * _BINS) <= limit, F.lit(True))).alias("kept"),
+    return fitted.scores.select(
+        F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{lang_col}`").alias("lang"), "n_symbols", F.when(some, F.pow(F.lit(2.0), "bits")).alias("perplexity"),
+        F.when(some, F.pow(F.lit(2.0), (F.col("limit") + 1) / F.lit(float(_BINS)))).alias("threshold"), (~fitted.rejected()).alias("kept"),
     )
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """documents without those that classify() rejects; columns as they are."""
-    model, _ = fit(documents, labels, id_col, text_col, lang_col, **options)
-    return documents if model is None else model.keep(documents, text_col, lang_col)
+    fitted = fit(documents, labels, id_col, text_col, lang_col, **options)
+    if fitted is None:
+        return documents
+    bad = materialise(fitted.scores.where(fitted.rejected()).select("key").distinct(), "rejected").hint("merge")
+    return _keyed(documents, documents.columns, fitted.known, text_col, lang_col).join(bad, "key", "left_anti").select("row.*")
