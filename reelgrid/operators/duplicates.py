@@ -9,6 +9,7 @@ from reelgrid.config import DEFAULTS
 from reelgrid.functions.dates import SANE_DATE
 from reelgrid.functions.numbers import hamming, hash_bits
 from reelgrid.operators.components import connected_components
+from reelgrid.operators.pair_tiles import ordered_pairs
 from reelgrid.operators.vector_blocks import spread
 from reelgrid.plans.scratch import materialise
 
@@ -134,11 +135,10 @@ def without_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
 
 
 def dismiss_group(members: DataFrame) -> DataFrame:
-    """Every pair of the keys of a group, to be dismissed. One side is dealt out, so that a task has 2 ** 28 pairs at most
-    about, however few files the keys come from."""
+    """Every pair of the keys of a group, to be dismissed. Tiles of pairs are dealt out, so that a task has 2 ** 28
+    comparisons at most about, however few files the keys come from."""
     keys = materialise(members.select("key"), "members")
-    l = keys.repartition(spread(keys.sparkSession, keys.count() ** 2, 1 << 28)).select(F.col("key").alias("scene_a"))
-    return l.join(keys.select(F.col("key").alias("scene_b")), F.col("scene_a") < F.col("scene_b"))
+    return ordered_pairs(keys, "key", spread(keys.sparkSession, keys.count() ** 2, 1 << 28)).toDF("scene_a", "scene_b")
 
 
 def duplicate_groups(scenes: DataFrame, dismissed: DataFrame | None = None, bits: int = DEFAULTS.hamming_bits) -> DataFrame:

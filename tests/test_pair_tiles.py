@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.operators import pair_tiles, people, vector_blocks
+from reelgrid.operators import duplicates, pair_tiles, people, vector_blocks
 
 
 @pytest.mark.parametrize("each", [1 << 28, 50_000])
@@ -39,3 +39,12 @@ def test_written_pairs_take_a_fraction_of_a_byte(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "pairs")).count()
     assert rows == 3000 * 2999 // 2 - 1500
     assert sum(f.stat().st_size for f in Path(tmp_path / "pairs").glob("*.parquet")) < 0.3 * rows
+
+
+def test_dismissed_pairs_take_a_fraction_of_a_byte(spark, tmp_path):
+    keys = spark.range(3000).select(F.concat(F.lit("tape/"), (F.col("id") * 7919 % 100_003).cast("string")).alias("key"))
+    duplicates.dismiss_group(keys.union(keys.limit(1))).write.parquet(str(tmp_path / "pairs"))
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert got.where("scene_a < scene_b").count() == got.count() == 3000 * 2999 // 2 + 2999
+    assert got.distinct().count() == 3000 * 2999 // 2
+    assert sum(f.stat().st_size for f in Path(tmp_path / "pairs").glob("*.parquet")) < 0.3 * got.count()
